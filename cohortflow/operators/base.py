@@ -37,10 +37,12 @@ def flat_orders(fact_orders: DataFrame) -> DataFrame:
     )
 
 
-def order_base(cat: Catalog, params: ReportParams, start: dt.date, end: dt.date) -> DataFrame:
-    fo = flat_orders(cat["fact_orders"]).where(
-        F.col("d").between(date_lit(start), date_lit(end))
-        & (F.col("country_id") == F.lit(params.country_id)))
+def order_base(cat: Catalog, params: ReportParams, start: dt.date | None,
+               end: dt.date | None) -> DataFrame:
+    """Orders of the country (and of ``[start, end]`` when given) in any scope."""
+    fo = flat_orders(cat["fact_orders"]).where(F.col("country_id") == F.lit(params.country_id))
+    if start is not None:
+        fo = fo.where(F.col("d").between(date_lit(start), date_lit(end)))
     scopes = partner_scopes(cat["dim_partner"], params.verticals)
     ok = is_true(F.col("order_status") == F.lit(CONFIRMED))
     return (fo.join(scopes, "partner_id", "inner")

@@ -51,14 +51,27 @@ def user_level(flags: DataFrame) -> DataFrame:
     )
 
 
-def summarize(users: DataFrame) -> DataFrame:
-    """Sum per-user rows to the report grain with the report's column names."""
-    sums = [F.sum(c).cast("long").alias(n) for c, n in zip(
-        ("u_voucher", "u_crm", "u_df0", "u_corporate", "u_banks", "u_plus", "u_tot", "o_tot",
-         "u_inc", "o_inc"), METRIC_COLUMNS)]
-    r = users.groupBy("m", "vertical", "user_type").agg(*sums)
-    return r.select(month_label(F.col("m")).alias("Month"), "vertical", "user_type",
-                    *METRIC_COLUMNS)
+USER_SUMS = ("u_voucher", "u_crm", "u_df0", "u_corporate", "u_banks", "u_plus", "u_tot", "o_tot",
+             "u_inc", "o_inc")
+
+
+def summarize(users: DataFrame, by=("m", "vertical", "user_type")) -> DataFrame:
+    """Sum per-user rows to the report grain with the report's column names.
+
+    A NULL user id is no distinct user (``COUNT(DISTINCT ...)`` skips NULL),
+    but its orders still count.
+    """
+    sums = []
+    for c, n in zip(USER_SUMS, METRIC_COLUMNS):
+        v = F.col(c) if c.startswith("o_") else F.when(F.col("user_id").isNotNull(), F.col(c))
+        sums.append(F.coalesce(F.sum(v), F.lit(0)).cast("long").alias(n))
+    r = users.groupBy(*by).agg(*sums)
+    rest = [c for c in by if c != "m"]
+    return r.select(month_label(F.col("m")).alias("Month"), *rest, *METRIC_COLUMNS)
+
+
+ORDER_COLUMNS = ("order_id", "user_id", "m", "final_scopes", "ok", "has_voucher_discount",
+                 "shipping_amount_no_discount", "with_logistics", "is_user_plus")
 
 
 def report_orders(cat: Catalog, params: ReportParams, base: DataFrame | None = None) -> DataFrame:
@@ -81,3 +94,13 @@ def report(cat: Catalog, params: ReportParams) -> DataFrame:
     users = (user_level(report_orders(cat, params, base))
              .join(seg, ["scope", "m", "user_id"], "inner"))
     return summarize(users)
+
+
+def scope_month_metrics(cat: Catalog, params: ReportParams) -> DataFrame:
+    """The ten counts per (Month, vertical) over every month of the fact, no
+    segmentation: ``COUNT(DISTINCT CASE ...)`` as a two-level aggregate."""
+    base = order_base(cat, params, None, None).where(F.size("final_scopes") > 0)
+    o = base.select(*ORDER_COLUMNS)
+    flags = order_metric_flags(o, order_incentives(cat, params), params.strict_confirmed)
+    users = user_level(flags)
+    return summarize(users, by=("m", "vertical"))

@@ -33,7 +33,7 @@ fact_orders AS (
          CASE WHEN o.o_orderstatus IN ('F','P') THEN 'CONFIRMED' ELSE 'REJECTED' END AS order_status,
          (o.o_orderstatus IN ('F','P') AND f.rn = 1) AS first_successful,
          CASE WHEN o.o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS has_voucher_discount,
-         CASE WHEN o.o_orderpriority = '5-LOW' THEN 0.0 ELSE 9.5 END AS shipping_amount_no_discount,
+         CAST(CASE WHEN o.o_orderpriority = '5-LOW' THEN 0.0 ELSE 9.5 END AS DOUBLE) AS shipping_amount_no_discount,
          (o.o_orderkey % 2 = 0) AS with_logistics,
          CASE WHEN c.c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END AS is_user_plus
   FROM orders o
@@ -61,8 +61,9 @@ fact_talon_coupons AS (
   SELECT l_orderkey AS order_id, l_partkey % 6 AS talon_campaign_id, l_shipdate AS coupon_created_at
   FROM lineitem WHERE l_returnflag = 'R'),
 dim_talon_campaigns AS (
-  SELECT * FROM (VALUES (0, 'AR-LOCAL-1'), (1, 'AR-CENTRAL-2'), (2, 'COOP-3'), (3, 'local-4'),
-                        (4, 'OTHER-5'), (5, NULL)) t(talon_campaign_id, talon_campaign_name)),
+  SELECT CAST(talon_campaign_id AS BIGINT) AS talon_campaign_id, talon_campaign_name
+  FROM (VALUES (0, 'AR-LOCAL-1'), (1, 'AR-CENTRAL-2'), (2, 'COOP-3'), (3, 'local-4'),
+               (4, 'OTHER-5'), (5, NULL)) t(talon_campaign_id, talon_campaign_name)),
 fact_wallet AS (
   SELECT o_orderkey AS order_id,
          CASE WHEN o_orderkey % 3 = 0 THEN 'COOP-W' ELSE 'GIFT' END AS campaign_name
@@ -84,7 +85,8 @@ dim_subsidized_product AS (
   SELECT p_partkey AS product_id, p_partkey % 3 AS subsidized_product_campaing_id
   FROM part WHERE p_partkey % 5 = 0),
 dim_subsidized_campaign AS (
-  SELECT * FROM (VALUES (0), (1)) t(subsidized_campaign_id))
+  SELECT CAST(subsidized_campaign_id AS BIGINT) AS subsidized_campaign_id
+  FROM (VALUES (0), (1)) t(subsidized_campaign_id))
 """
 
 NON_DARK = "(dp.is_darkstore = FALSE OR dp.is_darkstore IS NULL)"

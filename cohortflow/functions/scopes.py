@@ -78,6 +78,45 @@ def market_sublabel(dark: Column, type_name: Column, category: Column) -> Column
             .when((F.upper(type_name) == MARKET.upper()) & ~dark & ~sup, F.lit(SPECIALTY_LABEL)))
 
 
+# ---- the same predicates as SQL expression text --------------------------
+# (used to build the scope arrays in one projection: one parse in the JVM
+# instead of hundreds of Column objects built over py4j)
+
+def _q(v: str) -> str:
+    return "'" + v.replace("'", "''") + "'"
+
+
+SQL_NOT_DARK = "NOT coalesce(is_darkstore, false)"
+SQL_NOT_EXCLUDED = (f"(business_type_name IS NOT NULL AND business_type_name NOT IN "
+                    f"({', '.join(_q(t) for t in EXCLUDED_TYPES)}))")
+
+
+def segment_predicate_sql(vertical: str) -> str:
+    if vertical == "DMarts":
+        return "coalesce(is_darkstore, false)"
+    if vertical == "QC":
+        return SQL_NOT_EXCLUDED
+    if vertical == "Local Stores":
+        return f"({SQL_NOT_DARK} AND {SQL_NOT_EXCLUDED})"
+    return f"({SQL_NOT_DARK} AND coalesce(business_type_name = {_q(vertical)}, false))"
+
+
+def final_predicate_sql(vertical: str) -> str:
+    if vertical == MARKET:
+        return f"coalesce(business_type_name = {_q(MARKET)}, false)"
+    return segment_predicate_sql(vertical)
+
+
+SQL_IS_SUPERMARKET = (
+    f"(upper(coalesce(category_name, {_q(NO_CATEGORY)})) LIKE '{SUPERMARKET_PREFIXES[0]}%' OR "
+    f"upper(coalesce(category_name, {_q(NO_CATEGORY)})) LIKE '{SUPERMARKET_PREFIXES[1]}%' OR "
+    f"upper(coalesce(category_name, {_q(NO_CATEGORY)})) = '{SUPERMARKET_EXACT}')")
+SQL_MARKET_SUBLABEL = (
+    f"CASE WHEN {SQL_IS_SUPERMARKET} THEN {_q(SUPERMARKET_LABEL)} "
+    f"WHEN upper(business_type_name) = {_q(MARKET.upper())} AND NOT is_darkstore "
+    f"AND NOT {SQL_IS_SUPERMARKET} THEN {_q(SPECIALTY_LABEL)} END")
+
+
 def flat_partner(dim_partner: DataFrame) -> DataFrame:
     return dim_partner.select(
         "partner_id", "is_darkstore",
@@ -93,14 +132,14 @@ def partner_scopes(dim_partner: DataFrame, verticals=VERTICALS) -> DataFrame:
     the later fact join can be inner.
     """
     p = flat_partner(dim_partner)
-    dark, typ, cat = F.col("is_darkstore"), F.col("business_type_name"), F.col("category_name")
-    seg = F.filter(F.array(*[F.when(segment_predicate(v, dark, typ), F.lit(v)) for v in verticals]),
-                   lambda x: x.isNotNull())
+    seg_items = ", ".join(f"CASE WHEN {segment_predicate_sql(v)} THEN {_q(v)} END" for v in verticals)
     fin_items = []
     for v in verticals:
-        label = market_sublabel(dark, typ, cat) if v == MARKET else F.lit(v)
-        fin_items.append(F.when(final_predicate(v, dark, typ) & label.isNotNull(),
-                                F.struct(F.lit(v).alias("scope"), label.alias("vertical"))))
-    fin = F.filter(F.array(*fin_items), lambda x: x.isNotNull())
-    out = p.select("partner_id", seg.alias("seg_scopes"), fin.alias("final_scopes"))
-    return out.where((F.size("seg_scopes") > 0) | (F.size("final_scopes") > 0))
+        label = f"({SQL_MARKET_SUBLABEL})" if v == MARKET else _q(v)
+        fin_items.append(f"CASE WHEN {final_predicate_sql(v)} AND {label} IS NOT NULL "
+                         f"THEN named_struct('scope', {_q(v)}, 'vertical', {label}) END")
+    out = p.selectExpr(
+        "partner_id",
+        f"filter(array({seg_items}), x -> x IS NOT NULL) AS seg_scopes",
+        f"filter(array({', '.join(fin_items)}), x -> x IS NOT NULL) AS final_scopes")
+    return out.where("size(seg_scopes) > 0 OR size(final_scopes) > 0")

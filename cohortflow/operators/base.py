@@ -14,38 +14,30 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.periods import date_lit, month_start
-from ..functions.scopes import is_true, partner_scopes
+from ..functions.periods import date_lit
+from ..functions.scopes import partner_scopes
 from ..params import CONFIRMED, ReportParams
 from ..sources.catalog import Catalog
 
 
 def flat_orders(fact_orders: DataFrame) -> DataFrame:
     """Nested fact -> flat columns (nested-schema pruning reads only these leaves)."""
-    return fact_orders.select(
-        "order_id",
-        F.col("user.id").alias("user_id"),
-        F.col("restaurant.id").alias("partner_id"),
-        F.col("registered_date").alias("d"),
-        "country_id",
-        "order_status",
-        F.col("data.firstSuccessful").alias("first_successful"),
-        "has_voucher_discount",
-        "shipping_amount_no_discount",
-        "with_logistics",
-        "is_user_plus",
+    return fact_orders.selectExpr(
+        "order_id", "user.id AS user_id", "restaurant.id AS partner_id", "registered_date AS d",
+        "country_id", "order_status", "data.firstSuccessful AS first_successful",
+        "has_voucher_discount", "shipping_amount_no_discount", "with_logistics", "is_user_plus",
     )
 
 
 def order_base(cat: Catalog, params: ReportParams, start: dt.date | None,
                end: dt.date | None) -> DataFrame:
     """Orders of the country (and of ``[start, end]`` when given) in any scope."""
-    fo = flat_orders(cat["fact_orders"]).where(F.col("country_id") == F.lit(params.country_id))
+    cond = F.col("country_id") == F.lit(params.country_id)
     if start is not None:
-        fo = fo.where(F.col("d").between(date_lit(start), date_lit(end)))
+        cond = cond & F.col("d").between(date_lit(start), date_lit(end))
+    fo = flat_orders(cat["fact_orders"]).where(cond)
     scopes = partner_scopes(cat["dim_partner"], params.verticals)
-    ok = is_true(F.col("order_status") == F.lit(CONFIRMED))
-    return (fo.join(scopes, "partner_id", "inner")
-            .withColumn("m", month_start(F.col("d")))
-            .withColumn("ok", ok)
-            .withColumn("first", ok & is_true(F.col("first_successful"))))
+    ok = f"coalesce(order_status = '{CONFIRMED}', false)"
+    return fo.join(scopes, "partner_id", "inner").selectExpr(
+        "*", "trunc(d, 'month') AS m", f"{ok} AS ok",
+        f"{ok} AND coalesce(first_successful, false) AS first")

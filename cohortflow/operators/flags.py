@@ -80,20 +80,22 @@ def order_metric_flags(orders: DataFrame, incentives: DataFrame,
     order. ``strict_confirmed`` requires it for every term.
     """
     j = orders.join(incentives, "order_id", "left")
-    ok = F.col("ok")
-    vou = is_true(F.col("has_voucher_discount") > 0)
-    crm = is_true(F.col("crm"))
-    df0 = is_true((F.col("shipping_amount_no_discount") == 0) & (F.col("with_logistics") == True))  # noqa: E712
-    coop = is_true(F.col("coop"))
-    bank = is_true(F.col("bank"))
-    plus = is_true(F.col("is_user_plus") == 1)
+    t = {
+        "vou": "coalesce(has_voucher_discount > 0, false)",
+        "crm": "coalesce(crm, false)",
+        "df0": "coalesce(shipping_amount_no_discount = 0 AND with_logistics = true, false)",
+        "coop": "coalesce(coop, false)",
+        "bank": "coalesce(bank, false)",
+        "plus": "coalesce(is_user_plus = 1, false)",
+    }
     if strict_confirmed:
-        inc = ok & (vou | crm | df0 | coop | bank | plus)
-    else:
-        inc = (ok & vou) | crm | df0 | coop | bank | plus
-    return j.select(
-        *[c for c in orders.columns],
-        (ok & vou).alias("f_voucher"), (ok & crm).alias("f_crm"), (ok & df0).alias("f_df0"),
-        (ok & coop).alias("f_corporate"), (ok & bank).alias("f_banks"), (ok & plus).alias("f_plus"),
-        inc.alias("f_inc"),
+        inc = f"ok AND ({' OR '.join(t.values())})"
+    else:  # AND binds tighter than OR: only the voucher term needs a CONFIRMED order
+        inc = f"ok AND {t['vou']} OR {t['crm']} OR {t['df0']} OR {t['coop']} OR {t['bank']} OR {t['plus']}"
+    return j.selectExpr(
+        *orders.columns,
+        f"ok AND {t['vou']} AS f_voucher", f"ok AND {t['crm']} AS f_crm",
+        f"ok AND {t['df0']} AS f_df0", f"ok AND {t['coop']} AS f_corporate",
+        f"ok AND {t['bank']} AS f_banks", f"ok AND {t['plus']} AS f_plus",
+        f"{inc} AS f_inc",
     )

@@ -34,21 +34,13 @@ USER_FLAGS = ("f_voucher", "f_crm", "f_df0", "f_corporate", "f_banks", "f_plus",
 
 def user_level(flags: DataFrame) -> DataFrame:
     """(scope, m, user_id, vertical) -> per-user 0/1 flags and order counts."""
-    x = flags.select("user_id", "m", *USER_FLAGS, F.explode("final_scopes").alias("fs"))
-    x = x.select("*", F.col("fs.scope").alias("scope"), F.col("fs.vertical").alias("vertical"))
-    ints = {c: F.col(c).cast("long") for c in USER_FLAGS}
+    x = flags.selectExpr("user_id", "m", *USER_FLAGS, "inline(final_scopes)")
+    aggs = [("max", "f_voucher", "u_voucher"), ("max", "f_crm", "u_crm"), ("max", "f_df0", "u_df0"),
+            ("max", "f_corporate", "u_corporate"), ("max", "f_banks", "u_banks"),
+            ("max", "f_plus", "u_plus"), ("max", "ok", "u_tot"), ("sum", "ok", "o_tot"),
+            ("max", "f_inc", "u_inc"), ("sum", "f_inc", "o_inc")]
     return x.groupBy("scope", "m", "user_id", "vertical").agg(
-        F.max(ints["f_voucher"]).alias("u_voucher"),
-        F.max(ints["f_crm"]).alias("u_crm"),
-        F.max(ints["f_df0"]).alias("u_df0"),
-        F.max(ints["f_corporate"]).alias("u_corporate"),
-        F.max(ints["f_banks"]).alias("u_banks"),
-        F.max(ints["f_plus"]).alias("u_plus"),
-        F.max(ints["ok"]).alias("u_tot"),
-        F.sum(ints["ok"]).alias("o_tot"),
-        F.max(ints["f_inc"]).alias("u_inc"),
-        F.sum(ints["f_inc"]).alias("o_inc"),
-    )
+        *[F.expr(f"{fn}(CAST({c} AS BIGINT)) AS {n}") for fn, c, n in aggs])
 
 
 USER_SUMS = ("u_voucher", "u_crm", "u_df0", "u_corporate", "u_banks", "u_plus", "u_tot", "o_tot",
@@ -63,8 +55,8 @@ def summarize(users: DataFrame, by=("m", "vertical", "user_type")) -> DataFrame:
     """
     sums = []
     for c, n in zip(USER_SUMS, METRIC_COLUMNS):
-        v = F.col(c) if c.startswith("o_") else F.when(F.col("user_id").isNotNull(), F.col(c))
-        sums.append(F.coalesce(F.sum(v), F.lit(0)).cast("long").alias(n))
+        v = c if c.startswith("o_") else f"CASE WHEN user_id IS NOT NULL THEN {c} END"
+        sums.append(F.expr(f"CAST(coalesce(sum({v}), 0) AS BIGINT) AS {n}"))
     r = users.groupBy(*by).agg(*sums)
     rest = [c for c in by if c != "m"]
     return r.select(month_label(F.col("m")).alias("Month"), *rest, *METRIC_COLUMNS)

@@ -93,14 +93,15 @@ def label_segments(state: DataFrame, guards: DataFrame | None) -> DataFrame:
         g_react = F.coalesce(F.col("g_react"), F.lit(False))
     else:
         g_new = g_react = F.lit(False)
-    acq = F.col("first")
-    new = ~acq & ~F.col("hist") & ~g_new
-    react = F.col("conf") & ~F.col("prev") & ~acq & ~new & ~g_react
-    label = (F.when(acq, F.lit(ACQUISITION)).when(new, F.lit(NEW_USERS))
-             .when(react, F.lit(REACTIVATED)))
-    return (state.select("scope", "m", "user_id", label.alias("user_type"),
-                         F.col("conf").cast("long").alias("users"))
-            .where(F.col("user_type").isNotNull()))
+    state = state.select("*", g_new.alias("g_new_"), g_react.alias("g_react_"))
+    # acquisition = first; new = not first, no history, no NULL-guard;
+    # reactivated = bought now, not last month, neither of the above
+    new = "NOT first AND NOT hist AND NOT g_new_"
+    label = (f"CASE WHEN first THEN '{ACQUISITION}' WHEN {new} THEN '{NEW_USERS}' "
+             f"WHEN conf AND NOT prev AND NOT g_react_ THEN '{REACTIVATED}' END")
+    return (state.selectExpr("scope", "m", "user_id", f"{label} AS user_type",
+                             "CAST(conf AS BIGINT) AS users")
+            .where("user_type IS NOT NULL"))
 
 
 def segments(base: DataFrame, params: ReportParams) -> DataFrame:

@@ -11,78 +11,82 @@ Users with CONFIRMED orders in both M and M-1 (retained) get no label.
 
 The original evaluates each (scope, month) with three uncorrelated ``NOT IN``
 subqueries over the fact. Here all scopes and months come from one pass:
+the reported months are parameters, so each month's membership tests are
+conditional aggregates of one ``groupBy(scope, user)``:
 
-1. ``activity``: orders exploded by scope, reduced to one row per
-   (scope, user, month) -- a partial (map-side) aggregate, so a user who owns
-   a third of all orders still shuffles one row per task;
-2. a window per (scope, user) ordered by month gives the latest earlier
-   CONFIRMED month and date (a partition holds at most one row per month);
-3. labels for the reported months.
+  any_M   an order in M              conf_M  a CONFIRMED order in M
+  first_M a first purchase in M      hist_M  a CONFIRMED order in [history_start, M)
+  prev_M  a CONFIRMED order in M-1
+
+``bool_or`` aggregates combine map-side (partial aggregation), so a user who
+owns a third of all orders still ships one row per task into the single
+shuffle; no window, no sort, no self-join. Months are then unpacked with
+``inline`` and labelled.
 
 ``NOT IN`` semantics for NULL user ids are kept by two guard flags per
-(scope, month), computed from the NULL-user activity rows (at most
-scopes x months rows, so the guard table is bounded by the parameters and
-broadcast safely): a NULL id in the history set or the first-purchase set
-empties New Users; a NULL id among last month's buyers empties Reactivados.
-NULL users themselves never get a label (the report joins on equality).
+(scope, month) taken from the NULL user's row of the same aggregate (one row
+per scope, so the guard table is bounded by scopes x months and broadcast
+safely): a NULL id in the history set or the first-purchase set empties New
+Users; a NULL id among last month's buyers empties Reactivados. NULL users
+themselves never get a label (the report joins on equality).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.periods import date_lit, month_array
-from ..params import ReportParams
+from ..params import ReportParams, add_months
 
 ACQUISITION = "Acquisition"
 NEW_USERS = "New Users"
 REACTIVATED = "Reactivados"
 
 
-def activity(base: DataFrame) -> DataFrame:
-    """(scope, user_id, m) -> conf, ld (last CONFIRMED date), first."""
-    x = base.select("user_id", "m", "d", "ok", "first", F.explode("seg_scopes").alias("scope"))
-    return x.groupBy("scope", "user_id", "m").agg(
-        F.bool_or("ok").alias("conf"),
-        F.max(F.when(F.col("ok"), F.col("d"))).alias("ld"),
-        F.bool_or("first").alias("first"),
-    )
+def _d(x) -> str:
+    return f"DATE'{x.isoformat()}'"
+
+
+def activity(base: DataFrame, params: ReportParams) -> DataFrame:
+    """(scope, user_id) -> any_i, conf_i, first_i, hist_i, prev_i per reported month i."""
+    x = base.selectExpr("user_id", "m", "d", "ok", "first", "explode(seg_scopes) AS scope")
+    hs = _d(params.history_start)
+    aggs = []
+    for i, m in enumerate(params.report_months()):
+        M, prev = _d(m), _d(add_months(m, -1))
+        aggs += [f"bool_or(m = {M}) AS any_{i}",
+                 f"bool_or(ok AND m = {M}) AS conf_{i}",
+                 f"bool_or(first AND m = {M}) AS first_{i}",
+                 f"bool_or(ok AND d >= {hs} AND d < {M}) AS hist_{i}",
+                 f"bool_or(ok AND m = {prev}) AS prev_{i}"]
+    return x.groupBy("scope", "user_id").agg(*[F.expr(a) for a in aggs])
+
+
+def _per_month(params: ReportParams, fields: dict[str, str]) -> str:
+    """``inline(array(named_struct(...) per month))`` over the activity columns."""
+    items = []
+    for i, m in enumerate(params.report_months()):
+        kv = ", ".join(f"'{k}', {v.format(i=i)}" for k, v in fields.items())
+        items.append(f"named_struct('m', {_d(m)}, {kv})")
+    return f"inline(array({', '.join(items)}))"
 
 
 def null_user_guards(act: DataFrame, params: ReportParams) -> DataFrame:
-    """(scope, m, g_new, g_react) for the reported months touched by NULL user ids."""
-    hs = date_lit(params.history_start)
+    """(scope, m, g_new, g_react) from the NULL user id's activity (one row per scope)."""
     nulls = act.where(F.col("user_id").isNull())
-    x = nulls.select("scope", "m", "conf", "ld", "first",
-                     F.explode(month_array(params.report_months())).alias("rm"))
-    g = x.select(
-        "scope", F.col("rm").alias("report_m"),
-        # NULL in the history set: a CONFIRMED order in [history_start, end of M-1]
-        # or in this month's first-purchase set
-        (((F.col("m") < F.col("rm")) & F.coalesce(F.col("ld") >= hs, F.lit(False)))
-         | ((F.col("m") == F.col("rm")) & F.col("first"))).alias("g_new"),
-        # NULL among last month's CONFIRMED buyers
-        ((F.col("m") == F.add_months(F.col("rm"), -1)) & F.col("conf")).alias("g_react"),
-    )
-    return (g.groupBy("scope", F.col("report_m").alias("m"))
-            .agg(F.bool_or("g_new").alias("g_new"), F.bool_or("g_react").alias("g_react")))
+    return nulls.selectExpr("scope", _per_month(params, {
+        "g_new": "hist_{i} OR first_{i}",   # NULL in the history or first-purchase set
+        "g_react": "prev_{i}",              # NULL among last month's buyers
+    }))
 
 
 def user_month_state(act: DataFrame, params: ReportParams) -> DataFrame:
-    """Activity rows of the reported months with ``hist`` / ``prev`` / ``conf`` / ``first``."""
-    w = (Window.partitionBy("scope", "user_id").orderBy("m")
-         .rowsBetween(Window.unboundedPreceding, -1))
+    """One row per (scope, user, reported month) with an order in that month."""
     a = act.where(F.col("user_id").isNotNull())
-    a = a.select("*",
-                 F.max(F.when(F.col("conf"), F.col("m"))).over(w).alias("pm"),
-                 F.max("ld").over(w).alias("pld"))
-    a = a.where(F.col("m").isin(*params.report_months()))
-    return a.select(
-        "scope", "user_id", "m", "conf", "first",
-        F.coalesce(F.col("pld") >= date_lit(params.history_start), F.lit(False)).alias("hist"),
-        F.coalesce(F.col("pm") == F.add_months(F.col("m"), -1), F.lit(False)).alias("prev"),
-    )
+    s = a.selectExpr("scope", "user_id", _per_month(params, {
+        "any": "any_{i}", "conf": "conf_{i}", "first": "first_{i}",
+        "hist": "hist_{i}", "prev": "prev_{i}"}))
+    return s.where("any").drop("any")
 
 
 def label_segments(state: DataFrame, guards: DataFrame | None) -> DataFrame:
@@ -106,6 +110,6 @@ def label_segments(state: DataFrame, guards: DataFrame | None) -> DataFrame:
 
 def segments(base: DataFrame, params: ReportParams) -> DataFrame:
     """Labelled (scope, m, user_id) for every reported month and scope."""
-    act = activity(base)
+    act = activity(base, params)
     guards = null_user_guards(act, params) if params.null_users == "sql" else None
     return label_segments(user_month_state(act, params), guards)

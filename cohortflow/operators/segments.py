@@ -47,19 +47,28 @@ def _d(x) -> str:
     return f"DATE'{x.isoformat()}'"
 
 
-def activity(base: DataFrame, params: ReportParams) -> DataFrame:
-    """(scope, user_id) -> any_i, conf_i, first_i, hist_i, prev_i per reported month i."""
-    x = base.selectExpr("user_id", "m", "d", "ok", "first", "explode(seg_scopes) AS scope")
+def month_features(rows: DataFrame, params: ReportParams, ok: str, first: str,
+                   confirmed_date: str) -> DataFrame:
+    """Group ``rows`` (scope, user_id, m, ...) by (scope, user_id) into the five
+    tests per reported month i. ``ok``/``first``/``confirmed_date`` are SQL
+    expressions over ``rows``: order rows (date ``d``) or monthly rollup rows
+    (last confirmed date ``ld``) both fit."""
     hs = _d(params.history_start)
     aggs = []
     for i, m in enumerate(params.report_months()):
         M, prev = _d(m), _d(add_months(m, -1))
         aggs += [f"bool_or(m = {M}) AS any_{i}",
-                 f"bool_or(ok AND m = {M}) AS conf_{i}",
-                 f"bool_or(first AND m = {M}) AS first_{i}",
-                 f"bool_or(ok AND d >= {hs} AND d < {M}) AS hist_{i}",
-                 f"bool_or(ok AND m = {prev}) AS prev_{i}"]
-    return x.groupBy("scope", "user_id").agg(*[F.expr(a) for a in aggs])
+                 f"bool_or({ok} AND m = {M}) AS conf_{i}",
+                 f"bool_or({first} AND m = {M}) AS first_{i}",
+                 f"bool_or({ok} AND {confirmed_date} >= {hs} AND m < {M}) AS hist_{i}",
+                 f"bool_or({ok} AND m = {prev}) AS prev_{i}"]
+    return rows.groupBy("scope", "user_id").agg(*[F.expr(a) for a in aggs])
+
+
+def activity(base: DataFrame, params: ReportParams) -> DataFrame:
+    """(scope, user_id) -> any_i, conf_i, first_i, hist_i, prev_i per reported month i."""
+    x = base.selectExpr("user_id", "m", "d", "ok", "first", "explode(seg_scopes) AS scope")
+    return month_features(x, params, ok="ok", first="first", confirmed_date="d")
 
 
 def _per_month(params: ReportParams, fields: dict[str, str]) -> str:
@@ -110,6 +119,9 @@ def label_segments(state: DataFrame, guards: DataFrame | None) -> DataFrame:
 
 def segments(base: DataFrame, params: ReportParams) -> DataFrame:
     """Labelled (scope, m, user_id) for every reported month and scope."""
-    act = activity(base, params)
+    return segments_from_features(activity(base, params), params)
+
+
+def segments_from_features(act: DataFrame, params: ReportParams) -> DataFrame:
     guards = null_user_guards(act, params) if params.null_users == "sql" else None
     return label_segments(user_month_state(act, params), guards)

@@ -33,7 +33,7 @@ from .catalog import ParquetCatalog
 from .schemas import LOGICAL_SCHEMAS
 from .tpch_adapter import DRIVER_SCHEMAS, driver_catalog
 
-ADAPTER_VERSION = "3"
+ADAPTER_VERSION = "4"
 DONE = "_STAGED"
 
 
@@ -44,7 +44,10 @@ def _hadoop_fs(spark: SparkSession, path: str):
 
 
 def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
-    h = hashlib.sha256(ADAPTER_VERSION.encode())
+    # the session zone is part of the key: coupon timestamps are stored as
+    # instants, so a stage is only reused under the zone that wrote it
+    tz = spark.conf.get("spark.sql.session.timeZone")
+    h = hashlib.sha256(f"{ADAPTER_VERSION}|{tz}".encode())
     for name in sorted(DRIVER_SCHEMAS):
         path = f"{sf_dir}/{name}.parquet"
         fs, p, _ = _hadoop_fs(spark, path)

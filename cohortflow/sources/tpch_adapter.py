@@ -47,16 +47,17 @@ def _confirmed(status: Column) -> Column:
 
 
 # Schemas of the driver tables the adapter reads (declared, not inferred: no
-# footer reads at planning time).
+# footer reads at planning time). The files hold time-zone-naive timestamps:
+# reading them as TIMESTAMP_NTZ keeps dates independent of the session zone.
 DRIVER_SCHEMAS = {
     "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
-              "o_orderdate TIMESTAMP, o_orderpriority STRING",
+              "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
     "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, "
                 "c_mktsegment STRING",
     "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
     "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, "
                 "l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, "
-                "l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP",
+                "l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
     "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, "
             "p_retailprice DOUBLE",
     "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",

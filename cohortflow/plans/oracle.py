@@ -254,11 +254,13 @@ GROUP BY 1, 2, 3
 {having})"""
 
 
-def report_sql(p: ReportParams = DRIVER_PARAMS, verticals=None) -> str:
-    """All months x verticals, appended (UNION ALL), adapter CTEs at the head."""
+def report_sql(p: ReportParams = DRIVER_PARAMS, verticals=None, adapter: bool = True) -> str:
+    """All months x verticals, appended (UNION ALL); with the adapter CTEs at the
+    head, or over logical tables registered under their own names."""
     verticals = verticals or p.verticals
     parts = [report_statement(m, v, p) for m in p.report_months() for v in verticals]
-    return with_adapter("\nUNION ALL\n".join(parts))
+    body = "\nUNION ALL\n".join(parts)
+    return with_adapter(body) if adapter else body
 
 
 def segment_sql(p: ReportParams, cte: str, columns: str, key: str) -> str:

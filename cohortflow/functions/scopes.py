@@ -33,54 +33,11 @@ def is_true(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
-def not_dark(is_darkstore: Column) -> Column:
-    """``is_darkstore = FALSE OR is_darkstore IS NULL``."""
-    return ~F.coalesce(is_darkstore, F.lit(False))
-
-
-def not_in_excluded(type_name: Column) -> Column:
-    """``type NOT IN ('Restaurant','Coffee')``: NULL type is out."""
-    return type_name.isNotNull() & ~type_name.isin(*EXCLUDED_TYPES)
-
-
-def segment_predicate(vertical: str, dark: Column, type_name: Column) -> Column:
-    """Scope of the segment definitions (New / Acquisition / Reactivated)."""
-    if vertical == "DMarts":
-        return is_true(dark)
-    if vertical == "QC":
-        return not_in_excluded(type_name)
-    if vertical == "Local Stores":
-        return not_dark(dark) & not_in_excluded(type_name)
-    return not_dark(dark) & is_true(type_name == vertical)
-
-
-def final_predicate(vertical: str, dark: Column, type_name: Column) -> Column:
-    """Scope of the orders counted in the report (wider only for Market)."""
-    if vertical == MARKET:
-        return is_true(type_name == MARKET)
-    return segment_predicate(vertical, dark, type_name)
-
-
-def is_supermarket(category: Column) -> Column:
-    u = F.upper(F.coalesce(category, F.lit(NO_CATEGORY)))
-    return (u.startswith(SUPERMARKET_PREFIXES[0]) | u.startswith(SUPERMARKET_PREFIXES[1])
-            | (u == SUPERMARKET_EXACT))
-
-
-def market_sublabel(dark: Column, type_name: Column, category: Column) -> Column:
-    """Market report label; NULL drops the order (``HAVING vertical IS NOT NULL``).
-
-    Dark partners can only be labelled by category: the second branch needs
-    ``NOT is_darkstore`` to be TRUE, so a NULL flag leaves the label NULL.
-    """
-    sup = is_supermarket(category)
-    return (F.when(sup, F.lit(SUPERMARKET_LABEL))
-            .when((F.upper(type_name) == MARKET.upper()) & ~dark & ~sup, F.lit(SPECIALTY_LABEL)))
-
-
-# ---- the same predicates as SQL expression text --------------------------
-# (used to build the scope arrays in one projection: one parse in the JVM
-# instead of hundreds of Column objects built over py4j)
+# The predicates are written once, as SQL expression text over the flat
+# partner columns (is_darkstore, business_type_name, category_name): the scope
+# arrays are built from them in one projection (one parse in the JVM instead
+# of hundreds of Column objects over py4j), and the Column forms below wrap
+# the same text.
 
 def _q(v: str) -> str:
     return "'" + v.replace("'", "''") + "'"
@@ -117,6 +74,25 @@ SQL_MARKET_SUBLABEL = (
     f"AND NOT {SQL_IS_SUPERMARKET} THEN {_q(SPECIALTY_LABEL)} END")
 
 
+def segment_predicate(vertical: str) -> Column:
+    """Scope of the segment definitions (New / Acquisition / Reactivated)."""
+    return F.expr(segment_predicate_sql(vertical))
+
+
+def final_predicate(vertical: str) -> Column:
+    """Scope of the orders counted in the report (wider only for Market)."""
+    return F.expr(final_predicate_sql(vertical))
+
+
+def market_sublabel() -> Column:
+    """Market report label; NULL drops the order (``HAVING vertical IS NOT NULL``).
+
+    Dark partners can only be labelled by category: the second branch needs
+    ``NOT is_darkstore`` to be TRUE, so a NULL flag leaves the label NULL.
+    """
+    return F.expr(SQL_MARKET_SUBLABEL)
+
+
 def flat_partner(dim_partner: DataFrame) -> DataFrame:
     return dim_partner.select(
         "partner_id", "is_darkstore",

@@ -174,7 +174,7 @@ def q_scope(v: str) -> Query:
         cat = _cat(spark, sf_dir)
         f = flat_orders(cat["fact_orders"]).select("order_id", "partner_id")
         p = flat_partner(cat["dim_partner"])
-        keep = p.where(segment_predicate(v, F.col("is_darkstore"), F.col("business_type_name")))
+        keep = p.where(segment_predicate(v))
         return f.join(keep.select("partner_id"), "partner_id", "left_semi") \
             .select("order_id", "partner_id")
     return q
@@ -184,8 +184,7 @@ def q_market_sublabel(spark, sf_dir):
     cat = _cat(spark, sf_dir)
     f = flat_orders(cat["fact_orders"]).select("order_id", "partner_id")
     p = flat_partner(cat["dim_partner"]).where(F.col("business_type_name") == "Market")
-    lab = p.select("partner_id", market_sublabel(F.col("is_darkstore"), F.col("business_type_name"),
-                                                 F.col("category_name")).alias("vertical"))
+    lab = p.select("partner_id", market_sublabel().alias("vertical"))
     return f.join(lab.where(F.col("vertical").isNotNull()), "partner_id").select("order_id", "vertical")
 
 

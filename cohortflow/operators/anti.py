@@ -29,7 +29,8 @@ def not_in(left: DataFrame, right: DataFrame, key: str, by: Sequence[str] = (),
         left, right, by = left.withColumn("__g", F.lit(0)), right.withColumn("__g", F.lit(0)), ["__g"]
         return not_in(left, right, key, by, rk, broadcast_guard).drop("__g")
     r = right.select(*by, F.col(rk).alias("__k"))
-    present = r.where(F.col("__k").isNotNull()).select(*by, F.col("__k").alias(key))
+    # distinct (combined map-side) so a hot key on the subquery side cannot skew the join
+    present = r.where(F.col("__k").isNotNull()).select(*by, F.col("__k").alias(key)).distinct()
     kept = left.join(present, by + [key], "left_anti")
     guard = r.groupBy(*by).agg(F.bool_or(F.col("__k").isNull()).alias("__has_null"),
                                F.lit(True).alias("__nonempty"))

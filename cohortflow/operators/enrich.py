@@ -27,16 +27,24 @@ def fact_with_items(cat: Catalog) -> DataFrame:
 
 
 def unnest_details(cat: Catalog) -> DataFrame:
-    """``LEFT JOIN UNNEST(details) LEFT JOIN UNNEST(discounts)``: one row per
-    (detail, discount) pair of an order; an order without items keeps one
-    row of NULLs (``explode_outer``)."""
+    """``LEFT JOIN UNNEST(details)`` and ``UNNEST(discounts)`` of every order.
+
+    The original unnests both arrays in one FROM clause, i.e. it pairs every
+    detail with every discount of the order; those pairs carry nothing (the
+    report only counts distinct users and orders) and grow quadratically with
+    the order size. Here the two unnests are stacked, not paired: a detail
+    row has ``amount`` NULL, a discount row has the detail columns NULL, and
+    an order without details keeps one NULL detail row (``explode_outer``).
+    """
     f = fact_with_items(cat)
-    x = f.select("order_id", F.explode_outer("details").alias("d"), "discounts")
-    x = x.select("order_id", "d", F.explode_outer("discounts").alias("x"))
-    return x.select("order_id",
-                    F.col("d.product.product_id").alias("product_id"),
-                    F.col("d.is_subsidized").alias("is_subsidized"),
-                    F.col("x.amount").alias("amount"))
+    d = f.select("order_id", F.explode_outer("details").alias("d")).select(
+        "order_id", F.col("d.product.product_id").alias("product_id"),
+        F.col("d.is_subsidized").alias("is_subsidized"),
+        F.lit(None).cast("double").alias("amount"))
+    x = f.select("order_id", F.explode("discounts").alias("x")).select(
+        "order_id", F.lit(None).cast("long").alias("product_id"),
+        F.lit(None).cast("boolean").alias("is_subsidized"), F.col("x.amount").alias("amount"))
+    return d.unionByName(x)
 
 
 def details(cat: Catalog) -> DataFrame:

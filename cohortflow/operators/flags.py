@@ -46,8 +46,11 @@ def coupons_after_cutoff(cat: Catalog, params: ReportParams) -> DataFrame:
 
 def bank_campaign_orders(cat: Catalog) -> DataFrame:
     """Distinct order ids reached by order_log -> campaign_log_items -> named campaign."""
-    named = cat["campaign"].where(F.col("name").isNotNull()).select("id")
-    items = cat["campaign_log_items"].join(named, "id", "left_semi").select("order_log_id")
+    named = cat["campaign"].where(F.col("name").isNotNull()).select("id").distinct()
+    # one row per log id (map-side distinct): a log with a third of all items
+    # cannot skew the semi join below
+    items = (cat["campaign_log_items"].join(named, "id", "left_semi")
+             .select("order_log_id").distinct())
     log = cat["order_log"]
     return (log.join(items, log.id == items.order_log_id, "left_semi")
             .select("order_id").where(F.col("order_id").isNotNull()).distinct())

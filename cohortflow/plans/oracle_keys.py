@@ -162,9 +162,11 @@ FROM (SELECT DISTINCT CAST(date_trunc('month', registered_date) AS DATE) AS m FR
             "LEFT JOIN dim_subsidized_campaign dsc "
             "ON dsp.subsidized_product_campaing_id = dsc.subsidized_campaign_id"),
         "unnest_details": with_adapter(
-            "SELECT fo.order_id, fd.product_id, fd.is_subsidized, fx.amount FROM fact_orders fo "
-            "LEFT JOIN fact_details fd ON fd.order_id = fo.order_id "
-            "LEFT JOIN fact_discounts fx ON fx.order_id = fo.order_id"),
+            "SELECT fo.order_id, fd.product_id, fd.is_subsidized, CAST(NULL AS DOUBLE) AS amount "
+            "FROM fact_orders fo LEFT JOIN fact_details fd ON fd.order_id = fo.order_id "
+            "UNION ALL "
+            "SELECT fx.order_id, CAST(NULL AS BIGINT), CAST(NULL AS BOOLEAN), fx.amount "
+            "FROM fact_orders fo JOIN fact_discounts fx ON fx.order_id = fo.order_id"),
         "unnest_singleton": with_adapter(
             "SELECT partner_id, franchise_id, business_type_name FROM dim_partner"),
         "coupon_window": with_adapter(f"""

@@ -29,6 +29,15 @@ CRM_MARKERS = ("LOCAL", "CENTRAL")
 CORPORATE_MARKER = "COOP"
 
 
+def _crm_sql(col: str) -> str:
+    a, b = CRM_MARKERS
+    return f"coalesce({col} LIKE '%{a}%' OR {col} LIKE '%{b}%', false)"
+
+
+def _coop_sql(col: str) -> str:
+    return f"coalesce({col} LIKE '%{CORPORATE_MARKER}%', false)"
+
+
 def _crm(name: Column) -> Column:
     return is_true(name.contains(CRM_MARKERS[0]) | name.contains(CRM_MARKERS[1]))
 
@@ -58,20 +67,18 @@ def bank_campaign_orders(cat: Catalog) -> DataFrame:
 
 def order_incentives(cat: Catalog, params: ReportParams) -> DataFrame:
     """order_id -> crm, coop, bank (booleans; orders absent here have none)."""
-    cp = coupons_after_cutoff(cat, params)
-    name = F.col("talon_campaign_name")
-    coupons = cp.select("order_id", _crm(name).alias("crm"), _coop(name).alias("coop"),
-                        F.lit(False).alias("bank"))
-    wallet = cat["fact_wallet"].select("order_id", F.lit(False).alias("crm"),
-                                       _coop(F.col("campaign_name")).alias("coop"),
-                                       F.lit(False).alias("bank"))
-    bank = bank_campaign_orders(cat).select("order_id", F.lit(False).alias("crm"),
-                                            F.lit(False).alias("coop"), F.lit(True).alias("bank"))
-    return (coupons.unionByName(wallet).unionByName(bank)
-            .where(F.col("order_id").isNotNull())
+    coupons = coupons_after_cutoff(cat, params).selectExpr(
+        "order_id", f"{_crm_sql('talon_campaign_name')} AS crm",
+        f"{_coop_sql('talon_campaign_name')} AS coop", "false AS bank")
+    wallet = cat["fact_wallet"].selectExpr(
+        "order_id", "false AS crm", f"{_coop_sql('campaign_name')} AS coop", "false AS bank")
+    bank = bank_campaign_orders(cat).selectExpr(
+        "order_id", "false AS crm", "false AS coop", "true AS bank")
+    return (coupons.union(wallet).union(bank)
+            .where("order_id IS NOT NULL")
             .groupBy("order_id")
-            .agg(F.bool_or("crm").alias("crm"), F.bool_or("coop").alias("coop"),
-                 F.bool_or("bank").alias("bank")))
+            .agg(F.expr("bool_or(crm) AS crm"), F.expr("bool_or(coop) AS coop"),
+                 F.expr("bool_or(bank) AS bank")))
 
 
 def order_metric_flags(orders: DataFrame, incentives: DataFrame,

@@ -57,9 +57,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     Only when it is unset -- local tests -- a private folder is created.
     """
     global _LOCAL_FALLBACK
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
-        if _LOCAL_FALLBACK is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder every executor "
+                               "can read and write (HDFS, object store, shared mount)")
+        if _LOCAL_FALLBACK is None:  # local mode only: one machine, a private folder is shared
             _LOCAL_FALLBACK = tempfile.mkdtemp(prefix="cohortflow-ckpt-")
         path = _LOCAL_FALLBACK
     if not spark.sparkContext.getCheckpointDir():

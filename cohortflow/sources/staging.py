@@ -77,8 +77,20 @@ def stage(spark: SparkSession, sf_dir: str, target: str, n_files: int | None = N
     fs.create(p, True).close()
 
 
+_CATALOGS: dict[tuple, ParquetCatalog] = {}
+
+
 def staged_catalog(spark: SparkSession, sf_dir: str) -> ParquetCatalog:
+    """Catalog over the staged logical tables of ``sf_dir`` (staging them if needed).
+
+    The staged folder is immutable and named by the input fingerprint, so the
+    catalog (its Parquet relations and their file listings) is reused for the
+    session and the same input.
+    """
     root = shared_path(spark, "cohortflow-stage", _fingerprint(spark, sf_dir))
+    key = (id(spark), root)
+    if key in _CATALOGS and _exists(spark, f"{root}/{DONE}"):
+        return _CATALOGS[key]
     if not _exists(spark, f"{root}/{DONE}"):
         tmp = f"{root}.tmp-{uuid.uuid4().hex[:8]}"
         stage(spark, sf_dir, tmp)
@@ -89,4 +101,5 @@ def staged_catalog(spark: SparkSession, sf_dir: str) -> ParquetCatalog:
             fs.rename(src, dst)
         else:  # another run staged it first; keep theirs
             fs.delete(src, True)
-    return ParquetCatalog(spark, root)
+    _CATALOGS[key] = ParquetCatalog(spark, root)
+    return _CATALOGS[key]

@@ -27,7 +27,7 @@ from ..sources.catalog import Catalog
 from ..sources.schemas import METRIC_COLUMNS
 from .base import order_base
 from .flags import order_incentives, order_metric_flags
-from .segments import segments
+from .segments import activity, label_for_month, wide_labels
 
 USER_FLAGS = ("f_voucher", "f_crm", "f_df0", "f_corporate", "f_banks", "f_plus", "ok", "f_inc")
 
@@ -82,9 +82,13 @@ def report(cat: Catalog, params: ReportParams) -> DataFrame:
     # One base for both branches: identical subtrees let Spark reuse the scan
     # and exchanges of the fact instead of computing them twice.
     base = order_base(cat, params, params.range_start, params.range_end)
-    seg = segments(base, params).select("scope", "m", "user_id", "user_type")
+    labels = wide_labels(activity(base, params), params)
+    # join on (scope, user_id): the label side keeps the partitioning of the
+    # segment aggregate; the month's label is picked after the join
     users = (user_level(report_orders(cat, params, base))
-             .join(seg, ["scope", "m", "user_id"], "inner"))
+             .join(labels, ["scope", "user_id"], "inner")
+             .selectExpr("*", f"{label_for_month(params)} AS user_type")
+             .where("user_type IS NOT NULL"))
     return summarize(users)
 
 

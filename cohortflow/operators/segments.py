@@ -20,8 +20,9 @@ conditional aggregates of one ``groupBy(scope, user)``:
 
 ``bool_or`` aggregates combine map-side (partial aggregation), so a user who
 owns a third of all orders still ships one row per task into the single
-shuffle; no window, no sort, no self-join. Months are then unpacked with
-``inline`` and labelled.
+shuffle; no window, no sort, no self-join. Each month's label is one CASE
+over those columns (``wide_labels``); ``inline`` unpacks them into rows where
+a long table is wanted.
 
 ``NOT IN`` semantics for NULL user ids are kept by two guard flags per
 (scope, month) taken from the NULL user's row of the same aggregate (one row
@@ -71,57 +72,56 @@ def activity(base: DataFrame, params: ReportParams) -> DataFrame:
     return month_features(x, params, ok="ok", first="first", confirmed_date="d")
 
 
-def _per_month(params: ReportParams, fields: dict[str, str]) -> str:
-    """``inline(array(named_struct(...) per month))`` over the activity columns."""
-    items = []
-    for i, m in enumerate(params.report_months()):
-        kv = ", ".join(f"'{k}', {v.format(i=i)}" for k, v in fields.items())
-        items.append(f"named_struct('m', {_d(m)}, {kv})")
-    return f"inline(array({', '.join(items)}))"
-
-
 def null_user_guards(act: DataFrame, params: ReportParams) -> DataFrame:
-    """(scope, m, g_new, g_react) from the NULL user id's activity (one row per scope)."""
-    nulls = act.where(F.col("user_id").isNull())
-    return nulls.selectExpr("scope", _per_month(params, {
-        "g_new": "hist_{i} OR first_{i}",   # NULL in the history or first-purchase set
-        "g_react": "prev_{i}",              # NULL among last month's buyers
-    }))
-
-
-def user_month_state(act: DataFrame, params: ReportParams) -> DataFrame:
-    """One row per (scope, user, reported month) with an order in that month."""
+    """scope -> g_new_i, g_react_i from the NULL user id's activity row (one row
+    per scope, so the table is bounded by the number of scopes)."""
+    cols = []
+    for i in range(params.n_months):
+        cols += [f"hist_{i} OR first_{i} AS g_new_{i}",  # NULL in history or first-purchase set
+                 f"prev_{i} AS g_react_{i}"]              # NULL among last month's buyers
+    return act.where(F.col("user_id").isNull()).selectExpr("scope", *cols)
+
+
+def wide_labels(act: DataFrame, params: ReportParams) -> DataFrame:
+    """(scope, user_id) -> label_i and users_i per reported month i.
+
+    label_i is NULL when the user gets no label in month i (no order there,
+    or retained). The row keeps the partitioning of the activity aggregate,
+    so joining it on (scope, user_id) needs no further shuffle of this side.
+    """
     a = act.where(F.col("user_id").isNotNull())
-    s = a.selectExpr("scope", "user_id", _per_month(params, {
-        "any": "any_{i}", "conf": "conf_{i}", "first": "first_{i}",
-        "hist": "hist_{i}", "prev": "prev_{i}"}))
-    return s.where("any").drop("any")
-
-
-def label_segments(state: DataFrame, guards: DataFrame | None) -> DataFrame:
-    """scope, m, user_id, user_type, users (1 if a CONFIRMED order in M)."""
-    if guards is not None:
-        state = state.join(F.broadcast(guards), ["scope", "m"], "left")
-        g_new = F.coalesce(F.col("g_new"), F.lit(False))
-        g_react = F.coalesce(F.col("g_react"), F.lit(False))
-    else:
-        g_new = g_react = F.lit(False)
-    state = state.select("*", g_new.alias("g_new_"), g_react.alias("g_react_"))
-    # acquisition = first; new = not first, no history, no NULL-guard;
-    # reactivated = bought now, not last month, neither of the above
-    new = "NOT first AND NOT hist AND NOT g_new_"
-    label = (f"CASE WHEN first THEN '{ACQUISITION}' WHEN {new} THEN '{NEW_USERS}' "
-             f"WHEN conf AND NOT prev AND NOT g_react_ THEN '{REACTIVATED}' END")
-    return (state.selectExpr("scope", "m", "user_id", f"{label} AS user_type",
-                             "CAST(conf AS BIGINT) AS users")
-            .where("user_type IS NOT NULL"))
+    guarded = params.null_users == "sql"
+    if guarded:
+        a = a.join(F.broadcast(null_user_guards(act, params)), "scope", "left")
+    cols = []
+    for i in range(params.n_months):
+        g_new = f"coalesce(g_new_{i}, false)" if guarded else "false"
+        g_react = f"coalesce(g_react_{i}, false)" if guarded else "false"
+        # acquisition = first purchase; new = an order, no history, no NULL
+        # guard; reactivated = bought now, not last month, neither of the above
+        cols += [f"CASE WHEN first_{i} THEN '{ACQUISITION}' "
+                 f"WHEN any_{i} AND NOT hist_{i} AND NOT {g_new} THEN '{NEW_USERS}' "
+                 f"WHEN conf_{i} AND NOT prev_{i} AND NOT {g_react} THEN '{REACTIVATED}' END "
+                 f"AS label_{i}",
+                 f"CAST(conf_{i} AS BIGINT) AS users_{i}"]
+    return a.selectExpr("scope", "user_id", *cols)
+
+
+def label_for_month(params: ReportParams, month_col: str = "m") -> str:
+    """SQL picking ``label_i`` of the row's month from a wide label row."""
+    arms = " ".join(f"WHEN {_d(m)} THEN label_{i}" for i, m in enumerate(params.report_months()))
+    return f"CASE {month_col} {arms} END"
 
 
 def segments(base: DataFrame, params: ReportParams) -> DataFrame:
-    """Labelled (scope, m, user_id) for every reported month and scope."""
+    """Labelled (scope, m, user_id, user_type, users) for every reported month and scope."""
     return segments_from_features(activity(base, params), params)
 
 
 def segments_from_features(act: DataFrame, params: ReportParams) -> DataFrame:
-    guards = null_user_guards(act, params) if params.null_users == "sql" else None
-    return label_segments(user_month_state(act, params), guards)
+    w = wide_labels(act, params)
+    items = ", ".join(f"named_struct('m', {_d(m)}, 'user_type', label_{i}, 'users', users_{i})"
+                      for i, m in enumerate(params.report_months()))
+    return (w.selectExpr("scope", "user_id", f"inline(array({items}))")
+            .where("user_type IS NOT NULL")
+            .select("scope", "m", "user_id", "user_type", "users"))

@@ -77,12 +77,19 @@ def report_orders(cat: Catalog, params: ReportParams, base: DataFrame | None = N
     return order_metric_flags(o, order_incentives(cat, params), params.strict_confirmed)
 
 
-def report(cat: Catalog, params: ReportParams) -> DataFrame:
-    """The full report: Month, vertical, user_type and the ten counts."""
-    # One base for both branches: identical subtrees let Spark reuse the scan
-    # and exchanges of the fact instead of computing them twice.
-    base = order_base(cat, params, params.range_start, params.range_end)
-    labels = wide_labels(activity(base, params), params)
+def report(cat: Catalog, params: ReportParams, features: DataFrame | None = None) -> DataFrame:
+    """The full report: Month, vertical, user_type and the ten counts.
+
+    ``features`` are precomputed per-(scope, user) month tests (for example
+    from the monthly rollup of ``streaming.monthly_state``); without them the
+    order history since ``history_start`` is scanned.
+    """
+    if features is None:
+        base = order_base(cat, params, params.range_start, params.range_end)
+        features = activity(base, params)
+    else:
+        base = order_base(cat, params, params.report_months()[-1], params.range_end)
+    labels = wide_labels(features, params)
     # join on (scope, user_id): the label side keeps the partitioning of the
     # segment aggregate; the month's label is picked after the join
     users = (user_level(report_orders(cat, params, base))

@@ -61,8 +61,19 @@ def segments_from_rollup(rollup: DataFrame, params: ReportParams) -> DataFrame:
     History: a month before M whose last confirmed date is on or after
     ``history_start`` holds a confirmed order in [history_start, M).
     """
-    act = month_features(rollup, params, ok="conf", first="first", confirmed_date="ld")
-    return segments_from_features(act, params)
+    return segments_from_features(rollup_features(rollup, params), params)
+
+
+def rollup_features(rollup: DataFrame, params: ReportParams) -> DataFrame:
+    """Per-(scope, user) month tests from rollup rows (see ``segments.month_features``)."""
+    return month_features(rollup, params, ok="conf", first="first", confirmed_date="ld")
+
+
+def report_from_rollup(cat: Catalog, spark: SparkSession, params: ReportParams,
+                       path: str) -> DataFrame:
+    """The full report reading only the reported months of orders plus the rollup."""
+    from ..operators.report import report
+    return report(cat, params, features=rollup_features(read_rollup(spark, path, params), params))
 
 
 def months_to_refresh(params: ReportParams) -> list[dt.date]:

@@ -7,8 +7,9 @@ import pytest
 from cohortflow.operators.base import order_base
 from cohortflow.operators.segments import segments
 from cohortflow.params import DRIVER_PARAMS as P
-from cohortflow.streaming.monthly_state import (months_to_refresh, read_rollup, segments_from_rollup,
-                                                update_month)
+from cohortflow.operators.report import report
+from cohortflow.streaming.monthly_state import (months_to_refresh, read_rollup, report_from_rollup,
+                                                segments_from_rollup, update_month)
 from cohortflow.sources.catalog import frames_catalog
 
 from micro import PARAMS as MP, poison, tables
@@ -36,6 +37,9 @@ def test_rollup_equals_full_run_on_driver_tables(spark, tmp_path):
     full2 = segments(order_base(cat, params, params.range_start, params.range_end), params)
     assert rows(inc) == rows(full2)
     assert len(rows(full)) > len(rows(full2)) > 0
+    path = str(tmp_path / "rollup")
+    got = sorted(map(tuple, report_from_rollup(cat, spark, params, path).collect()))
+    assert got == sorted(map(tuple, report(cat, params).collect()))
 
 
 def test_rollup_keeps_null_guards_and_rerun_is_idempotent(spark, tmp_path):

@@ -32,3 +32,35 @@ def test_matches_spark_sql_not_in(spark):
         "SELECT k FROM l_probe WHERE k NOT IN (SELECT k FROM r_probe)").collect())
     got = sorted(r[0] for r in not_in(left, right, "k").collect())
     assert got == want
+
+
+def sql_not_in(x, values):
+    """Three-valued ``x NOT IN values`` reduced to keep/drop (NULL drops)."""
+    if not values:
+        return True
+    if x is None:
+        return False
+    if x in values:
+        return False
+    return None not in values
+
+
+from hypothesis import given, settings, strategies as st  # noqa: E402
+
+keys = st.lists(st.one_of(st.none(), st.integers(0, 6)), max_size=8)
+
+
+@settings(max_examples=15, deadline=None)
+@given(left=keys, right=keys, group_right=st.booleans())
+def test_not_in_property(spark, left, right, group_right):
+    """Per group: the same rows as SQL NOT IN; groups without subquery rows keep all."""
+    lrows = [("g", k) for k in left] + [("h", k) for k in left]
+    rrows = [("g", k) for k in right] + ([("h", k) for k in right[:1]] if group_right else [])
+    ldf = spark.createDataFrame(lrows, "g string, k long")
+    rdf = spark.createDataFrame(rrows, "g string, k long")
+    got = sorted(not_in(ldf, rdf, "k", by=["g"]).collect(), key=lambda r: (r[0], str(r[1])))
+    want = []
+    for g in ("g", "h"):
+        vals = [k for gg, k in rrows if gg == g]
+        want += [(g, k) for gg, k in lrows if gg == g and sql_not_in(k, vals)]
+    assert [tuple(r) for r in got] == sorted(want, key=lambda r: (r[0], str(r[1])))

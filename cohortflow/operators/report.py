@@ -85,14 +85,14 @@ def report(cat: Catalog, params: ReportParams, features: DataFrame | None = None
     order history since ``history_start`` is scanned.
     """
     if features is None:
-        base = order_base(cat, params, params.range_start, params.range_end)
-        features = activity(base, params)
-    else:
-        base = order_base(cat, params, params.report_months()[-1], params.range_end)
+        history = order_base(cat, params, params.range_start, params.range_end)
+        features = activity(history, params)
     labels = wide_labels(features, params)
+    # the counted orders come from their own scan: its date range is only the
+    # reported months, so the Parquet reader skips the rest of the history
     # join on (scope, user_id): the label side keeps the partitioning of the
     # segment aggregate; the month's label is picked after the join
-    users = (user_level(report_orders(cat, params, base))
+    users = (user_level(report_orders(cat, params))
              .join(labels, ["scope", "user_id"], "inner")
              .selectExpr("*", f"{label_for_month(params)} AS user_type")
              .where("user_type IS NOT NULL"))

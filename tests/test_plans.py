@@ -80,3 +80,13 @@ def test_fact_scan_pushdown_and_pruning(spark, parquet_catalog):
         assert "country_id" in pushed and "registered_date" in pushed
         schema = re.search(r"ReadSchema: (\S+)", s).group(1)
         assert "details" not in schema and "discounts" not in schema
+
+
+def test_counted_orders_scan_reads_only_reported_months(spark, parquet_catalog):
+    """The history scan starts at history_start; the scan of the counted
+    orders starts at the earliest reported month (pushed to the reader)."""
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    text = plan_text(report(parquet_catalog, PARAMS))
+    starts = set(re.findall(r"GreaterThanOrEqual\(registered_date,(\d{4}-\d{2}-\d{2})\)", text))
+    assert str(PARAMS.history_start) in starts
+    assert str(PARAMS.report_months()[-1]) in starts

@@ -98,9 +98,10 @@ def q_anti_null_aware(spark, sf_dir):
     """Per reported month and scope: CONFIRMED buyers of the month whose id is
     NOT IN last month's CONFIRMED buyers (SQL NULL semantics)."""
     cat = _cat(spark, sf_dir)
-    base = order_base(cat, P, P.range_start, P.range_end).where(F.col("ok"))
-    x = base.select("user_id", "m", F.explode("seg_scopes").alias("vertical"))
     months = P.report_months()
+    # reported months and the month before each: nothing older is read
+    base = order_base(cat, P, add_months(months[-1], -1), P.range_end).where(F.col("ok"))
+    x = base.select("user_id", "m", F.explode("seg_scopes").alias("vertical"))
     left = x.where(F.col("m").isin(*months)).select("vertical", "m", "user_id").distinct()
     right = x.where(F.col("m").isin(*[add_months(m, -1) for m in months])) \
         .select("vertical", F.add_months("m", 1).alias("m"), "user_id")

@@ -70,10 +70,10 @@ def report_orders(cat: Catalog, params: ReportParams, base: DataFrame | None = N
     """Flagged order rows of the reported months (NULL users dropped: never labelled)."""
     months = params.report_months()
     if base is None:
-        base = order_base(cat, params, months[-1], params.range_end)
+        base = order_base(cat, params, months[-1], params.range_end,
+                          dedupe=params.dedupe_orders)
     o = base.where(F.col("m").isin(*months) & F.col("user_id").isNotNull() & (F.size("final_scopes") > 0))
-    o = o.select("order_id", "user_id", "m", "final_scopes", "ok", "has_voucher_discount",
-                 "shipping_amount_no_discount", "with_logistics", "is_user_plus")
+    o = o.select(*ORDER_COLUMNS)
     return order_metric_flags(o, order_incentives(cat, params), params.strict_confirmed)
 
 
@@ -102,8 +102,8 @@ def report(cat: Catalog, params: ReportParams, features: DataFrame | None = None
 def scope_month_metrics(cat: Catalog, params: ReportParams) -> DataFrame:
     """The ten counts per (Month, vertical) over every month of the fact, no
     segmentation: ``COUNT(DISTINCT CASE ...)`` as a two-level aggregate."""
-    base = order_base(cat, params, None, None).where(F.size("final_scopes") > 0)
-    o = base.select(*ORDER_COLUMNS)
+    base = order_base(cat, params, None, None, dedupe=params.dedupe_orders)
+    o = base.where(F.size("final_scopes") > 0).select(*ORDER_COLUMNS)
     flags = order_metric_flags(o, order_incentives(cat, params), params.strict_confirmed)
     users = user_level(flags)
     return summarize(users, by=("m", "vertical"))

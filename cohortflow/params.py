@@ -34,6 +34,9 @@ class ReportParams:
                    for every incentive (the original guards only the voucher term)
     null_users     'sql' reproduces NOT IN semantics for NULL user ids,
                    'ignore' drops NULL users without side effects
+    dedupe_orders  drop repeated rows of one order_id before counting (the
+                   original counts DISTINCT order ids); the shuffle by order_id
+                   is the one the incentive join needs anyway
     """
 
     anchor_month: dt.date
@@ -44,6 +47,7 @@ class ReportParams:
     verticals: tuple[str, ...] = field(default=VERTICALS)
     strict_confirmed: bool = False
     null_users: str = "sql"
+    dedupe_orders: bool = True
 
     def __post_init__(self) -> None:
         if self.n_months < 1:

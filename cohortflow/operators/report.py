@@ -27,7 +27,7 @@ from ..sources.catalog import Catalog
 from ..sources.schemas import METRIC_COLUMNS
 from .base import order_base
 from .flags import order_incentives, order_metric_flags
-from .segments import activity, label_for_month, wide_labels
+from .segments import activity, label_masks, label_sql, month_index_sql
 
 USER_FLAGS = ("f_voucher", "f_crm", "f_df0", "f_corporate", "f_banks", "f_plus", "ok", "f_inc")
 
@@ -87,14 +87,14 @@ def report(cat: Catalog, params: ReportParams, features: DataFrame | None = None
     if features is None:
         history = order_base(cat, params, params.range_start, params.range_end)
         features = activity(history, params)
-    labels = wide_labels(features, params)
+    labels = label_masks(features, params)
     # the counted orders come from their own scan: its date range is only the
     # reported months, so the Parquet reader skips the rest of the history
     # join on (scope, user_id): the label side keeps the partitioning of the
     # segment aggregate; the month's label is picked after the join
     users = (user_level(report_orders(cat, params))
              .join(labels, ["scope", "user_id"], "inner")
-             .selectExpr("*", f"{label_for_month(params)} AS user_type")
+             .selectExpr("*", f"{label_sql(params, month_index_sql(params, 'm'))} AS user_type")
              .where("user_type IS NOT NULL"))
     return summarize(users)
 

@@ -12,17 +12,18 @@ Users with CONFIRMED orders in both M and M-1 (retained) get no label.
 The original evaluates each (scope, month) with three uncorrelated ``NOT IN``
 subqueries over the fact. Here all scopes and months come from one pass:
 the reported months are parameters, so each month's membership tests are
-conditional aggregates of one ``groupBy(scope, user)``:
+bitmask aggregates of one ``groupBy(scope, user)`` (bit i = reported month i):
 
-  any_M   an order in M              conf_M  a CONFIRMED order in M
-  first_M a first purchase in M      hist_M  a CONFIRMED order in [history_start, M)
-  prev_M  a CONFIRMED order in M-1
+  any   an order in M              conf  a CONFIRMED order in M
+  first a first purchase in M      hist  a CONFIRMED order in [history_start, M)
+  prev  a CONFIRMED order in M-1
 
-``bool_or`` aggregates combine map-side (partial aggregation), so a user who
+``bit_or`` aggregates combine map-side (partial aggregation), so a user who
 owns a third of all orders still ships one row per task into the single
-shuffle; no window, no sort, no self-join. Each month's label is one CASE
-over those columns (``wide_labels``); ``inline`` unpacks them into rows where
-a long table is wanted.
+shuffle; no window, no sort, no self-join, and the aggregate stays five
+columns wide whatever the number of months. A month's label is a CASE over
+bits of the masks, evaluated after the report's join or per exploded month
+where a long table is wanted.
 
 ``NOT IN`` semantics for NULL user ids are kept by two guard flags per
 (scope, month) taken from the NULL user's row of the same aggregate (one row
@@ -37,7 +38,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..params import ReportParams, add_months
+from ..params import ReportParams
 
 ACQUISITION = "Acquisition"
 NEW_USERS = "New Users"
@@ -48,69 +49,112 @@ def _d(x) -> str:
     return f"DATE'{x.isoformat()}'"
 
 
+# Month tests are bitmasks: bit i of word i // WORD is month i of the report
+# (0 = anchor month, counting back). Five bit_or aggregates per 62 months
+# keep the aggregate narrow (whole-stage codegen stays on) for any n_months.
+WORD = 62
+TESTS = ("any", "conf", "first", "hist", "prev")
+
+
+def _words(params: ReportParams) -> range:
+    return range((params.n_months + WORD - 1) // WORD)
+
+
+def month_index_sql(params: ReportParams, col: str) -> str:
+    """Months between the anchor month and month-start ``col`` (0 = anchor)."""
+    return f"CAST(months_between({_d(params.anchor)}, {col}) AS INT)"
+
+
+def _bit(idx: str, w: int, n: int) -> str:
+    """The bit of month index ``idx`` in word ``w`` (0 when outside the report)."""
+    lo, hi = w * WORD, min(n, (w + 1) * WORD)
+    return f"CASE WHEN {idx} >= {lo} AND {idx} < {hi} THEN shiftleft(1L, {idx} - {lo}) ELSE 0L END"
+
+
+def _below(idx: str, w: int, n: int) -> str:
+    """Bits of all report months more recent than month index ``idx`` (indices < idx)."""
+    lo, hi = w * WORD, min(n, (w + 1) * WORD)
+    return f"shiftleft(1L, least(greatest({idx}, {lo}), {hi}) - {lo}) - 1L"
+
+
 def month_features(rows: DataFrame, params: ReportParams, ok: str, first: str,
                    confirmed_date: str) -> DataFrame:
-    """Group ``rows`` (scope, user_id, m, ...) by (scope, user_id) into the five
-    tests per reported month i. ``ok``/``first``/``confirmed_date`` are SQL
-    expressions over ``rows``: order rows (date ``d``) or monthly rollup rows
-    (last confirmed date ``ld``) both fit."""
-    hs = _d(params.history_start)
+    """Group ``rows`` (scope, user_id, m, ...) by (scope, user_id) into five
+    month-test bitmasks per word. ``ok``/``first``/``confirmed_date`` are SQL
+    over ``rows``: order rows (date ``d``) or monthly rollup rows (last
+    confirmed date ``ld``) both fit.
+
+    any   an order in month i            conf  a CONFIRMED order in month i
+    first a first purchase in month i    prev  a CONFIRMED order in month i+1's
+                                               previous month (the month before i)
+    hist  a CONFIRMED order on or after history_start, before month i
+    """
+    n, hs, idx = params.n_months, _d(params.history_start), month_index_sql(params, "m")
     aggs = []
-    for i, m in enumerate(params.report_months()):
-        M, prev = _d(m), _d(add_months(m, -1))
-        aggs += [f"bool_or(m = {M}) AS any_{i}",
-                 f"bool_or({ok} AND m = {M}) AS conf_{i}",
-                 f"bool_or({first} AND m = {M}) AS first_{i}",
-                 f"bool_or({ok} AND {confirmed_date} >= {hs} AND m < {M}) AS hist_{i}",
-                 f"bool_or({ok} AND m = {prev}) AS prev_{i}"]
+    for w in _words(params):
+        aggs += [f"bit_or({_bit(idx, w, n)}) AS any_{w}",
+                 f"bit_or(CASE WHEN {ok} THEN {_bit(idx, w, n)} ELSE 0L END) AS conf_{w}",
+                 f"bit_or(CASE WHEN {first} THEN {_bit(idx, w, n)} ELSE 0L END) AS first_{w}",
+                 f"bit_or(CASE WHEN {ok} AND {confirmed_date} >= {hs} "
+                 f"THEN {_below(idx, w, n)} ELSE 0L END) AS hist_{w}",
+                 # a CONFIRMED order in month m is "last month" for month m + 1
+                 f"bit_or(CASE WHEN {ok} THEN {_bit(f'({idx} - 1)', w, n)} ELSE 0L END) "
+                 f"AS prev_{w}"]
     return rows.groupBy("scope", "user_id").agg(*[F.expr(a) for a in aggs])
 
 
 def activity(base: DataFrame, params: ReportParams) -> DataFrame:
-    """(scope, user_id) -> any_i, conf_i, first_i, hist_i, prev_i per reported month i."""
+    """(scope, user_id) -> month-test bitmasks (see ``month_features``)."""
     x = base.selectExpr("user_id", "m", "d", "ok", "first", "explode(seg_scopes) AS scope")
     return month_features(x, params, ok="ok", first="first", confirmed_date="d")
 
 
 def null_user_guards(act: DataFrame, params: ReportParams) -> DataFrame:
-    """scope -> g_new_i, g_react_i from the NULL user id's activity row (one row
-    per scope, so the table is bounded by the number of scopes)."""
+    """scope -> guard bitmasks from the NULL user id's row (one row per scope,
+    so the table is bounded by the number of scopes)."""
     cols = []
-    for i in range(params.n_months):
-        cols += [f"hist_{i} OR first_{i} AS g_new_{i}",  # NULL in history or first-purchase set
-                 f"prev_{i} AS g_react_{i}"]              # NULL among last month's buyers
+    for w in _words(params):
+        cols += [f"hist_{w} | first_{w} AS g_new_{w}",  # NULL in history / first-purchase set
+                 f"prev_{w} AS g_react_{w}"]           # NULL among last month's buyers
     return act.where(F.col("user_id").isNull()).selectExpr("scope", *cols)
 
 
-def wide_labels(act: DataFrame, params: ReportParams) -> DataFrame:
-    """(scope, user_id) -> label_i and users_i per reported month i.
+def label_masks(act: DataFrame, params: ReportParams) -> DataFrame:
+    """(scope, user_id) -> month-test bitmasks plus the NULL guards of the scope.
 
-    label_i is NULL when the user gets no label in month i (no order there,
-    or retained). The row keeps the partitioning of the activity aggregate,
-    so joining it on (scope, user_id) needs no further shuffle of this side.
+    The row keeps the partitioning of the activity aggregate, so joining it
+    on (scope, user_id) needs no further shuffle of this side.
     """
     a = act.where(F.col("user_id").isNotNull())
-    guarded = params.null_users == "sql"
-    if guarded:
+    words = list(_words(params))
+    if params.null_users == "sql":
         a = a.join(F.broadcast(null_user_guards(act, params)), "scope", "left")
-    cols = []
-    for i in range(params.n_months):
-        g_new = f"coalesce(g_new_{i}, false)" if guarded else "false"
-        g_react = f"coalesce(g_react_{i}, false)" if guarded else "false"
-        # acquisition = first purchase; new = an order, no history, no NULL
-        # guard; reactivated = bought now, not last month, neither of the above
-        cols += [f"CASE WHEN first_{i} THEN '{ACQUISITION}' "
-                 f"WHEN any_{i} AND NOT hist_{i} AND NOT {g_new} THEN '{NEW_USERS}' "
-                 f"WHEN conf_{i} AND NOT prev_{i} AND NOT {g_react} THEN '{REACTIVATED}' END "
-                 f"AS label_{i}",
-                 f"CAST(conf_{i} AS BIGINT) AS users_{i}"]
-    return a.selectExpr("scope", "user_id", *cols)
-
-
-def label_for_month(params: ReportParams, month_col: str = "m") -> str:
-    """SQL picking ``label_i`` of the row's month from a wide label row."""
-    arms = " ".join(f"WHEN {_d(m)} THEN label_{i}" for i, m in enumerate(params.report_months()))
-    return f"CASE {month_col} {arms} END"
+        guards = [f"coalesce(g_new_{w}, 0L) AS g_new_{w}" for w in words] + \
+                 [f"coalesce(g_react_{w}, 0L) AS g_react_{w}" for w in words]
+    else:
+        guards = [f"0L AS g_new_{w}" for w in words] + [f"0L AS g_react_{w}" for w in words]
+    masks = [f"{t}_{w}" for w in words for t in TESTS]
+    return a.selectExpr("scope", "user_id", *masks, *guards)
+
+
+def label_sql(params: ReportParams, idx: str) -> str:
+    """Segment label of month index ``idx`` from the bitmasks (NULL = none)."""
+    def b(name: str) -> str:
+        if len(_words(params)) == 1:
+            return f"(shiftright({name}_0, {idx}) & 1L) = 1L"
+        arms = " ".join(f"WHEN {w} THEN {name}_{w}" for w in _words(params))
+        return f"(shiftright(CASE {idx} DIV {WORD} {arms} END, {idx} % {WORD}) & 1L) = 1L"
+    # acquisition = first purchase; new = an order, no history, no NULL guard;
+    # reactivated = bought now, not last month, neither of the above
+    return (f"CASE WHEN {b('first')} THEN '{ACQUISITION}' "
+            f"WHEN {b('any')} AND NOT {b('hist')} AND NOT {b('g_new')} THEN '{NEW_USERS}' "
+            f"WHEN {b('conf')} AND NOT {b('prev')} AND NOT {b('g_react')} THEN '{REACTIVATED}' END")
+
+
+def confirmed_sql(params: ReportParams, idx: str) -> str:
+    """1 when the user has a CONFIRMED order in month ``idx`` (the original's ``users``)."""
+    arms = " ".join(f"WHEN {w} THEN conf_{w}" for w in _words(params))
+    return f"shiftright(CASE {idx} DIV {WORD} {arms} END, {idx} % {WORD}) & 1L"
 
 
 def segments(base: DataFrame, params: ReportParams) -> DataFrame:
@@ -119,9 +163,10 @@ def segments(base: DataFrame, params: ReportParams) -> DataFrame:
 
 
 def segments_from_features(act: DataFrame, params: ReportParams) -> DataFrame:
-    w = wide_labels(act, params)
-    items = ", ".join(f"named_struct('m', {_d(m)}, 'user_type', label_{i}, 'users', users_{i})"
-                      for i, m in enumerate(params.report_months()))
-    return (w.selectExpr("scope", "user_id", f"inline(array({items}))")
-            .where("user_type IS NOT NULL")
-            .select("scope", "m", "user_id", "user_type", "users"))
+    x = label_masks(act, params).selectExpr(
+        "*", f"explode(sequence(0, {params.n_months - 1})) AS i")
+    return x.selectExpr(
+        "scope", f"add_months({_d(params.anchor)}, -i) AS m", "user_id",
+        f"{label_sql(params, 'i')} AS user_type",
+        f"CAST({confirmed_sql(params, 'i')} AS BIGINT) AS users",
+    ).where("user_type IS NOT NULL")

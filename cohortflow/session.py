@@ -57,7 +57,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     Only when it is unset -- local tests -- a private folder is created.
     """
     global _LOCAL_FALLBACK
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect client: no SparkContext, read the setting
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path:
+            return path
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a shared folder")
+        if _LOCAL_FALLBACK is None:
+            _LOCAL_FALLBACK = tempfile.mkdtemp(prefix="cohortflow-ckpt-")
+        return _LOCAL_FALLBACK
     path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
         if not sc.master.startswith("local"):

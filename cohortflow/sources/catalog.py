@@ -43,6 +43,7 @@ class ParquetCatalog(Catalog):
     """``{root}/{logical_name}`` Parquet datasets read with explicit schemas."""
 
     def __init__(self, spark: SparkSession, root: str):
+        self.root = root
         builders = {
             name: (lambda name=name, schema=schema:
                    spark.read.schema(schema).parquet(f"{root}/{name}"))

@@ -37,10 +37,71 @@ ADAPTER_VERSION = "4"
 DONE = "_STAGED"
 
 
-def _hadoop_fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
+class _LocalFS:
+    """The few file-system calls staging needs, for local paths, used when the
+    session exposes no JVM gateway (a Spark Connect client)."""
+
+    @staticmethod
+    def _p(path: str) -> str:
+        return path[5:] if path.startswith("file:") else path
+
+    def status(self, path):
+        st = os.stat(self._p(path))
+        return st.st_size, int(st.st_mtime * 1000)
+
+    def exists(self, path):
+        return os.path.exists(self._p(path))
+
+    def touch(self, path):
+        open(self._p(path), "w").close()
+
+    def rename(self, src, dst):
+        os.makedirs(os.path.dirname(self._p(dst)), exist_ok=True)
+        try:
+            os.rename(self._p(src), self._p(dst))
+        except OSError:  # another run staged it first; theirs is complete
+            pass
+
+
+class _HadoopFS:
+    """Hadoop FileSystem calls (HDFS, object stores, local) through the session's JVM."""
+
+    def __init__(self, spark: SparkSession):
+        self.jvm = spark.sparkContext._jvm
+        self.conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def _fs(self, path):
+        p = self.jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.conf), p
+
+    def status(self, path):
+        fs, p = self._fs(path)
+        st = fs.getFileStatus(p)
+        return st.getLen(), st.getModificationTime()
+
+    def exists(self, path):
+        fs, p = self._fs(path)
+        return fs.exists(p)
+
+    def touch(self, path):
+        fs, p = self._fs(path)
+        fs.create(p, True).close()
+
+    def rename(self, src, dst):
+        fs, s = self._fs(src)
+        _, d = self._fs(dst)
+        if fs.exists(d):  # another run staged it first; keep theirs
+            fs.delete(s, True)
+            return
+        fs.mkdirs(d.getParent())
+        fs.rename(s, d)
+
+
+def _files(spark: SparkSession):
+    try:
+        return _HadoopFS(spark)
+    except Exception:  # no JVM gateway in this session
+        return _LocalFS()
 
 
 def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
@@ -48,23 +109,21 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
     # instants, so a stage is only reused under the zone that wrote it
     tz = spark.conf.get("spark.sql.session.timeZone")
     h = hashlib.sha256(f"{ADAPTER_VERSION}|{tz}".encode())
+    fs = _files(spark)
     for name in sorted(DRIVER_SCHEMAS):
-        path = f"{sf_dir}/{name}.parquet"
-        fs, p, _ = _hadoop_fs(spark, path)
-        st = fs.getFileStatus(p)
-        h.update(f"{os.path.abspath(sf_dir)}|{name}|{st.getLen()}|{st.getModificationTime()}".encode())
+        size, mtime = fs.status(f"{sf_dir}/{name}.parquet")
+        h.update(f"{os.path.abspath(sf_dir)}|{name}|{size}|{mtime}".encode())
     return h.hexdigest()[:16]
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    fs, p, _ = _hadoop_fs(spark, path)
-    return fs.exists(p)
+    return _files(spark).exists(path)
 
 
 def stage(spark: SparkSession, sf_dir: str, target: str, n_files: int | None = None) -> None:
     """Derive every logical table from the driver tables and write it under ``target``."""
     cat = driver_catalog(spark, sf_dir)
-    n = n_files or spark.sparkContext.defaultParallelism
+    n = n_files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     for name, schema in LOGICAL_SCHEMAS.items():
         df = cat["fact_orders_nested"] if name == "fact_orders" else cat[name]
         df = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
@@ -73,8 +132,7 @@ def stage(spark: SparkSession, sf_dir: str, target: str, n_files: int | None = N
             # statistics let the scan skip dates outside the report range
             df = df.repartition(n, "order_id").sortWithinPartitions("registered_date")
         df.write.mode("overwrite").parquet(f"{target}/{name}")
-    fs, p, jvm = _hadoop_fs(spark, f"{target}/{DONE}")
-    fs.create(p, True).close()
+    _files(spark).touch(f"{target}/{DONE}")
 
 
 _CATALOGS: dict[tuple, ParquetCatalog] = {}
@@ -94,12 +152,6 @@ def staged_catalog(spark: SparkSession, sf_dir: str) -> ParquetCatalog:
     if not _exists(spark, f"{root}/{DONE}"):
         tmp = f"{root}.tmp-{uuid.uuid4().hex[:8]}"
         stage(spark, sf_dir, tmp)
-        fs, src, jvm = _hadoop_fs(spark, tmp)
-        dst = jvm.org.apache.hadoop.fs.Path(root)
-        if not fs.exists(dst):
-            fs.mkdirs(dst.getParent())
-            fs.rename(src, dst)
-        else:  # another run staged it first; keep theirs
-            fs.delete(src, True)
+        _files(spark).rename(tmp, root)
     _CATALOGS[key] = ParquetCatalog(spark, root)
     return _CATALOGS[key]

@@ -1,19 +1,22 @@
 """The monthly segment x incentive report, all months and verticals in one job.
 
 Plan (S = shuffle):
-  fact(range) --join partner scopes--> base
-  base --explode seg scopes--> activity  [S1: partial agg by (scope,user,month)]
-       --window (scope,user) by month--> labels  [S2 on aggregated rows]
-  base(report months) --join incentives by order_id [S3]--> order flags
-       --explode final scopes--> user level [S4: partial agg by (scope,month,user,vertical)]
-       --join labels on (scope,month,user)--> --sum by (month,vertical,type) [S5, tiny]
+  fact[history_start, anchor] --join partner scopes--> --explode seg scopes-->
+       activity bitmasks  [S1: partial agg by (scope, user)]  -> label masks
+       (+ NULL-user guard row per scope, broadcast: bounded by the scopes)
+  fact[reported months] --dedupe by order_id [S2] + join incentives by order_id--> order flags
+       (incentives: coupons/wallet/bank bridge, one union + partial agg by order_id [S3])
+       --explode final scopes--> user level [S4: partial agg by (scope, month, user, vertical)]
+       --[S5: to (scope, user)] join label masks (no shuffle on that side)-->
+       --label of the row's month--> sum by (month, vertical, type) [S6, tiny]
 
 Ten ``COUNT(DISTINCT CASE ...)`` become a two-level aggregate: one row per
 user per (scope, month, vertical) with ``max`` of each flag and ``sum`` of
 order flags, then sums. That avoids Spark's ``Expand`` for many distinct
-aggregates and never holds a whole group in memory. Precondition:
-``order_id`` is unique in the fact (true for the adapter; checked by tests),
-so a per-user sum of order flags equals the distinct order count.
+aggregates and never holds a whole group in memory. Distinct orders: the
+counted orders are de-duplicated by ``order_id`` first (``dedupe_orders``,
+on the shuffle the incentive join needs anyway), so a per-user sum of order
+flags equals the distinct order count.
 """
 
 from __future__ import annotations

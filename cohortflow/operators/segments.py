@@ -25,9 +25,9 @@ columns wide whatever the number of months. A month's label is a CASE over
 bits of the masks, evaluated after the report's join or per exploded month
 where a long table is wanted.
 
-``NOT IN`` semantics for NULL user ids are kept by two guard flags per
-(scope, month) taken from the NULL user's row of the same aggregate (one row
-per scope, so the guard table is bounded by scopes x months and broadcast
+``NOT IN`` semantics for NULL user ids are kept by two guard bitmasks per
+scope taken from the NULL user's row of the same aggregate (one row per
+scope, so the guard table is bounded by the number of scopes and broadcast
 safely): a NULL id in the history set or the first-purchase set empties New
 Users; a NULL id among last month's buyers empties Reactivados. NULL users
 themselves never get a label (the report joins on equality).

@@ -1,6 +1,6 @@
 """Oracle SQL for DuckDB: the report in its original, literal shape.
 
-The Spark code computes segments with one window pass; the oracle does what
+The Spark code computes segments with one aggregate pass; the oracle does what
 the original statement does, one (month, vertical) at a time: three CTEs with
 uncorrelated ``NOT IN`` subqueries, a wide chain of LEFT JOINs (including the
 fan-out joins on order details) and ten ``COUNT(DISTINCT CASE ...)``.

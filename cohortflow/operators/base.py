@@ -51,5 +51,6 @@ def order_base(cat: Catalog, params: ReportParams, start: dt.date | None,
                       "is_user_plus"))
     if dedupe:
         fo = fo.dropDuplicates(["order_id"])
-    scopes = partner_scopes(cat["dim_partner"], params.verticals)
+    scopes = cat.memo(("partner_scopes", params.verticals),
+                      lambda: partner_scopes(cat["dim_partner"], params.verticals))
     return fo.join(scopes, "partner_id", "inner").selectExpr("*", "trunc(d, 'month') AS m")

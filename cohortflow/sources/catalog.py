@@ -35,6 +35,12 @@ class Catalog:
 
     __getitem__ = table
 
+    def memo(self, key, build: Callable[[], DataFrame]) -> DataFrame:
+        """A DataFrame derived from the catalog, built once per catalog (plans only, no data)."""
+        if key not in self._frames:
+            self._frames[key] = build()
+        return self._frames[key]
+
     def names(self) -> list[str]:
         return sorted(self._builders)
 

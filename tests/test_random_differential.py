@@ -126,3 +126,19 @@ def test_more_months_than_one_bitmask_word(spark):
     parts = seg(p.with_(n_months=2)) + seg(p.with_(anchor_month=add_months(p.anchor, -2), n_months=62))
     assert whole == sorted(parts)
     assert len({r[1] for r in whole}) > 3
+
+
+@pytest.mark.parametrize("seed,params", [
+    # history start inside the reported months: earlier months have no history at all
+    (7, ReportParams(anchor_month=D(2023, 3, 1), n_months=3, history_start=D(2023, 2, 10),
+                     as_of=D(2023, 3, 10))),
+    # one month, every incentive term guarded by CONFIRMED, two verticals only
+    (8, ReportParams(anchor_month=D(2023, 2, 1), n_months=1, history_start=D(2021, 1, 1),
+                     as_of=D(2023, 2, 20), strict_confirmed=True, verticals=("Market", "QC"))),
+])
+def test_random_report_variants(spark, seed, params):
+    data = make(seed)
+    got = sorted(tuple(r) for r in report(frames_catalog(spark, spark_tables(*data)), params).collect())
+    want = sorted(tuple(r) for r in duck(*data).execute(report_sql(params, adapter=False)).fetchall())
+    assert got == want
+    assert got

@@ -53,16 +53,18 @@ def coupons_after_cutoff(cat: Catalog, params: ReportParams) -> DataFrame:
     return c.join(cat["dim_talon_campaigns"], "talon_campaign_id", "left")
 
 
-def bank_campaign_orders(cat: Catalog) -> DataFrame:
-    """Distinct order ids reached by order_log -> campaign_log_items -> named campaign."""
+def bank_campaign_orders(cat: Catalog, distinct: bool = True) -> DataFrame:
+    """Order ids reached by order_log -> campaign_log_items -> named campaign
+    (distinct unless the caller reduces by order id itself)."""
     named = cat["campaign"].where(F.col("name").isNotNull()).select("id")
     # one row per log id (map-side distinct): a log with a third of all items
     # cannot skew the semi join below
     items = (cat["campaign_log_items"].join(named, "id", "left_semi")
              .select("order_log_id").distinct())
     log = cat["order_log"]
-    return (log.join(items, log.id == items.order_log_id, "left_semi")
-            .select("order_id").where(F.col("order_id").isNotNull()).distinct())
+    out = (log.join(items, log.id == items.order_log_id, "left_semi")
+           .select("order_id").where(F.col("order_id").isNotNull()))
+    return out.distinct() if distinct else out
 
 
 def order_incentives(cat: Catalog, params: ReportParams) -> DataFrame:
@@ -72,7 +74,8 @@ def order_incentives(cat: Catalog, params: ReportParams) -> DataFrame:
         f"{_coop_sql('talon_campaign_name')} AS coop", "false AS bank")
     wallet = cat["fact_wallet"].selectExpr(
         "order_id", "false AS crm", f"{_coop_sql('campaign_name')} AS coop", "false AS bank")
-    bank = bank_campaign_orders(cat).selectExpr(
+    # no distinct here: the union below is reduced by order_id anyway
+    bank = bank_campaign_orders(cat, distinct=False).selectExpr(
         "order_id", "false AS crm", "false AS coop", "true AS bank")
     return (coupons.union(wallet).union(bank)
             .where("order_id IS NOT NULL")

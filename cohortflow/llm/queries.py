@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontam import leaks
 from .licenses import license_scan
 from .pii import pii
 from .quality import quality
 from .sharding import shard_by_bytes
+from .simhash import near_duplicates
 from .url_rules import url_verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,5 +41,13 @@ def op8_pii(spark, sf_dir):
     return pii(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark, sf_dir):
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_simhash(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def build_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sharding, op2_quality, op4_url_rules, op7_licenses, op8_pii)}
+    return {f.__name__: f for f in (op1_sharding, op2_quality, op4_url_rules, op7_licenses, op8_pii, op9_decontamination, op10_simhash)}

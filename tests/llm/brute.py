@@ -98,3 +98,38 @@ def pii_base(text):
 
 def pii_sha(spans):
     return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+
+
+def simhash(text):
+    """Fingerprint by the contract, one shingle at a time."""
+    import xxhash
+
+    w = SPACE.findall(_lower(text))
+    sh = [" ".join(w[i:i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+    ones = [0] * 64
+    for s in sh:
+        h = xxhash.xxh64(s.encode(), seed=42).intdigest()
+        for b in range(64):
+            ones[b] += h >> b & 1
+    return sum(1 << b for b in range(64) if 2 * ones[b] > len(sh))
+
+
+def components(rows, distance=3):
+    """rows: (id, fingerprint). Smallest id reachable per row, in the order of the rows."""
+    fps = sorted({f for _, f in rows})
+    root = {f: f for f in fps}
+
+    def find(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    for i, a in enumerate(fps):
+        for b in fps[i + 1:]:
+            if (a ^ b).bit_count() <= distance:
+                root[find(b)] = find(a)
+    low = {}
+    for d, f in rows:
+        r = find(f)
+        low[r] = d if r not in low else min(low[r], d)
+    return [low[find(f)] for _, f in rows]

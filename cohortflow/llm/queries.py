@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 from .decontam import leaks
+from .html_text import main_texts
 from .licenses import license_scan
+from .packing import pack
 from .pii import pii
 from .quality import quality
 from .sharding import shard_by_bytes
 from .simhash import near_duplicates
+from .toxicity import toxicity
 from .url_rules import url_verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,10 +33,22 @@ def op2_quality(spark, sf_dir):
     return quality(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
+def op3_main_text(spark, sf_dir):
+    return main_texts(table(spark, sf_dir, "pages")).drop("n_lines", "n_shared")
+
+
 def op4_url_rules(spark, sf_dir):
     return url_verdicts(table(spark, sf_dir, "pages")).drop("matched")
 
 
+def op5_toxicity(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_licenses(spark, sf_dir):
     return license_scan(table(spark, sf_dir, "documents"))
 
@@ -50,4 +66,6 @@ def op10_simhash(spark, sf_dir):
 
 
 def build_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sharding, op2_quality, op4_url_rules, op7_licenses, op8_pii, op9_decontamination, op10_simhash)}
+    return {f.__name__: f for f in (
+        op1_sharding, op2_quality, op3_main_text, op4_url_rules, op5_toxicity, op6_packing, op7_licenses, op8_pii,
+        op9_decontamination, op10_simhash)}

@@ -1,8 +1,74 @@
-"""Corpus pipeline: each stage works on all rows that its predecessor kept."""
+"""Corpus pipeline: toxicity, near duplicates, decontamination, personal data, packing.
+
+``STAGES`` lists the stages in order. Each takes (spark, docs, sf_dir), works
+on every row its predecessor kept, and returns a DataFrame; ``run`` writes each
+result as Parquet below ``spark.checkpoint.dir`` and reads it again for the
+next stage. All stages but the last return the columns of documents.
+
+Rows without an id cannot be named by an operator's result: the filtering
+stages keep them as they are. Of rows that repeat an id, the near-duplicate
+stage keeps one. An empty table passes through.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cohortflow.llm import decontam, packing, pii, simhash, toxicity
+from cohortflow.llm.common import stage, table
+
+TOXIC_AT = 0.3
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id is not among ``ids``; rows without an id stay."""
+    gone = ids.select(F.col("doc_id").alias("_gone")).where(F.col("_gone").isNotNull()).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below ``TOXIC_AT``; the model learns from the labelled rows of ``docs``."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.keep_below(docs, model, TOXIC_AT)
+
+
+def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of every group of linked fingerprints."""
+    found = stage(simhash.near_duplicates(docs), "near-duplicates")
+    rest = _without(docs, found.where("doc_id <> component_id"))
+    again = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
+    one = rest.join(again, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
+    return rest.join(again, F.col("doc_id") == F.col("_again"), "left_anti").unionByName(one)
+
+
+def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return _without(docs, decontam.leaks(docs, table(spark, sf_dir, "benchmark")))
+
+
+def redact_personal_data(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind; n_chars follows the text."""
+    clean = pii.redact(docs)
+    return clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType))
+                            .otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else clean
+
+
+def pack_sequences(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in sequences of 4096 tokens."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("benchmark_decontamination", drop_contaminated),
+    ("pii", redact_personal_data),
+    ("best_fit_packing", pack_sequences),
+]
+
+#: No SQL: fingerprints, edit distances, the model and the tokenizer have none; tests/llm holds each stage against plain Python.
 ORACLE_SQL = None
 
 
@@ -10,5 +76,8 @@ def pipeline_oracle() -> dict[str, str]:
     return {} if ORACLE_SQL is None else {"pipeline": ORACLE_SQL}
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, apply in STAGES:
+        docs = stage(apply(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

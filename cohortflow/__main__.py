@@ -26,6 +26,8 @@ def parse_args(argv=None) -> argparse.Namespace:
     ap.add_argument("--as-of", default=None, help="day the report is run (default: today)")
     ap.add_argument("--verticals", default=",".join(VERTICALS))
     ap.add_argument("--strict-confirmed", action="store_true")
+    ap.add_argument("--null-users", choices=("sql", "ignore"), default="sql",
+                    help="NOT IN semantics for NULL user ids, or drop them without effect")
     ap.add_argument("--out", required=True)
     ap.add_argument("--format", choices=("csv", "parquet"), default="csv")
     return ap.parse_args(argv)
@@ -38,7 +40,7 @@ def params_from(args: argparse.Namespace) -> ReportParams:
         n_months=args.months, history_start=day(args.history_start), country_id=args.country,
         as_of=day(args.as_of) if args.as_of else None,
         verticals=tuple(v.strip() for v in args.verticals.split(",") if v.strip()),
-        strict_confirmed=args.strict_confirmed)
+        strict_confirmed=args.strict_confirmed, null_users=args.null_users)
 
 
 def main(argv=None, spark=None) -> str:

@@ -53,7 +53,3 @@ def report_months_df(spark: SparkSession, params: ReportParams) -> DataFrame:
 
 def date_lit(d: dt.date) -> Column:
     return F.lit(d).cast("date")
-
-
-def month_array(months: list[dt.date]) -> Column:
-    return F.array(*[date_lit(m) for m in months])

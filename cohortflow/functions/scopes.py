@@ -28,11 +28,6 @@ SUPERMARKET_EXACT = "EXPRESS"
 NO_CATEGORY = "Without Category"
 
 
-def is_true(c: Column) -> Column:
-    """SQL WHERE semantics: NULL counts as false."""
-    return F.coalesce(c, F.lit(False))
-
-
 # The predicates are written once, as SQL expression text over the flat
 # partner columns (is_darkstore, business_type_name, category_name): the scope
 # arrays are built from them in one projection (one parse in the JVM instead
@@ -79,11 +74,6 @@ def segment_predicate(vertical: str) -> Column:
     return F.expr(segment_predicate_sql(vertical))
 
 
-def final_predicate(vertical: str) -> Column:
-    """Scope of the orders counted in the report (wider only for Market)."""
-    return F.expr(final_predicate_sql(vertical))
-
-
 def market_sublabel() -> Column:
     """Market report label; NULL drops the order (``HAVING vertical IS NOT NULL``).
 
@@ -93,11 +83,11 @@ def market_sublabel() -> Column:
     return F.expr(SQL_MARKET_SUBLABEL)
 
 
-def flat_partner(dim_partner: DataFrame) -> DataFrame:
+def flat_partner(dim_partner: DataFrame, *more: str) -> DataFrame:
     return dim_partner.select(
         "partner_id", "is_darkstore",
         F.col("business_type.business_type_name").alias("business_type_name"),
-        F.col("businessCategory.name").alias("category_name"),
+        F.col("businessCategory.name").alias("category_name"), *more,
     )
 
 

@@ -5,28 +5,40 @@ Every month the report needs each user's confirmed history since
 monthly, so the history can be kept as a rollup with one row per
 (scope, user, month): any order, any confirmed order, the last confirmed
 date and a first-purchase flag. A new month then scans one month of orders,
-overwrites that month's partition of the rollup (dynamic partition
-overwrite: re-running a month replaces it, nothing is appended twice), and
-labels segments from the rollup -- the same conditional aggregates as the
-full run, over rollup rows (tens of times fewer than orders).
-
-The rollup keeps NULL user ids, so the ``NOT IN`` guards stay exact; it is
-written as Parquet partitioned by month under a shared path.
+replaces that month of the rollup, and labels segments from the rollup -- the
+same conditional aggregates as the full run, over rollup rows (tens of times
+fewer than orders).
+
+Layout: ``path/m=YYYY-MM-DD/v=<run>`` holds one version of a month, and
+``path/_rollup.json`` says for which country and verticals the rollup was built
+and which version of each month is valid. The file is written last, so a month
+that becomes empty is replaced like any other, a run that breaks off changes
+nothing, and a reader with other parameters is refused instead of getting
+wrong counts. The rollup keeps NULL user ids, so the ``NOT IN`` guards stay exact.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.base import order_base
+from ..operators.report import report
 from ..operators.segments import month_features, segments_from_features
 from ..params import ReportParams, add_months, month_end
 from ..sources.catalog import Catalog
+from ..sources.staging import HadoopFS
+
+ROLLUP_SCHEMA = "scope STRING, user_id BIGINT, conf BOOLEAN, ld DATE, first BOOLEAN"
+STATE = "_rollup.json"
+
 
-ROLLUP_SCHEMA = "scope STRING, user_id BIGINT, conf BOOLEAN, ld DATE, first BOOLEAN, m DATE"
+class RollupMismatch(ValueError):
+    """The rollup was built for other parameters, or does not hold a month that is needed."""
 
 
 def monthly_rollup(cat: Catalog, params: ReportParams, start: dt.date, end: dt.date) -> DataFrame:
@@ -40,19 +52,47 @@ def monthly_rollup(cat: Catalog, params: ReportParams, start: dt.date, end: dt.d
     ).select("scope", "user_id", "conf", "ld", "first", "m")
 
 
+def _built_for(params: ReportParams) -> dict:
+    return {"country_id": params.country_id, "verticals": sorted(params.verticals)}
+
+
+def _state(spark: SparkSession, path: str) -> dict | None:
+    fs = HadoopFS(spark)
+    return json.loads(fs.read(f"{path}/{STATE}")) if fs.exists(f"{path}/{STATE}") else None
+
+
+def _check(state: dict, params: ReportParams) -> None:
+    want = _built_for(params)
+    have = {k: state[k] for k in want}
+    if have["country_id"] != want["country_id"] or not set(want["verticals"]) <= set(have["verticals"]):
+        raise RollupMismatch(f"rollup was built for {have}, not for {want}")
+
+
 def update_month(cat: Catalog, params: ReportParams, month: dt.date, path: str) -> None:
-    """Recompute one month of the rollup and replace its partition."""
+    """Recompute one month of the rollup and make the new version the valid one."""
     m = month.replace(day=1)
-    (monthly_rollup(cat, params, m, month_end(m))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("m").parquet(path))
+    state = _state(cat.spark, path) or {**_built_for(params), "months": {}}
+    if _built_for(params) != {k: state[k] for k in _built_for(params)}:
+        raise RollupMismatch(f"rollup was built for {state}, not for {_built_for(params)}")
+    version = f"m={m.isoformat()}/v={uuid.uuid4().hex}"
+    monthly_rollup(cat, params, m, month_end(m)).drop("m").write.parquet(f"{path}/{version}")
+    state["months"][m.isoformat()] = version
+    HadoopFS(cat.spark).write(f"{path}/{STATE}", json.dumps(state))
 
 
 def read_rollup(spark: SparkSession, path: str, params: ReportParams) -> DataFrame:
-    """The rollup months the report needs (partition pruning on ``m``)."""
-    first_month = params.range_start.replace(day=1)
-    r = spark.read.schema(ROLLUP_SCHEMA).parquet(path)
-    return r.where(F.col("m").between(F.lit(first_month), F.lit(params.anchor)))
+    """The rollup months the report needs; refuses a rollup that cannot answer for ``params``."""
+    state = _state(spark, path)
+    if state is None:
+        raise RollupMismatch(f"no rollup at {path}")
+    _check(state, params)
+    needed = [m.isoformat() for m in months_to_refresh(params)]
+    missing = [m for m in needed if m not in state["months"]]
+    if missing:
+        raise RollupMismatch(f"rollup lacks {missing}")
+    r = spark.read.schema(ROLLUP_SCHEMA + ", m DATE").option("basePath", path).parquet(
+        *[f"{path}/{state['months'][m]}" for m in needed])
+    return r.where(F.col("scope").isin(*params.verticals)).select("scope", "user_id", "conf", "ld", "first", "m")
 
 
 def segments_from_rollup(rollup: DataFrame, params: ReportParams) -> DataFrame:
@@ -72,7 +112,6 @@ def rollup_features(rollup: DataFrame, params: ReportParams) -> DataFrame:
 def report_from_rollup(cat: Catalog, spark: SparkSession, params: ReportParams,
                        path: str) -> DataFrame:
     """The full report reading only the reported months of orders plus the rollup."""
-    from ..operators.report import report
     return report(cat, params, features=rollup_features(read_rollup(spark, path, params), params))
 
 

@@ -8,8 +8,8 @@ SQL's ``NOT IN`` differs from ``left_anti`` when NULLs appear:
 Spark plans a literal ``NOT IN`` as a null-aware anti join whose build side
 is always broadcast -- unsafe when the subquery is a large history. This
 operator uses a shuffle ``left_anti`` join on the non-NULL keys plus a guard
-per group (non-empty? contains NULL?). The guard has one row per group, so
-its size is bounded by the number of groups, not by the data.
+per group (non-empty? contains NULL?). The guard has one row per group; the
+planner broadcasts it only when its measured size is small.
 """
 
 from __future__ import annotations
@@ -21,21 +21,19 @@ from pyspark.sql import functions as F
 
 
 def not_in(left: DataFrame, right: DataFrame, key: str, by: Sequence[str] = (),
-           right_key: str | None = None, broadcast_guard: bool = True) -> DataFrame:
+           right_key: str | None = None) -> DataFrame:
     """Rows of ``left`` where ``left[key] NOT IN (right[right_key])`` within each ``by`` group."""
     by = list(by)
     rk = right_key or key
     if not by:  # one global group: a constant key instead of a cross join
         left, right, by = left.withColumn("__g", F.lit(0)), right.withColumn("__g", F.lit(0)), ["__g"]
-        return not_in(left, right, key, by, rk, broadcast_guard).drop("__g")
+        return not_in(left, right, key, by, rk).drop("__g")
     r = right.select(*by, F.col(rk).alias("__k"))
     # distinct (combined map-side) so a hot key on the subquery side cannot skew the join
     present = r.where(F.col("__k").isNotNull()).select(*by, F.col("__k").alias(key)).distinct()
     kept = left.join(present, by + [key], "left_anti")
     guard = r.groupBy(*by).agg(F.bool_or(F.col("__k").isNull()).alias("__has_null"),
                                F.lit(True).alias("__nonempty"))
-    if broadcast_guard:
-        guard = F.broadcast(guard)
     j = kept.join(guard, by, "left")
     empty = F.col("__nonempty").isNull()
     keep = empty | (~F.col("__has_null") & F.col(key).isNotNull())

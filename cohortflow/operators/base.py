@@ -30,27 +30,23 @@ def flat_orders(fact_orders: DataFrame) -> DataFrame:
 
 
 def order_base(cat: Catalog, params: ReportParams, start: dt.date | None,
-               end: dt.date | None, dedupe: bool = False) -> DataFrame:
-    """Orders of the country (and of ``[start, end]`` when given) in any scope.
+               end: dt.date | None) -> DataFrame:
+    """Order rows of the country (and of ``[start, end]`` when given) in any scope.
 
-    ``dedupe`` keeps one row per order_id (for counting distinct orders). It
-    runs on the flat order rows, before the partner join, and shuffles by
-    order_id -- the partitioning the incentive join needs next, so the join
-    adds no exchange of its own.
+    Every row of the fact is kept, also when it repeats an order id or when the
+    partner dimension repeats a partner: the counts are distinct later on.
     """
     cond = F.col("country_id") == F.lit(params.country_id)
     if start is not None:
         cond = cond & F.col("d").between(date_lit(start), date_lit(end))
     ok = f"coalesce(order_status = '{CONFIRMED}', false)"
-    # status and first-purchase flag become booleans first: every column is
-    # then fixed-width, so the optional de-duplication is a hash aggregate
+    # status and first-purchase flag become booleans first: every column that
+    # is shuffled later is then fixed-width
     fo = (flat_orders(cat["fact_orders"]).where(cond)
           .selectExpr("order_id", "user_id", "partner_id", "d", f"{ok} AS ok",
                       f"{ok} AND coalesce(first_successful, false) AS first",
                       "has_voucher_discount", "shipping_amount_no_discount", "with_logistics",
                       "is_user_plus"))
-    if dedupe:
-        fo = fo.dropDuplicates(["order_id"])
     scopes = cat.memo(("partner_scopes", params.verticals),
                       lambda: partner_scopes(cat["dim_partner"], params.verticals))
     return fo.join(scopes, "partner_id", "inner").selectExpr("*", "trunc(d, 'month') AS m")

@@ -36,15 +36,13 @@ def unnest_details(cat: Catalog) -> DataFrame:
     row has ``amount`` NULL, a discount row has the detail columns NULL, and
     an order without details keeps one NULL detail row (``explode_outer``).
     """
-    f = fact_with_items(cat)
-    d = f.select("order_id", F.explode_outer("details").alias("d")).select(
-        "order_id", F.col("d.product.product_id").alias("product_id"),
-        F.col("d.is_subsidized").alias("is_subsidized"),
-        F.lit(None).cast("double").alias("amount"))
-    x = f.select("order_id", F.explode("discounts").alias("x")).select(
-        "order_id", F.lit(None).cast("long").alias("product_id"),
-        F.lit(None).cast("boolean").alias("is_subsidized"), F.col("x.amount").alias("amount"))
-    return d.unionByName(x)
+    item = ("struct(d.product.product_id AS product_id, d.is_subsidized AS is_subsidized, "
+            "CAST(NULL AS DOUBLE) AS amount)")
+    extra = "struct(CAST(NULL AS BIGINT) AS product_id, CAST(NULL AS BOOLEAN) AS is_subsidized, x.amount AS amount)"
+    none = "struct(CAST(NULL AS BIGINT) AS product_id, CAST(NULL AS BOOLEAN) AS is_subsidized, CAST(NULL AS DOUBLE) AS amount)"
+    rows = (f"concat(CASE WHEN coalesce(size(details), 0) > 0 THEN transform(details, d -> {item}) ELSE array({none}) END, "
+            f"transform(coalesce(discounts, array()), x -> {extra}))")
+    return fact_with_items(cat).selectExpr("order_id", f"inline({rows})")
 
 
 def details(cat: Catalog) -> DataFrame:

@@ -16,11 +16,10 @@ once to the orders. Text matches are case-sensitive, as in the original.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.periods import date_lit
-from ..functions.scopes import is_true
 from ..params import ReportParams
 from ..sources.catalog import Catalog
 
@@ -29,23 +28,14 @@ CRM_MARKERS = ("LOCAL", "CENTRAL")
 CORPORATE_MARKER = "COOP"
 
 
-def _crm_sql(col: str) -> str:
-    a, b = CRM_MARKERS
-    return f"coalesce({col} LIKE '%{a}%' OR {col} LIKE '%{b}%', false)"
+def crm_sql(col: str) -> str:
+    return "coalesce(" + " OR ".join(f"{col} LIKE '%{m}%'" for m in CRM_MARKERS) + ", false)"
 
 
-def _coop_sql(col: str) -> str:
+def coop_sql(col: str) -> str:
     return f"coalesce({col} LIKE '%{CORPORATE_MARKER}%', false)"
 
 
-def _crm(name: Column) -> Column:
-    return is_true(name.contains(CRM_MARKERS[0]) | name.contains(CRM_MARKERS[1]))
-
-
-def _coop(name: Column) -> Column:
-    return is_true(name.contains(CORPORATE_MARKER))
-
-
 def coupons_after_cutoff(cat: Catalog, params: ReportParams) -> DataFrame:
     """Coupons with ``DATE(created_at) > cutoff`` and their campaign name (left join)."""
     c = cat["fact_talon_coupons"].where(
@@ -53,46 +43,65 @@ def coupons_after_cutoff(cat: Catalog, params: ReportParams) -> DataFrame:
     return c.join(cat["dim_talon_campaigns"], "talon_campaign_id", "left")
 
 
-def bank_campaign_orders(cat: Catalog, distinct: bool = True) -> DataFrame:
+def bank_campaign_orders(cat: Catalog, distinct: bool = True, item_key: str = "id",
+                         orders: DataFrame | None = None) -> DataFrame:
     """Order ids reached by order_log -> campaign_log_items -> named campaign
-    (distinct unless the caller reduces by order id itself)."""
-    named = cat["campaign"].where(F.col("name").isNotNull()).select("id")
+    (distinct unless the caller reduces by order id itself).
+
+    ``orders`` (a column order_id) restricts the log before its items are read.
+    """
+    log = cat["order_log"].where(F.col("order_id").isNotNull())
+    if orders is not None:
+        log = log.join(orders, "order_id", "left_semi")
+    named = cat["campaign"].where(F.col("name").isNotNull()).select(F.col("id").alias("campaign_id"))
+    items = cat["campaign_log_items"].select("order_log_id", F.col(item_key).alias("campaign_id"))
+    if orders is not None:
+        items = items.join(log.select(F.col("id").alias("order_log_id")), "order_log_id", "left_semi")
     # one row per log id (map-side distinct): a log with a third of all items
     # cannot skew the semi join below
-    items = (cat["campaign_log_items"].join(named, "id", "left_semi")
-             .select("order_log_id").distinct())
-    log = cat["order_log"]
-    out = (log.join(items, log.id == items.order_log_id, "left_semi")
-           .select("order_id").where(F.col("order_id").isNotNull()))
+    items = items.join(named, "campaign_id", "left_semi").select("order_log_id").distinct()
+    out = log.join(items, log.id == items.order_log_id, "left_semi").select("order_id")
     return out.distinct() if distinct else out
 
 
-def order_incentives(cat: Catalog, params: ReportParams) -> DataFrame:
-    """order_id -> crm, coop, bank (booleans; orders absent here have none)."""
-    coupons = coupons_after_cutoff(cat, params).selectExpr(
-        "order_id", f"{_crm_sql('talon_campaign_name')} AS crm",
-        f"{_coop_sql('talon_campaign_name')} AS coop", "false AS bank")
-    wallet = cat["fact_wallet"].selectExpr(
-        "order_id", "false AS crm", f"{_coop_sql('campaign_name')} AS coop", "false AS bank")
+def order_incentives(cat: Catalog, params: ReportParams, orders: DataFrame | None = None) -> DataFrame:
+    """order_id -> crm, coop, bank (booleans; orders absent here have none).
+
+    With ``orders`` (distinct order ids of the reported rows) each side table
+    is first reduced to them, so what is shuffled follows the number of
+    reported orders and not the history of the side tables.
+    """
+    def of_reported(df: DataFrame) -> DataFrame:
+        df = df.where("order_id IS NOT NULL")
+        return df if orders is None else df.join(orders, "order_id", "left_semi")
+
+    coupons = of_reported(coupons_after_cutoff(cat, params)).selectExpr(
+        "order_id", f"{crm_sql('talon_campaign_name')} AS crm",
+        f"{coop_sql('talon_campaign_name')} AS coop", "false AS bank")
+    wallet = of_reported(cat["fact_wallet"]).selectExpr(
+        "order_id", "false AS crm", f"{coop_sql('campaign_name')} AS coop", "false AS bank")
     # no distinct here: the union below is reduced by order_id anyway
-    bank = bank_campaign_orders(cat, distinct=False).selectExpr(
+    bank = bank_campaign_orders(cat, distinct=False, item_key=params.campaign_item_key, orders=orders).selectExpr(
         "order_id", "false AS crm", "false AS coop", "true AS bank")
     return (coupons.union(wallet).union(bank)
-            .where("order_id IS NOT NULL")
             .groupBy("order_id")
             .agg(F.expr("bool_or(crm) AS crm"), F.expr("bool_or(coop) AS coop"),
                  F.expr("bool_or(bank) AS bank")))
 
 
-def order_metric_flags(orders: DataFrame, incentives: DataFrame,
+def order_metric_flags(orders: DataFrame, incentives: DataFrame | None,
                        strict_confirmed: bool = False) -> DataFrame:
     """Adds the per-order metric booleans to ``orders`` (flat order rows).
 
     ``inc`` keeps the original precedence ``ok AND voucher OR crm OR df0 OR
     corporate OR bank OR plus``: only the voucher term requires a CONFIRMED
-    order. ``strict_confirmed`` requires it for every term.
+    order. ``strict_confirmed`` requires it for every term. Without
+    ``incentives`` (rows whose order id is NULL) no side table has any.
     """
-    j = orders.join(incentives, "order_id", "left")
+    if incentives is None:
+        j = orders.selectExpr("*", "false AS crm", "false AS coop", "false AS bank")
+    else:
+        j = orders.join(incentives, "order_id", "left")
     t = {
         "vou": "coalesce(has_voucher_discount > 0, false)",
         "crm": "coalesce(crm, false)",

@@ -4,24 +4,31 @@ Plan (S = shuffle):
   fact[history_start, anchor] --join partner scopes--> --explode seg scopes-->
        activity bitmasks  [S1: partial agg by (scope, user)]  -> label masks
        (+ NULL-user guard row per scope, broadcast: bounded by the scopes)
-  fact[reported months] --dedupe by order_id [S2] + join incentives by order_id--> order flags
-       (incentives: coupons/wallet/bank bridge, one union + partial agg by order_id [S3])
-       --explode final scopes--> user level [S4: partial agg by (scope, month, user, vertical)]
+  fact[reported months] --join partner scopes--> [S2: by order_id] join incentives --> flags
+       (incentives: coupons/wallet/bank bridge, each reduced to the reported orders first,
+        one union + partial agg by order_id [S3])
+       --explode final scopes--> one row per (order, user, month, scope, vertical), still on S2
+       --> user level [S4: partial agg by (scope, month, user, vertical)]
        --[S5: to (scope, user)] join label masks (no shuffle on that side)-->
-       --label of the row's month--> sum by (month, vertical, type) [S6, tiny]
-
-Ten ``COUNT(DISTINCT CASE ...)`` become a two-level aggregate: one row per
-user per (scope, month, vertical) with ``max`` of each flag and ``sum`` of
-order flags, then sums. That avoids Spark's ``Expand`` for many distinct
-aggregates and never holds a whole group in memory. Distinct orders: the
-counted orders are de-duplicated by ``order_id`` first (``dedupe_orders``,
-on the shuffle the incentive join needs anyway), so a per-user sum of order
-flags equals the distinct order count.
+       --label of the row's month--> sum by (month, vertical, type) [S6, S7, tiny]
+
+Ten ``COUNT(DISTINCT CASE ...)`` become aggregates: one row per user per
+(scope, month, vertical) with ``max`` of each flag, then sums. That avoids
+Spark's ``Expand`` for many distinct aggregates and never holds a whole group
+in memory.
+
+Distinct orders: rows that repeat an order id (other status, other partner,
+repeated partner rows) are first reduced per order and user by ``max`` of every
+flag, on the partitioning of S2. An order id that one user holds then counts
+once in that user's sum. An id that several users hold is marked while its rows
+are together; its order flags travel in rows of their own (``oid`` set) and are
+reduced per (month, vertical, type, id) after the labels are known. Rows without
+an order id count for their users only and never take part in the join by id.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.periods import month_label
@@ -32,52 +39,80 @@ from .base import order_base
 from .flags import order_incentives, order_metric_flags
 from .segments import activity, label_masks, label_sql, month_index_sql
 
-USER_FLAGS = ("f_voucher", "f_crm", "f_df0", "f_corporate", "f_banks", "f_plus", "ok", "f_inc")
-
-
-def user_level(flags: DataFrame) -> DataFrame:
-    """(scope, m, user_id, vertical) -> per-user 0/1 flags and order counts."""
-    x = flags.selectExpr("user_id", "m", *USER_FLAGS, "inline(final_scopes)")
-    aggs = [("max", "f_voucher", "u_voucher"), ("max", "f_crm", "u_crm"), ("max", "f_df0", "u_df0"),
-            ("max", "f_corporate", "u_corporate"), ("max", "f_banks", "u_banks"),
-            ("max", "f_plus", "u_plus"), ("max", "ok", "u_tot"), ("sum", "ok", "o_tot"),
-            ("max", "f_inc", "u_inc"), ("sum", "f_inc", "o_inc")]
-    return x.groupBy("scope", "m", "user_id", "vertical").agg(
-        *[F.expr(f"{fn}(CAST({c} AS BIGINT)) AS {n}") for fn, c, n in aggs])
+FLAGS = ("ok", "f_voucher", "f_crm", "f_df0", "f_corporate", "f_banks", "f_plus", "f_inc")
+USER_SUMS = {"u_voucher": "f_voucher", "u_crm": "f_crm", "u_df0": "f_df0", "u_corporate": "f_corporate",
+             "u_banks": "f_banks", "u_plus": "f_plus", "u_tot": "ok", "o_tot": "ok", "u_inc": "f_inc", "o_inc": "f_inc"}
+ORDER_COLUMNS = ("order_id", "user_id", "m", "final_scopes", "ok", "has_voucher_discount",
+                 "shipping_amount_no_discount", "with_logistics", "is_user_plus")
 
 
-USER_SUMS = ("u_voucher", "u_crm", "u_df0", "u_corporate", "u_banks", "u_plus", "u_tot", "o_tot",
-             "u_inc", "o_inc")
+def order_level(base: DataFrame, cat: Catalog, params: ReportParams, part: bool) -> DataFrame:
+    """One row per order, user, month, scope and vertical with its flags; plus the
+    rows without an order id. ``shared``: the order id has rows of several users.
+    ``part``: the rows are a part of the fact, so the side tables are reduced to their ids."""
+    o = base.where(F.size("final_scopes") > 0).select(*ORDER_COLUMNS)
+    known = o.where("order_id IS NOT NULL")
+    ids = known.select("order_id").distinct() if part else None
+    flags = order_metric_flags(known, order_incentives(cat, params, ids), params.strict_confirmed)
+    same = Window.partitionBy("order_id")
+    users = F.struct(F.col("user_id").isNull(), "user_id")
+    flags = flags.withColumn("shared", F.min(users).over(same) != F.max(users).over(same))
+    per_order = (flags.selectExpr("order_id", "shared", "user_id", "m", *FLAGS, "inline(final_scopes)")
+                 .groupBy("order_id", "shared", "user_id", "m", "scope", "vertical")
+                 .agg(*[F.bool_or(f).alias(f) for f in FLAGS]))
+    no_id = order_metric_flags(o.where("order_id IS NULL"), None, params.strict_confirmed).selectExpr(
+        "order_id", "false AS shared", "user_id", "m", *FLAGS, "inline(final_scopes)")
+    return per_order.unionByName(no_id)
+
+
+def user_level(orders: DataFrame) -> DataFrame:
+    """(scope, m, user_id, vertical, oid) -> per-user 0/1 flags and order counts.
+
+    ``oid`` is NULL but for the order counts of shared ids, one row each.
+    """
+    own = [f"CAST({f} AS BIGINT) AS {n}" for n, f in USER_SUMS.items() if n[0] == "u"]
+    counted = "order_id IS NOT NULL AND NOT shared"
+    here = own + [f"CAST({counted} AND {f} AS BIGINT) AS {n}" for n, f in USER_SUMS.items() if n[0] == "o"]
+    apart = [f"0L AS {n}" for n in USER_SUMS if n[0] == "u"] + [
+        f"CAST({f} AS BIGINT) AS {n}" for n, f in USER_SUMS.items() if n[0] == "o"]
+    row = "struct(CAST(NULL AS BIGINT) AS oid, {})".format(", ".join(here))
+    other = "struct(order_id AS oid, {})".format(", ".join(apart))
+    x = orders.selectExpr("scope", "m", "user_id", "vertical",
+                          f"inline(CASE WHEN shared THEN array({row}, {other}) ELSE array({row}) END)")
+    return x.groupBy("scope", "m", "user_id", "vertical", "oid").agg(
+        *[F.expr(f"{'max' if n[0] == 'u' else 'sum'}({n}) AS {n}") for n in USER_SUMS])
 
 
 def summarize(users: DataFrame, by=("m", "vertical", "user_type")) -> DataFrame:
     """Sum per-user rows to the report grain with the report's column names.
 
     A NULL user id is no distinct user (``COUNT(DISTINCT ...)`` skips NULL),
-    but its orders still count.
+    but its orders still count. A shared order id counts once per group.
     """
-    sums = []
-    for c, n in zip(USER_SUMS, METRIC_COLUMNS):
-        v = c if c.startswith("o_") else f"CASE WHEN user_id IS NOT NULL THEN {c} END"
-        sums.append(F.expr(f"CAST(coalesce(sum({v}), 0) AS BIGINT) AS {n}"))
-    r = users.groupBy(*by).agg(*sums)
+    parts = []
+    for c in USER_SUMS:
+        if c[0] == "u":
+            parts.append(F.expr(f"sum(CASE WHEN user_id IS NOT NULL THEN {c} END) AS {c}"))
+        else:
+            parts.append(F.expr(f"CASE WHEN oid IS NULL THEN sum({c}) ELSE max({c}) END AS {c}"))
+    sums = [F.expr(f"CAST(coalesce(sum({c}), 0) AS BIGINT) AS {n}") for c, n in zip(USER_SUMS, METRIC_COLUMNS)]
+    r = users.groupBy(*by, "oid").agg(*parts).groupBy(*by).agg(*sums)
     rest = [c for c in by if c != "m"]
     return r.select(month_label(F.col("m")).alias("Month"), *rest, *METRIC_COLUMNS)
 
 
-ORDER_COLUMNS = ("order_id", "user_id", "m", "final_scopes", "ok", "has_voucher_discount",
-                 "shipping_amount_no_discount", "with_logistics", "is_user_plus")
+def report_orders(cat: Catalog, params: ReportParams) -> DataFrame:
+    """Order level of the reported months (NULL users dropped: never labelled)."""
+    months = params.report_months()
+    # the counted orders come from their own scan: its date range is only the
+    # reported months, so the Parquet reader skips the rest of the history
+    base = order_base(cat, params, months[-1], params.range_end)
+    return order_level(base.where(F.col("m").isin(*months) & F.col("user_id").isNotNull()), cat, params, True)
 
 
-def report_orders(cat: Catalog, params: ReportParams, base: DataFrame | None = None) -> DataFrame:
-    """Flagged order rows of the reported months (NULL users dropped: never labelled)."""
-    months = params.report_months()
-    if base is None:
-        base = order_base(cat, params, months[-1], params.range_end,
-                          dedupe=params.dedupe_orders)
-    o = base.where(F.col("m").isin(*months) & F.col("user_id").isNotNull() & (F.size("final_scopes") > 0))
-    o = o.select(*ORDER_COLUMNS)
-    return order_metric_flags(o, order_incentives(cat, params), params.strict_confirmed)
+def month_features_of(cat: Catalog, params: ReportParams) -> DataFrame:
+    """Per-(scope, user) month tests from the order history since ``history_start``."""
+    return activity(order_base(cat, params, params.range_start, params.range_end), params)
 
 
 def report(cat: Catalog, params: ReportParams, features: DataFrame | None = None) -> DataFrame:
@@ -88,25 +123,32 @@ def report(cat: Catalog, params: ReportParams, features: DataFrame | None = None
     order history since ``history_start`` is scanned.
     """
     if features is None:
-        history = order_base(cat, params, params.range_start, params.range_end)
-        features = activity(history, params)
-    labels = label_masks(features, params)
-    # the counted orders come from their own scan: its date range is only the
-    # reported months, so the Parquet reader skips the rest of the history
-    # join on (scope, user_id): the label side keeps the partitioning of the
-    # segment aggregate; the month's label is picked after the join
-    users = (user_level(report_orders(cat, params))
-             .join(labels, ["scope", "user_id"], "inner")
-             .selectExpr("*", f"{label_sql(params, month_index_sql(params, 'm'))} AS user_type")
-             .where("user_type IS NOT NULL"))
-    return summarize(users)
+        features = month_features_of(cat, params)
+    return summarize(labelled_users(cat, params, features))
+
+
+def labelled_users(cat: Catalog, params: ReportParams, features: DataFrame,
+                   counted: ReportParams | None = None) -> DataFrame:
+    """User-level rows of the orders of ``counted`` (default: of ``params``) with the label of their month.
+
+    The join is on (scope, user_id): the label side keeps the partitioning of
+    the segment aggregate; the month's label is picked after the join.
+    """
+    return (user_level(report_orders(cat, counted or params))
+            .join(label_masks(features, params), ["scope", "user_id"], "inner")
+            .selectExpr("*", f"{label_sql(params, month_index_sql(params, 'm'))} AS user_type")
+            .where("user_type IS NOT NULL"))
+
+
+def monthly_reports(cat: Catalog, params: ReportParams) -> list[DataFrame]:
+    """One report per month, newest first. The month tests of all months come from
+    one history pass (its exchange is reused); each report scans its own month of orders."""
+    features = month_features_of(cat, params)
+    return [summarize(labelled_users(cat, params, features, params.with_(anchor_month=m, n_months=1)))
+            for m in params.report_months()]
 
 
 def scope_month_metrics(cat: Catalog, params: ReportParams) -> DataFrame:
     """The ten counts per (Month, vertical) over every month of the fact, no
-    segmentation: ``COUNT(DISTINCT CASE ...)`` as a two-level aggregate."""
-    base = order_base(cat, params, None, None, dedupe=params.dedupe_orders)
-    o = base.where(F.size("final_scopes") > 0).select(*ORDER_COLUMNS)
-    flags = order_metric_flags(o, order_incentives(cat, params), params.strict_confirmed)
-    users = user_level(flags)
-    return summarize(users, by=("m", "vertical"))
+    segmentation."""
+    return summarize(user_level(order_level(order_base(cat, params, None, None), cat, params, False)), by=("m", "vertical"))

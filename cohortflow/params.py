@@ -28,15 +28,14 @@ class ReportParams:
     history_start  start of the "no purchase since" horizon for New Users
     country_id     country filter applied to every order
     as_of          day the report is "run"; coupons count if created after
-                   ``as_of - COUPON_LOOKBACK_DAYS`` (the original uses today)
+                   ``as_of - COUPON_LOOKBACK_DAYS`` (default: today in UTC, the
+                   zone the report's dates are kept in)
     verticals      which scopes to report
     strict_confirmed  if True the incentive columns require a CONFIRMED order
                    for every incentive (the original guards only the voucher term)
     null_users     'sql' reproduces NOT IN semantics for NULL user ids,
                    'ignore' drops NULL users without side effects
-    dedupe_orders  drop repeated rows of one order_id before counting (the
-                   original counts DISTINCT order ids); the shuffle by order_id
-                   is the one the incentive join needs anyway
+    campaign_item_key  column of the campaign log items that names the campaign
     """
 
     anchor_month: dt.date
@@ -47,7 +46,7 @@ class ReportParams:
     verticals: tuple[str, ...] = field(default=VERTICALS)
     strict_confirmed: bool = False
     null_users: str = "sql"
-    dedupe_orders: bool = True
+    campaign_item_key: str = "id"
 
     def __post_init__(self) -> None:
         if self.n_months < 1:
@@ -80,7 +79,7 @@ class ReportParams:
     @property
     def coupon_cutoff(self) -> dt.date:
         """Coupons count when ``DATE(created_at) > coupon_cutoff``."""
-        as_of = self.as_of or dt.date.today()
+        as_of = self.as_of or dt.datetime.now(dt.timezone.utc).date()
         return as_of - dt.timedelta(days=COUPON_LOOKBACK_DAYS)
 
     def with_(self, **kw) -> "ReportParams":

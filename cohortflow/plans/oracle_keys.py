@@ -1,101 +1,47 @@
 """Oracle SQL (DuckDB) for every registered query key.
 
-Reports and segments use the literal per-(month, vertical) statement shape of
-``oracle.py``; the single-operator keys are plain SQL over the adapter CTEs.
+Reports and segments come from the set definitions of ``oracle.py``; the
+single-operator keys are plain SQL over the adapter CTEs.
 """
 
 from __future__ import annotations
 
 from ..params import DRIVER_PARAMS, VERTICALS, ReportParams
-from .oracle import (MARKET_LABEL, METRICS_SQL, _incentive, final_pred, report_sql, seg_pred,
-                     segment_sql, vertical_expr, with_adapter)
+from .oracle import (MARKET_LABEL, anti_sql, metric_sql, months_cte, order_flags_sql, report_sql, seg_pred,
+                     segment_sql, union, with_adapter)
 from .queries import METRIC_KEYS, slug
 
 P: ReportParams = DRIVER_PARAMS
 
-OK = "fo.order_status = 'CONFIRMED'"
-CRM = "(dtc.talon_campaign_name LIKE '%LOCAL%' OR dtc.talon_campaign_name LIKE '%CENTRAL%')"
-COOP = "(dtc.talon_campaign_name LIKE '%COOP%' OR fw.campaign_name LIKE '%COOP%')"
-DF0 = "(fo.shipping_amount_no_discount = 0 AND fo.with_logistics = true)"
-INC = (f"{OK} AND (fo.has_voucher_discount > 0) OR {CRM} OR {DF0} OR {COOP} "
-       f"OR c.name IS NOT NULL OR fo.is_user_plus = 1")
-
-LIVE_JOINS = f"""
-    LEFT JOIN fact_wallet fw ON fo.order_id = fw.order_id
-    LEFT JOIN fact_talon_coupons ftc ON (fo.order_id = ftc.order_id
-         AND CAST(ftc.coupon_created_at AS DATE) > DATE '{P.coupon_cutoff}')
-    LEFT JOIN dim_talon_campaigns dtc ON ftc.talon_campaign_id = dtc.talon_campaign_id
-    LEFT JOIN order_log ol ON fo.order_id = ol.order_id
-    LEFT JOIN campaign_log_items cli ON ol.id = cli.order_log_id
-    LEFT JOIN campaign c ON cli.id = c.id"""
-
 FO_DP = "FROM fact_orders fo LEFT JOIN dim_partner dp ON dp.partner_id = fo.partner_id"
 
-LABELS = """(
-  SELECT u.id AS user_id,
-         CASE WHEN r.id IS NOT NULL THEN 'Reactivados'
-              WHEN a.user_id IS NOT NULL THEN 'Acquisition'
-              WHEN n.id IS NOT NULL THEN 'New Users' END AS user_type
-  FROM (SELECT id FROM new_users_tm UNION SELECT user_id FROM acquisitions_tm
-        UNION SELECT id FROM reactivated_tm) u
-  LEFT JOIN reactivated_tm r ON r.id = u.id
-  LEFT JOIN acquisitions_tm a ON a.user_id = u.id
-  LEFT JOIN new_users_tm n ON n.id = u.id) lab"""
-
-
-def _union(parts):
-    return "\nUNION ALL\n".join(parts)
-
-
-def metric_sql(cols) -> str:
-    """All ten counts per (Month, vertical) over every month, literal join chain."""
-    parts = []
-    for v in VERTICALS:
-        having = "HAVING vertical IS NOT NULL" if v == "Market" else ""
-        parts.append(f"""SELECT * FROM (
-SELECT strftime(fo.registered_date, '%Y-%m') AS Month, {vertical_expr(v)} AS vertical,
-    {METRICS_SQL},
-    {_incentive(P, 'fo.user_id')} AS q_users_incentive,
-    {_incentive(P, 'fo.order_id')} AS q_orders_incentive
-{FO_DP}{LIVE_JOINS}
-WHERE fo.country_id = {P.country_id} AND {final_pred(v)}
-GROUP BY 1, 2 {having})""")
-    return with_adapter(f"SELECT Month, vertical, {', '.join(cols)} FROM ({_union(parts)})")
-
-
-def anti_sql() -> str:
-    from .oracle import _dates
-    parts = []
-    for m in P.report_months():
-        d = _dates(m)
-        for v in VERTICALS:
-            seg = seg_pred(v)
-            parts.append(f"""SELECT '{m.strftime('%Y-%m')}' AS Month, '{v}' AS vertical, user_id FROM (
-  SELECT DISTINCT fo.user_id AS user_id {FO_DP}
-  WHERE fo.registered_date BETWEEN DATE '{d['f']}' AND DATE '{d['t']}' AND fo.country_id = {P.country_id}
-    AND {OK} AND {seg}
-    AND fo.user_id NOT IN (
-      SELECT fo.user_id {FO_DP}
-      WHERE fo.registered_date BETWEEN DATE '{d['flm']}' AND DATE '{d['tlm']}'
-        AND fo.country_id = {P.country_id} AND {OK} AND {seg}))""")
-    return with_adapter(_union(parts))
-
-
-def order_flags_sql() -> str:
-    def b(cond):
-        return f"bool_or(COALESCE({cond}, false))"
-    return with_adapter(f"""
-SELECT fo.order_id,
-    {b(OK)} AS is_confirmed,
-    {b(f'{OK} AND fo.has_voucher_discount > 0')} AS f_voucher,
-    {b(f'{OK} AND {CRM}')} AS f_crm,
-    {b(f'{OK} AND {DF0}')} AS f_df0,
-    {b(f'{OK} AND {COOP}')} AS f_corporate,
-    {b(f'{OK} AND c.name IS NOT NULL')} AS f_banks,
-    {b(f'{OK} AND fo.is_user_plus = 1')} AS f_plus,
-    {b(INC)} AS f_incentive
-FROM fact_orders fo{LIVE_JOINS}
-GROUP BY fo.order_id""")
+#: Orders whose ids repeat: other status, other partner, other user, or no id at all.
+REPEATED_ORDERS = """
+  SELECT * FROM driver_orders
+  UNION ALL
+  SELECT * REPLACE (CASE WHEN order_status = 'CONFIRMED' THEN 'REJECTED' ELSE 'CONFIRMED' END AS order_status)
+  FROM driver_orders WHERE order_id % 7 = 0
+  UNION ALL
+  SELECT * REPLACE (partner_id + 1 AS partner_id, 1 - has_voucher_discount AS has_voucher_discount)
+  FROM driver_orders WHERE order_id % 5 = 0
+  UNION ALL
+  SELECT * REPLACE (user_id + 1 AS user_id) FROM driver_orders WHERE order_id % 3 = 0
+  UNION ALL
+  SELECT * REPLACE (CAST(NULL AS BIGINT) AS order_id) FROM driver_orders WHERE order_id % 11 = 0"""
+
+#: Partners listed twice, every sixth one with another category.
+REPEATED_PARTNERS = """
+  SELECT * FROM driver_partners
+  UNION ALL
+  SELECT * REPLACE (CASE WHEN partner_id % 6 = 0 THEN 'Bodega' ELSE category_name END AS category_name)
+  FROM driver_partners WHERE partner_id % 3 = 0"""
+
+#: Users unknown on a few days, and in a few first purchases.
+NULL_USERS = f"""
+  SELECT * REPLACE (CASE WHEN order_id % 16 = 0 AND registered_date BETWEEN DATE '1997-05-01' AND DATE '1997-05-20'
+                           OR first_successful AND registered_date BETWEEN DATE '1997-03-01' AND DATE '1997-03-31' AND order_id % 3 = 0
+                         THEN NULL ELSE user_id END AS user_id)
+  FROM driver_orders"""
 
 
 def build_oracle() -> dict[str, str]:
@@ -104,10 +50,10 @@ def build_oracle() -> dict[str, str]:
         "report_all": report_sql(P),
         "union_reports": report_sql(P),
         "sink_roundtrip": report_sql(P),
-        "seg_labels": segment_sql(P, LABELS, "user_id, user_type", "user_id"),
-        "seg_new_users": segment_sql(P, "new_users_tm", "id AS user_id, users", "id"),
-        "seg_acquisitions": segment_sql(P, "acquisitions_tm", "user_id, users", "user_id"),
-        "seg_reactivated": segment_sql(P, "reactivated_tm", "id AS user_id", "id"),
+        "seg_labels": segment_sql("labels", "user_id, user_type"),
+        "seg_new_users": segment_sql("fresh", "user_id, users"),
+        "seg_acquisitions": segment_sql("acquired", "user_id, users"),
+        "seg_reactivated": segment_sql("back", "user_id"),
         "anti_null_aware": anti_sql(),
         "src_fact_orders": with_adapter("SELECT * FROM fact_orders"),
         "src_dim_partner": with_adapter(
@@ -118,6 +64,15 @@ def build_oracle() -> dict[str, str]:
             f"dp.business_type_name, dp.category_name {FO_DP}"),
         "fn_month_label": with_adapter(
             "SELECT order_id, strftime(registered_date, '%Y-%m') AS Month FROM fact_orders"),
+        "report_incremental": report_sql(P),
+        "report_repeated_orders": report_sql(P, fact=REPEATED_ORDERS),
+        "join_partner_repeated": report_sql(P, partner=REPEATED_PARTNERS),
+        "seg_null_users": segment_sql("labels", "user_id, user_type", fact=NULL_USERS),
+        "report_null_users": report_sql(P, fact=NULL_USERS),
+        "anti_null_users": anti_sql(fact=NULL_USERS),
+        "report_months": with_adapter("""
+SELECT mo.label AS "Month", a AS from_date, z AS to_date, before_a AS from_date_lm, before_z AS to_date_lm, count(f.registered_date) AS orders
+FROM mo LEFT JOIN fact_orders f ON f.registered_date BETWEEN mo.a AND mo.z GROUP BY ALL""", months_cte(P)),
         "month_windows": with_adapter("""
 SELECT strftime(m, '%Y-%m') AS Month, m AS from_date, CAST(last_day(m) AS DATE) AS to_date,
        CAST(m - INTERVAL 1 MONTH AS DATE) AS from_date_lm, CAST(m - INTERVAL 1 DAY AS DATE) AS to_date_lm
@@ -129,7 +84,7 @@ FROM (SELECT DISTINCT CAST(date_trunc('month', registered_date) AS DATE) AS m FR
             f"SELECT order_id, user_id FROM fact_orders WHERE country_id = {P.country_id}"),
         "filter_confirmed": with_adapter(
             "SELECT order_id, user_id FROM fact_orders WHERE order_status = 'CONFIRMED'"),
-        "scope_membership": with_adapter(_union(
+        "scope_membership": with_adapter(union(
             f"SELECT fo.order_id, '{v}' AS vertical FROM fact_orders fo "
             f"JOIN dim_partner dp ON dp.partner_id = fo.partner_id WHERE {seg_pred(v)}"
             for v in VERTICALS)),
@@ -170,13 +125,12 @@ FROM (SELECT DISTINCT CAST(date_trunc('month', registered_date) AS DATE) AS m FR
         "unnest_singleton": with_adapter(
             "SELECT partner_id, franchise_id, business_type_name FROM dim_partner"),
         "coupon_window": with_adapter(f"""
-SELECT ftc.order_id,
-       bool_or(COALESCE(dtc.talon_campaign_name LIKE '%LOCAL%' OR dtc.talon_campaign_name LIKE '%CENTRAL%', false)) AS crm,
-       bool_or(COALESCE(dtc.talon_campaign_name LIKE '%COOP%', false)) AS coop
-FROM fact_talon_coupons ftc
-LEFT JOIN dim_talon_campaigns dtc ON ftc.talon_campaign_id = dtc.talon_campaign_id
-WHERE CAST(ftc.coupon_created_at AS DATE) > DATE '{P.coupon_cutoff}'
-GROUP BY ftc.order_id"""),
+SELECT k.order_id,
+       bool_or(coalesce(contains(n.talon_campaign_name, 'LOCAL') OR contains(n.talon_campaign_name, 'CENTRAL'), FALSE)) AS crm,
+       bool_or(coalesce(contains(n.talon_campaign_name, 'COOP'), FALSE)) AS coop
+FROM fact_talon_coupons k LEFT JOIN dim_talon_campaigns n USING (talon_campaign_id)
+WHERE CAST(k.coupon_created_at AS DATE) > DATE '{P.coupon_cutoff}'
+GROUP BY k.order_id"""),
         "bank_campaign": with_adapter(
             "SELECT DISTINCT ol.order_id FROM order_log ol "
             "JOIN campaign_log_items cli ON ol.id = cli.order_log_id "

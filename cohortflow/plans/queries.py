@@ -8,22 +8,25 @@ names match the oracle SQL in ``oracle_keys.py``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.periods import month_label, month_start, with_month_windows
+from ..functions.periods import month_label, month_start, report_months_df, with_month_windows
 from ..functions.scopes import flat_partner, market_sublabel, partner_scopes, segment_predicate
+from ..incremental.monthly_state import months_to_refresh, report_from_rollup, update_month
 from ..operators import enrich
 from ..operators.anti import not_in
 from ..operators.base import flat_orders, order_base
 from ..operators.flags import bank_campaign_orders, coupons_after_cutoff, order_metric_flags, \
-    order_incentives, _coop, _crm
-from ..operators.report import report, scope_month_metrics
+    order_incentives, coop_sql, crm_sql
+from ..operators.report import monthly_reports, report, scope_month_metrics
 from ..operators.segments import ACQUISITION, NEW_USERS, REACTIVATED, segments
 from ..params import CONFIRMED, DRIVER_PARAMS, VERTICALS, ReportParams, add_months
+from ..session import shared_path
 from ..sources.catalog import Catalog
 from ..sources.sinks import roundtrip_csv
 from ..sources.staging import staged_catalog
@@ -56,9 +59,68 @@ def q_report_vertical(v: str) -> Query:
 
 def q_union_reports(spark, sf_dir):
     """Append of single-month reports (the original's loop), ``unionByName``."""
+    return reduce(lambda a, b: a.unionByName(b), monthly_reports(_cat(spark, sf_dir), P))
+
+
+def q_report_incremental(spark, sf_dir):
+    """The report from a monthly rollup that is built here, month by month."""
+    cat = _cat(spark, sf_dir)
+    path = shared_path(spark, "cohortflow-rollup", uuid.uuid4().hex)
+    for m in months_to_refresh(P):
+        update_month(cat, P, m, path)
+    return report_from_rollup(cat, spark, P, path)
+
+
+# ---- the same operators over rows that repeat or lack ids ---------------------
+
+def repeated_orders(f: DataFrame) -> DataFrame:
+    """Order rows whose id comes again: other status, other partner, other user, or no id."""
+    oid = F.col("order_id")
+    status = F.when(F.col("order_status") == CONFIRMED, "REJECTED").otherwise(CONFIRMED)
+    return (f.unionByName(f.where(oid % 7 == 0).withColumn("order_status", status))
+            .unionByName(f.where(oid % 5 == 0)
+                         .withColumn("restaurant", F.struct((F.col("restaurant.id") + 1).alias("id")))
+                         .withColumn("has_voucher_discount", (1 - F.col("has_voucher_discount")).cast("int")))
+            .unionByName(f.where(oid % 3 == 0).withColumn("user", F.struct((F.col("user.id") + 1).alias("id"))))
+            .unionByName(f.where(oid % 11 == 0).withColumn("order_id", F.lit(None).cast("bigint"))))
+
+
+def repeated_partners(p: DataFrame) -> DataFrame:
+    """Partners listed twice, every sixth one with another category."""
+    other = F.when(F.col("partner_id") % 6 == 0, "Bodega").otherwise(F.col("businessCategory.name"))
+    return p.unionByName(p.where(F.col("partner_id") % 3 == 0).withColumn("businessCategory", F.struct(other.alias("name"))))
+
+
+def null_users(f: DataFrame) -> DataFrame:
+    """Users unknown on a few days, and in a few first purchases."""
+    gone = F.expr("""order_id % 16 = 0 AND registered_date BETWEEN DATE'1997-05-01' AND DATE'1997-05-20'
+                     OR data.firstSuccessful AND registered_date BETWEEN DATE'1997-03-01' AND DATE'1997-03-31' AND order_id % 3 = 0""")
+    return f.withColumn("user", F.struct(F.when(~gone, F.col("user.id")).alias("id")))
+
+
+def _variant(spark, sf_dir, table: str, change) -> Catalog:
     cat = _cat(spark, sf_dir)
-    parts = [report(cat, P.with_(anchor_month=m, n_months=1)) for m in P.report_months()]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return cat.with_tables(**{table: change(cat[table])})
+
+
+def q_report_repeated_orders(spark, sf_dir):
+    return report(_variant(spark, sf_dir, "fact_orders", repeated_orders), P)
+
+
+def q_join_partner_repeated(spark, sf_dir):
+    return report(_variant(spark, sf_dir, "dim_partner", repeated_partners), P)
+
+
+def q_report_null_users(spark, sf_dir):
+    return report(_variant(spark, sf_dir, "fact_orders", null_users), P)
+
+
+def q_seg_null_users(spark, sf_dir):
+    return _segments(_variant(spark, sf_dir, "fact_orders", null_users)).drop("users")
+
+
+def q_anti_null_users(spark, sf_dir):
+    return _anti(_variant(spark, sf_dir, "fact_orders", null_users))
 
 
 def q_sink_roundtrip(spark, sf_dir):
@@ -67,8 +129,7 @@ def q_sink_roundtrip(spark, sf_dir):
 
 # ---- segments --------------------------------------------------------------
 
-def _segments(spark, sf_dir) -> DataFrame:
-    cat = _cat(spark, sf_dir)
+def _segments(cat: Catalog) -> DataFrame:
     base = order_base(cat, P, P.range_start, P.range_end)
     s = segments(base, P)
     return s.select(month_label(F.col("m")).alias("Month"), F.col("scope").alias("vertical"),
@@ -76,28 +137,31 @@ def _segments(spark, sf_dir) -> DataFrame:
 
 
 def q_seg_labels(spark, sf_dir):
-    return _segments(spark, sf_dir).drop("users")
+    return _segments(_cat(spark, sf_dir)).drop("users")
 
 
 def q_seg_new_users(spark, sf_dir):
-    s = _segments(spark, sf_dir)
+    s = _segments(_cat(spark, sf_dir))
     return s.where(F.col("user_type") == NEW_USERS).select("Month", "vertical", "user_id", "users")
 
 
 def q_seg_acquisitions(spark, sf_dir):
-    s = _segments(spark, sf_dir)
+    s = _segments(_cat(spark, sf_dir))
     return s.where(F.col("user_type") == ACQUISITION).select("Month", "vertical", "user_id", "users")
 
 
 def q_seg_reactivated(spark, sf_dir):
-    s = _segments(spark, sf_dir)
+    s = _segments(_cat(spark, sf_dir))
     return s.where(F.col("user_type") == REACTIVATED).select("Month", "vertical", "user_id")
 
 
 def q_anti_null_aware(spark, sf_dir):
+    return _anti(_cat(spark, sf_dir))
+
+
+def _anti(cat: Catalog) -> DataFrame:
     """Per reported month and scope: CONFIRMED buyers of the month whose id is
     NOT IN last month's CONFIRMED buyers (SQL NULL semantics)."""
-    cat = _cat(spark, sf_dir)
     months = P.report_months()
     # reported months and the month before each: nothing older is read
     base = order_base(cat, P, add_months(months[-1], -1), P.range_end).where(F.col("ok"))
@@ -120,8 +184,7 @@ def q_src_fact_orders(spark, sf_dir):
 
 
 def q_src_dim_partner(spark, sf_dir):
-    p = _cat(spark, sf_dir)["dim_partner"]
-    return flat_partner(p).join(p.select("partner_id", "city_id"), "partner_id")
+    return flat_partner(_cat(spark, sf_dir)["dim_partner"], "city_id")
 
 
 def q_nested_fields(spark, sf_dir):
@@ -146,6 +209,14 @@ def q_month_windows(spark, sf_dir):
     return with_month_windows(months).drop("m")
 
 
+def q_report_months(spark, sf_dir):
+    """The reported months and their window dates, from the parameters, with the orders of each month."""
+    f = _flat(spark, sf_dir).where(F.col("d").between(F.lit(P.report_months()[-1]), F.lit(P.range_end)))
+    orders = f.groupBy(month_start(F.col("d")).alias("om")).agg(F.count("*").alias("orders"))
+    return (report_months_df(spark, P).join(orders, F.col("m") == F.col("om"), "left")
+            .select("Month", "from_date", "to_date", "from_date_lm", "to_date_lm", F.coalesce("orders", F.lit(0)).alias("orders")))
+
+
 def q_filter_date_between(spark, sf_dir):
     f = _flat(spark, sf_dir)
     lo, hi = P.report_months()[-1], P.range_end
@@ -205,13 +276,13 @@ def _enrich(fn) -> Query:
 
 def q_coupon_window(spark, sf_dir):
     c = coupons_after_cutoff(_cat(spark, sf_dir), P)
-    name = F.col("talon_campaign_name")
+    name = "talon_campaign_name"
     return (c.groupBy("order_id")
-            .agg(F.bool_or(_crm(name)).alias("crm"), F.bool_or(_coop(name)).alias("coop")))
+            .agg(F.expr(f"bool_or({crm_sql(name)}) AS crm"), F.expr(f"bool_or({coop_sql(name)}) AS coop")))
 
 
 def q_bank_campaign(spark, sf_dir):
-    return bank_campaign_orders(_cat(spark, sf_dir))
+    return bank_campaign_orders(_cat(spark, sf_dir), item_key=P.campaign_item_key)
 
 
 def q_order_flags(spark, sf_dir):
@@ -249,6 +320,12 @@ def build_queries() -> dict[str, Query]:
     qs: dict[str, Query] = {
         "report_all": q_report_all,
         "union_reports": q_union_reports,
+        "report_incremental": q_report_incremental,
+        "report_repeated_orders": q_report_repeated_orders,
+        "join_partner_repeated": q_join_partner_repeated,
+        "report_null_users": q_report_null_users,
+        "seg_null_users": q_seg_null_users,
+        "anti_null_users": q_anti_null_users,
         "sink_roundtrip": q_sink_roundtrip,
         "seg_labels": q_seg_labels,
         "seg_new_users": q_seg_new_users,
@@ -259,6 +336,7 @@ def build_queries() -> dict[str, Query]:
         "src_dim_partner": q_src_dim_partner,
         "nested_fields": q_nested_fields,
         "fn_month_label": q_fn_month_label,
+        "report_months": q_report_months,
         "month_windows": q_month_windows,
         "filter_date_between": q_filter_date_between,
         "filter_country": q_filter_country,

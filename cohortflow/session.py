@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 # Settings the report relies on. Adaptive execution re-plans joins from
@@ -35,21 +36,47 @@ DEFAULT_CONF = {
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "cohortflow", extra: dict | None = None) -> SparkSession:
-    builder = SparkSession.builder.appName(app_name)
-    if master:
-        builder = builder.master(master)
-    conf = dict(DEFAULT_CONF)
+    """The running session, or a new one.
+
+    A key of ``DEFAULT_CONF`` is set only where the deployment (or the running
+    session) has not set it. ``shuffle_partitions`` and ``extra`` are the
+    caller's own wishes and are always set. Results need the zone UTC: a
+    session with another zone is refused.
+    """
+    active = SparkSession.getActiveSession()
+    wanted = dict(extra or {})
     if shuffle_partitions:
-        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.update(extra or {})
-    for k, v in conf.items():
-        builder = builder.config(k, v)
-    spark = builder.getOrCreate()
+        wanted["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if active is None:
+        builder = SparkSession.builder.appName(app_name)
+        if master:
+            builder = builder.master(master)
+        given = {k for k, _ in SparkConf().getAll()}      # spark-defaults and submit options
+        for k, v in {**{k: v for k, v in DEFAULT_CONF.items() if k not in given}, **wanted}.items():
+            builder = builder.config(k, v)
+        spark = builder.getOrCreate()
+    else:
+        spark = active
+        given = {k for k, _ in spark.sparkContext.getConf().getAll()}
+        for k, v in DEFAULT_CONF.items():
+            if k.startswith("spark.sql.") and k not in given and _is_default(spark, k):
+                spark.conf.set(k, v)
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
+        raise RuntimeError(f"spark.sql.session.timeZone is {zone}; the report's dates need UTC")
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
 
 
+def _is_default(spark: SparkSession, key: str) -> bool:
+    """Whether the running session still has Spark's own value of ``key``."""
+    fresh = spark.newSession()          # starts from the deployment's settings
+    return spark.conf.get(key, None) == fresh.conf.get(key, None)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
@@ -57,28 +84,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     Only when it is unset -- local tests -- a private folder is created.
     """
     global _LOCAL_FALLBACK
-    try:
-        sc = spark.sparkContext
-    except Exception:  # Spark Connect client: no SparkContext, read the setting
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if path:
-            return path
-        master = spark.conf.get("spark.master", "")
-        if not master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir is not set: name a shared folder")
-        if _LOCAL_FALLBACK is None:
-            _LOCAL_FALLBACK = tempfile.mkdtemp(prefix="cohortflow-ckpt-")
-        return _LOCAL_FALLBACK
+    sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir is not set: name a folder every executor "
                                "can read and write (HDFS, object store, shared mount)")
         if _LOCAL_FALLBACK is None:  # local mode only: one machine, a private folder is shared
             _LOCAL_FALLBACK = tempfile.mkdtemp(prefix="cohortflow-ckpt-")
         path = _LOCAL_FALLBACK
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(path)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(path)
     return path
 
 

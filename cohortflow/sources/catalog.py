@@ -41,6 +41,10 @@ class Catalog:
             self._frames[key] = build()
         return self._frames[key]
 
+    def with_tables(self, **tables: DataFrame) -> "Catalog":
+        """The same catalog with some tables replaced."""
+        return Catalog(self.spark, {**self._builders, **{n: (lambda df=df: df) for n, df in tables.items()}})
+
     def names(self) -> list[str]:
         return sorted(self._builders)
 

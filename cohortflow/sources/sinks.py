@@ -9,6 +9,8 @@ unless the caller passes one.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_path
@@ -30,7 +32,7 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def roundtrip_csv(spark: SparkSession, report: DataFrame, name: str) -> DataFrame:
-    """Write ``report`` as CSV under the shared folder and read it back typed."""
-    path = shared_path(spark, "cohortflow-sinks", name + ".csv")
+    """Write ``report`` as CSV to a new folder under the shared one and read it back typed."""
+    path = shared_path(spark, "cohortflow-sinks", f"{name}-{uuid.uuid4().hex}.csv")
     write_csv(report, path)
     return read_csv(spark, path)

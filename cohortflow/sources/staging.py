@@ -14,15 +14,15 @@ would read in production, with filter pushdown and nested-column pruning.
 
 Location: under the shared folder named by ``spark.checkpoint.dir``, keyed
 by a fingerprint of the input files (path, size, modification time) and of
-the adapter version. Written to a temporary folder and renamed into place,
-so a concurrent or interrupted run never leaves a half-written stage behind;
-a lost executor only re-runs its tasks.
+the adapter version. Each run writes to a folder of its own, and its name goes
+into a marker file last: a run that breaks off leaves no marker, and of two
+concurrent runs either result is whole (works the same on object stores, where
+a rename is no single step). A lost executor only re-runs its tasks.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
 import uuid
 
 from pyspark.sql import SparkSession
@@ -33,37 +33,11 @@ from .catalog import ParquetCatalog
 from .schemas import LOGICAL_SCHEMAS
 from .tpch_adapter import DRIVER_SCHEMAS, driver_catalog
 
-ADAPTER_VERSION = "4"
+ADAPTER_VERSION = "5"
 DONE = "_STAGED"
 
 
-class _LocalFS:
-    """The few file-system calls staging needs, for local paths, used when the
-    session exposes no JVM gateway (a Spark Connect client)."""
-
-    @staticmethod
-    def _p(path: str) -> str:
-        return path[5:] if path.startswith("file:") else path
-
-    def status(self, path):
-        st = os.stat(self._p(path))
-        return st.st_size, int(st.st_mtime * 1000)
-
-    def exists(self, path):
-        return os.path.exists(self._p(path))
-
-    def touch(self, path):
-        open(self._p(path), "w").close()
-
-    def rename(self, src, dst):
-        os.makedirs(os.path.dirname(self._p(dst)), exist_ok=True)
-        try:
-            os.rename(self._p(src), self._p(dst))
-        except OSError:  # another run staged it first; theirs is complete
-            pass
-
-
-class _HadoopFS:
+class HadoopFS:
     """Hadoop FileSystem calls (HDFS, object stores, local) through the session's JVM."""
 
     def __init__(self, spark: SparkSession):
@@ -83,25 +57,23 @@ class _HadoopFS:
         fs, p = self._fs(path)
         return fs.exists(p)
 
-    def touch(self, path):
+    def write(self, path, text):
         fs, p = self._fs(path)
-        fs.create(p, True).close()
-
-    def rename(self, src, dst):
-        fs, s = self._fs(src)
-        _, d = self._fs(dst)
-        if fs.exists(d):  # another run staged it first; keep theirs
-            fs.delete(s, True)
-            return
-        fs.mkdirs(d.getParent())
-        fs.rename(s, d)
+        out = fs.create(p, True)
+        out.write(bytearray(text.encode()))
+        out.close()
 
+    def read(self, path):
+        fs, p = self._fs(path)
+        source = fs.open(p)
+        try:
+            return bytes(source.readAllBytes()).decode()
+        finally:
+            source.close()
 
-def _files(spark: SparkSession):
-    try:
-        return _HadoopFS(spark)
-    except Exception:  # no JVM gateway in this session
-        return _LocalFS()
+    def qualified(self, path):
+        fs, p = self._fs(path)
+        return fs.makeQualified(p).toString()
 
 
 def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
@@ -109,17 +81,13 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
     # instants, so a stage is only reused under the zone that wrote it
     tz = spark.conf.get("spark.sql.session.timeZone")
     h = hashlib.sha256(f"{ADAPTER_VERSION}|{tz}".encode())
-    fs = _files(spark)
+    fs = HadoopFS(spark)
     for name in sorted(DRIVER_SCHEMAS):
         size, mtime = fs.status(f"{sf_dir}/{name}.parquet")
-        h.update(f"{os.path.abspath(sf_dir)}|{name}|{size}|{mtime}".encode())
+        h.update(f"{fs.qualified(sf_dir)}|{name}|{size}|{mtime}".encode())
     return h.hexdigest()[:16]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    return _files(spark).exists(path)
-
-
 def stage(spark: SparkSession, sf_dir: str, target: str, n_files: int | None = None) -> None:
     """Derive every logical table from the driver tables and write it under ``target``."""
     cat = driver_catalog(spark, sf_dir)
@@ -132,7 +100,6 @@ def stage(spark: SparkSession, sf_dir: str, target: str, n_files: int | None = N
             # statistics let the scan skip dates outside the report range
             df = df.repartition(n, "order_id").sortWithinPartitions("registered_date")
         df.write.mode("overwrite").parquet(f"{target}/{name}")
-    _files(spark).touch(f"{target}/{DONE}")
 
 
 _CATALOGS: dict[tuple, ParquetCatalog] = {}
@@ -141,17 +108,18 @@ _CATALOGS: dict[tuple, ParquetCatalog] = {}
 def staged_catalog(spark: SparkSession, sf_dir: str) -> ParquetCatalog:
     """Catalog over the staged logical tables of ``sf_dir`` (staging them if needed).
 
-    The staged folder is immutable and named by the input fingerprint, so the
-    catalog (its Parquet relations and their file listings) is reused for the
-    session and the same input.
+    A staged folder is immutable, so the catalog (its Parquet relations and
+    their file listings) is reused for the application and the same input.
     """
+    fs = HadoopFS(spark)
     root = shared_path(spark, "cohortflow-stage", _fingerprint(spark, sf_dir))
-    key = (id(spark), root)
-    if key in _CATALOGS and _exists(spark, f"{root}/{DONE}"):
+    key = (spark.sparkContext.applicationId, root)
+    marker = f"{root}/{DONE}"
+    if key in _CATALOGS and fs.exists(marker):
         return _CATALOGS[key]
-    if not _exists(spark, f"{root}/{DONE}"):
-        tmp = f"{root}.tmp-{uuid.uuid4().hex[:8]}"
-        stage(spark, sf_dir, tmp)
-        _files(spark).rename(tmp, root)
-    _CATALOGS[key] = ParquetCatalog(spark, root)
+    if not fs.exists(marker):
+        run = uuid.uuid4().hex
+        stage(spark, sf_dir, f"{root}/{run}")
+        fs.write(marker, run)
+    _CATALOGS[key] = ParquetCatalog(spark, f"{root}/{fs.read(marker)}")
     return _CATALOGS[key]

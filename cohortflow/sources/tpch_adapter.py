@@ -161,13 +161,12 @@ def driver_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
 
     def campaign_log_items() -> DataFrame:
         li = read("lineitem").where(F.col("l_orderkey") % 13 == 0)
-        return li.select((F.col("l_partkey") % 40).alias("id"),
+        return li.select(F.col("l_partkey").alias("id"),
                          F.col("l_orderkey").alias("order_log_id"))
 
     def campaign() -> DataFrame:
-        p = read("part").where(F.col("p_partkey") < 40)
-        return p.select(F.col("p_partkey").alias("id"),
-                        F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).alias("name"))
+        return read("part").select(F.col("p_partkey").alias("id"),
+                                   F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).alias("name"))
 
     def users() -> DataFrame:
         return read("customer").select(F.col("c_custkey").alias("user_id"))

@@ -8,8 +8,8 @@ from cohortflow.operators.base import order_base
 from cohortflow.operators.segments import segments
 from cohortflow.params import DRIVER_PARAMS as P
 from cohortflow.operators.report import report
-from cohortflow.streaming.monthly_state import (months_to_refresh, read_rollup, report_from_rollup,
-                                                segments_from_rollup, update_month)
+from cohortflow.incremental.monthly_state import (RollupMismatch, months_to_refresh, read_rollup, report_from_rollup,
+                                                  segments_from_rollup, update_month)
 from cohortflow.sources.catalog import frames_catalog
 
 from micro import PARAMS as MP, poison, tables
@@ -51,3 +51,35 @@ def test_rollup_keeps_null_guards_and_rerun_is_idempotent(spark, tmp_path):
     assert rows(inc) == rows(full)
     update_month(cat, MP, MP.anchor, path)  # re-running a month replaces it
     assert rows(segments_from_rollup(read_rollup(spark, path, MP), MP)) == rows(full)
+
+
+def test_other_parameters_are_refused(spark, tmp_path):
+    cat = frames_catalog(spark, tables())
+    path = str(tmp_path / "rollup")
+    market = MP.with_(verticals=("Market", "QC"))
+    build(spark, cat, market, path)
+    with pytest.raises(RollupMismatch):
+        read_rollup(spark, path, MP)                             # verticals the rollup has not
+    with pytest.raises(RollupMismatch):
+        read_rollup(spark, path, market.with_(country_id=1))
+    with pytest.raises(RollupMismatch):
+        read_rollup(spark, path, market.with_(n_months=40))      # months the rollup has not
+    with pytest.raises(RollupMismatch):
+        update_month(cat, MP, MP.anchor, path)
+    one = market.with_(verticals=("QC",))
+    full = segments(order_base(cat, one, one.range_start, one.range_end), one)
+    assert rows(segments_from_rollup(read_rollup(spark, path, one), one)) == rows(full)
+
+
+def test_a_month_that_becomes_empty_is_replaced(spark, tmp_path):
+    from micro import ORDERS
+    path = str(tmp_path / "rollup")
+    build(spark, frames_catalog(spark, tables()), MP, path)
+    less = tables()
+    less["fact_orders"] = [r for r in less["fact_orders"] if r[3].strftime("%Y-%m") != "2022-12"]
+    assert len(less["fact_orders"]) < len(ORDERS)
+    cat = frames_catalog(spark, less)
+    import datetime as dt
+    update_month(cat, MP, dt.date(2022, 12, 1), path)
+    full = segments(order_base(cat, MP, MP.range_start, MP.range_end), MP)
+    assert rows(segments_from_rollup(read_rollup(spark, path, MP), MP)) == rows(full)

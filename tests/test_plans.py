@@ -90,3 +90,23 @@ def test_counted_orders_scan_reads_only_reported_months(spark, parquet_catalog):
     starts = set(re.findall(r"GreaterThanOrEqual\(registered_date,(\d{4}-\d{2}-\d{2})\)", text))
     assert str(PARAMS.history_start) in starts
     assert str(PARAMS.report_months()[-1]) in starts
+
+
+def test_counted_orders_are_shuffled_by_order_id_once(spark, parquet_catalog):
+    """With broadcasts off, the counted order rows meet one exchange by order id for the
+    incentive join, the mark of shared ids and the per-order reduction."""
+    from cohortflow.operators.report import report_orders
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        text = plan_text(report_orders(parquet_catalog, PARAMS))
+    finally:
+        spark.conf.set(key, old)
+    lines = text.splitlines()
+    window = next(i for i, ln in enumerate(lines) if "Window" in ln and "order_id" in ln)
+    above = "\n".join(lines[:window])
+    assert "hashpartitioning(order_id" not in above
+    join = next(i for i, ln in enumerate(lines) if i > window and "SortMergeJoin" in ln and "order_id" in ln)
+    between = "\n".join(lines[window:join])
+    assert "Exchange" not in between

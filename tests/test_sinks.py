@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from cohortflow.operators.report import report
 from cohortflow.sources.catalog import frames_catalog
 from cohortflow.sources.schemas import REPORT
-from cohortflow.sources.sinks import read_csv, write_csv, write_parquet
+from cohortflow.sources.sinks import read_csv, roundtrip_csv, write_csv, write_parquet
 
 from micro import PARAMS, tables
 
@@ -21,3 +21,12 @@ def test_sinks_round_trip(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == want
     assert (tmp_path / "report.parquet" / "Month=2023-03").is_dir()
     assert back.where(F.col("Month") == "2023-03").count() == sum(r[0] == "2023-03" for r in want)
+
+
+def test_round_trips_do_not_disturb_each_other(spark):
+    rep = report(frames_catalog(spark, tables()), PARAMS)
+    one = roundtrip_csv(spark, rep, "report")
+    two = roundtrip_csv(spark, rep.where(F.col("vertical") == "Pharmacy"), "report")
+    want = sorted(map(tuple, rep.collect()))
+    assert sorted(map(tuple, one.collect())) == want
+    assert sorted(map(tuple, two.collect())) == [r for r in want if r[1] == "Pharmacy"]

@@ -1,6 +1,7 @@
 """Staging: derived logical tables are written once and reused."""
 
 import os
+import uuid
 
 import pytest
 
@@ -18,11 +19,42 @@ def test_stage_is_reused(spark):
     assert a is b
 
 
-def test_local_file_fallback_stages_the_same_tables(spark, monkeypatch):
-    """Without a JVM gateway (Spark Connect) staging uses plain file calls."""
-    base = sorted(map(tuple, report(staging.staged_catalog(spark, SF), P).collect()))
-    monkeypatch.setattr(staging, "ADAPTER_VERSION", staging.ADAPTER_VERSION + "-localfs-test")
-    monkeypatch.setattr(staging, "_files", lambda spark: staging._LocalFS())
+def test_breaking_off_leaves_no_stage(spark, monkeypatch):
+    """The marker is written last: a run that fails half-way is staged anew by the next one."""
+    monkeypatch.setattr(staging, "ADAPTER_VERSION", staging.ADAPTER_VERSION + "-" + uuid.uuid4().hex)
+    whole = staging.stage
+
+    def breaks(spark, sf_dir, target, n_files=None):
+        spark.range(3).write.parquet(f"{target}/fact_orders")
+        raise OSError("lost")
+
+    monkeypatch.setattr(staging, "stage", breaks)
+    with pytest.raises(OSError):
+        staging.staged_catalog(spark, SF)
+    monkeypatch.setattr(staging, "stage", whole)
     cat = staging.staged_catalog(spark, SF)
-    assert os.path.exists(os.path.join(cat.root, staging.DONE).replace("file:", ""))
-    assert sorted(map(tuple, report(cat, P).collect())) == base
+    assert cat["fact_orders"].count() == spark.read.parquet(f"{SF}/orders.parquet").count()
+    assert report(cat, P).count() > 0
+
+
+def test_defaults_only_where_unset(spark):
+    """A setting of the running session survives; the caller's own wishes are set."""
+    from cohortflow.session import get_session
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "7m")
+    try:
+        assert get_session().conf.get(key) == "7m"
+        assert get_session(extra={key: "8m"}).conf.get(key) == "8m"
+    finally:
+        spark.conf.set(key, old)
+
+
+def test_another_zone_is_refused(spark):
+    from cohortflow.session import get_session
+    spark.conf.set("spark.sql.session.timeZone", "America/Montevideo")
+    try:
+        with pytest.raises(RuntimeError):
+            get_session()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

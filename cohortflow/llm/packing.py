@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -39,8 +40,8 @@ CAPACITY = 4096
 END_ID = 1
 SALTS = 32
 GROUP = 20_000_000
-#: Distinct words whose ids a task keeps; beyond that it begins anew.
-CACHE_WORDS = 500_000
+#: Distinct words whose ids a worker keeps; beyond that it begins anew.
+CACHE_WORDS = 800_000
 
 
 class WordIds:
@@ -56,11 +57,14 @@ class WordIds:
     def __init__(self, path: str):
         import os
 
-        from tokenizers import Tokenizer
+        import tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"      # Spark's tasks use the cores
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        # Spark reuses a worker process for many tasks: what one has learned helps the next
+        kept = vars(tokenizers).setdefault("_known_words", {})
+        if path not in kept:
+            kept[path] = (tokenizers.Tokenizer.from_file(path), {})
+        self.tokenizer, self.known = kept[path]
 
     def learn(self, words: set[bytes]) -> None:
         """Add the ids of all words that are not known yet."""
@@ -79,7 +83,7 @@ class WordIds:
         for at in range(0, len(new), 50_000):
             some = new[at:at + 50_000]
             got = self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)
-            ids.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(some, got))
+            ids.update((x, array("I", e.ids).tobytes()) for x, e in zip(some, got))
         of = lambda x: ids[x] if x in ids else known[x]
         known.update([(w, of(c) + of(t)) for w, (c, t) in parts.items()])
         known.update(ids)

@@ -13,8 +13,8 @@ decides on all lines that the markup leaves open.
 Plan: pages are read twice. The first pass keeps hashes of the lines only;
 neighbours come from global positions (one range shuffle of short rows, so a
 host that holds a third of all pages is spread over many tasks), and pairs
-meet by row number. The second pass cuts the texts again and joins them with
-the masks of their lines. Alignment is bit-parallel; beyond ``LCS_CELLS`` it
+meet by a digest of their content. The second pass cuts the texts again and joins them with
+the masks of their lines; packed, they are half as large on the way. Alignment is bit-parallel; beyond ``LCS_CELLS`` it
 splits the problem in half, so its memory is bounded.
 
 Defined results: a null html is empty, with empty text; a null URL has host
@@ -26,6 +26,7 @@ empty table gives no rows.
 from __future__ import annotations
 
 import re
+import zlib
 from html import unescape
 
 import numpy as np
@@ -44,12 +45,12 @@ LCS_CELLS = 200_000_000
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
                    r"""|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|([^<]++)|(<)""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "head", "select", "button", "object", "math"}
+RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "select", "button", "object", "math"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd",
           "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
 #: Elements, roles and class or id words that hold no article text.
-AWAY_TAGS = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset"}
+AWAY_TAGS = {"head", "nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset"}
 AWAY_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu"}
 AWAY_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "nav",
               "navbar", "navigation", "menu", "sidebar", "footer", "header", "masthead", "cookie", "cookies", "consent", "gdpr",
@@ -87,7 +88,7 @@ def lines_of(html: str | None) -> tuple[list[str], list[int]]:
     roles: list[int] = []                # per line: AWAY, OPEN, or the rank of its best container
     stack: list[tuple[str, int]] = []    # open elements, with the role that holds inside
     buffer: list[str] = []
-    raw = None                           # element whose content is no text, and how deep it stands
+    page, at = html or "", 0
 
     def flush() -> None:
         if buffer:
@@ -97,34 +98,35 @@ def lines_of(html: str | None) -> tuple[list[str], list[int]]:
                 lines.append(text)
                 roles.append(stack[-1][1] if stack else OPEN)
 
-    for m in TOKEN.finditer(html or ""):
+    while at < len(page):
+        m = TOKEN.match(page, at)
+        at = m.end()
         if (text := m[7] or m[8]) is not None:
-            if raw is None:
-                buffer.append(text)
+            buffer.append(text)
             continue
         tag = (m[2] or m[5] or "").lower()
         if not tag or (m[2] is None and not m[0].endswith(">")):
             continue                     # comment, declaration, or a tag that the end of the page cuts
         end, attributes = m[1] or m[4], m[3] or m[6] or ""
-        if raw is not None:
-            raw = None if end and tag == raw else "" if raw == "head" and tag == "body" and not end else raw
-            if raw is not None and raw != "":
-                continue
-            raw = None
-            if end:
-                continue
+        if tag in RAW and not end and not attributes.endswith("/"):
+            # its content is no markup: go on after its end tag
+            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            at = close.end() if close else len(page)
+            if tag not in INLINE:
+                flush()
+            continue
+        if tag == "body" and not end:
+            stack.clear()                # a head that was not closed
         if tag not in INLINE:
             flush()
         if end:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if at >= 0:
-                if tag in INLINE and any(t not in INLINE for t, _ in stack[at:]):
+            i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
+            if i >= 0:
+                if tag in INLINE and any(t not in INLINE for t, _ in stack[i:]):
                     continue             # an inline end tag does not close blocks
-                if any(r != stack[at - 1][1] if at else r != OPEN for _, r in stack[at:]):
+                if any(r != stack[i - 1][1] if i else r != OPEN for _, r in stack[i:]):
                     flush()
-                del stack[at:]
-        elif tag in RAW and not attributes.endswith("/"):
-            raw = tag
+                del stack[i:]
         elif tag not in VOID and not attributes.endswith("/"):
             if tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option"):      # closed by the next of their kind
                 while stack and (stack[-1][0] == tag or stack[-1][0] in INLINE or stack[-1][0] == "p"):
@@ -222,8 +224,10 @@ def neighbours(pages: DataFrame) -> DataFrame:
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars, n_lines, n_shared (lines aligned with the neighbour) of every row."""
-    src = pages.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("page_id"),
-                       F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
+    src = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
+    # a page is known by its content in both passes; copies of it are one page to its neighbours
+    part = lambda c: F.coalesce(F.col(c), F.lit("\x00"))
+    src = src.select(F.unhex(F.md5(F.concat(part("url"), F.lit("\x1f"), part("html")))).alias("row"), "page_id", "url", "html")
     host, path = host_and_path(F.col("url"))
     kind = src.schema["page_id"].dataType.simpleString()
 
@@ -237,9 +241,23 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     def cut(batches):
         for b in batches:
             got = [lines_of(t.as_py()) for t in b.column(3)]
+            # lines that the markup puts away keep their place, but are not moved; the others are moved packed
+            packed = [zlib.compress("\n".join(t for t, k in zip(x, r) if k != AWAY).encode(), 3) for x, r in got]
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:3], pa.array(packed, pa.binary()), pa.array([r for _, r in got], pa.list_(pa.int32()))],
+                ["row", "page_id", "url", "packed", "roles"])
+
+    def kept(batches):
+        for b in batches:
+            out = []
+            for packed, roles, shared in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
+                at = [i for i, r in enumerate(roles) if r != AWAY]
+                gone = set(shared or ())
+                lines = zlib.decompress(packed).decode().split("\n")
+                out.append((" ".join(t for i, t in zip(at, lines) if roles[i] == ARTICLE or i not in gone), len(roles), len(gone)))
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:3], pa.array([x for x, _ in got], pa.list_(pa.string())), pa.array([r for _, r in got], pa.list_(pa.int32()))],
-                ["row", "page_id", "url", "lines", "roles"])
+                [*b.columns[:2], pa.array([t for t, _, _ in out], pa.string()), pa.array([n for _, n, _ in out], pa.int32()),
+                 pa.array([n for _, _, n in out], pa.int32())], ["page_id", "url", "text", "n_lines", "n_shared"])
 
     def aligned(batches):
         for b in batches:
@@ -247,13 +265,12 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared, pa.list_(pa.int32()))], ["row", "shared"])
 
     light = stage(src.select("row", host.alias("host"), path.alias("path"), "html")
-                  .mapInArrow(hashed, "row bigint, host string, path string, lines array<bigint>"), "pages-lines")
+                  .mapInArrow(hashed, "row binary, host string, path string, lines array<bigint>")
+                  .dropDuplicates(["row"]), "pages-lines")
     other = light.select(F.col("row").alias("other"), F.col("lines").alias("lines2"))
     pairs = neighbours(light).join(light.select("row", "lines"), "row").join(other, "other").select("row", "lines", "lines2")
-    masks = pairs.mapInArrow(aligned, "row bigint, shared array<int>")
-    texts = src.mapInArrow(cut, f"row bigint, page_id {kind}, url string, lines array<string>, roles array<int>")
-    x = texts.join(masks, "row", "left").withColumn("shared", F.coalesce("shared", F.array().cast("array<int>")))
-    kept = F.expr(f"filter(lines, (t, i) -> roles[i] = {ARTICLE} OR (roles[i] = {OPEN} AND NOT array_contains(shared, i)))")
-    return (x.withColumn("text", F.array_join(kept, " "))
-            .select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"),
-                    F.size("lines").alias("n_lines"), F.size("shared").alias("n_shared")))
+    masks = pairs.mapInArrow(aligned, "row binary, shared array<int>")
+    texts = src.mapInArrow(cut, f"row binary, page_id {kind}, url string, packed binary, roles array<int>")
+    x = texts.join(masks, "row", "left").select("page_id", "url", "packed", "roles", "shared")
+    out = x.mapInArrow(kept, f"page_id {kind}, url string, text string, n_lines int, n_shared int")
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_lines", "n_shared")

@@ -287,7 +287,7 @@ def test_differencing_finds_the_template(spark, empty):
     rows = [(i, f"http://h.org/news/{i}", page("Home | News | Contact", f"Story {i} tells of things {i}.", "Share this", "All rights reserved"))
             for i in range(9)]
     rows += [(50, "http://h.org/shop/x", page("Home | News | Contact", "A shop.", "All rights reserved")), (51, "http://one.org/a", page("Alone", "text")),
-             (52, None, None), (53, None, ""), (None, "http://h.org/news/3", page("Copy")), (55, "x", "plain &lt;text&gt; a&nbsp;b &amp"),
+             (52, None, None), (53, None, ""), (None, "http://h.org/zzz/30", page("Other")), (60, rows[4][1], rows[4][2]), (55, "x", "plain &lt;text&gt; a&nbsp;b &amp"),
              (56, "http://q.org/1", '<nav>Menu</nav><article><h1>T</h1><p>Same<b>ly</b> text.<p>Two &amp; three<br>four</p></article><div class="ad">Buy'),
              (57, "http://q.org/2", '<article><h1>T</h1><p>Same<b>ly</b> text.</article><div id="comments"><p>I think</p></div><form>Name</form>'),
              (58, "http://z.org/1", "<p>cut <b>in a ta"), (59, "http://z.org/9", "<script>if (a<b) { '</p>' }</script><style>p{}</style><p>seen")]
@@ -295,6 +295,7 @@ def test_differencing_finds_the_template(spark, empty):
     got = {r["page_id"]: r["text"] for r in html_text.main_texts(pages).collect()}
     for i in range(9):
         assert got[i] == f"Story {i} tells of things {i}."
+    assert got[60] == got[4]                                   # a copy does not delete what it copies
     assert got[50] == "A shop." and got[51] == "Alone text" and got[52] == got[53] == ""
     assert got[55] == "plain <text> a b &"
     assert got[56] == "T Samely text. Two & three four" and got[57] == "T Samely text."

@@ -10,7 +10,6 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 # Settings the report relies on. Adaptive execution re-plans joins from
@@ -43,26 +42,26 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     caller's own wishes and are always set. Results need the zone UTC: a
     session with another zone is refused.
     """
-    active = SparkSession.getActiveSession()
     wanted = dict(extra or {})
     if shuffle_partitions:
         wanted["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    if active is None:
+    spark = SparkSession.getActiveSession()
+    if spark is None:
         builder = SparkSession.builder.appName(app_name)
         if master:
             builder = builder.master(master)
-        given = {k for k, _ in SparkConf().getAll()}      # spark-defaults and submit options
-        for k, v in {**{k: v for k, v in DEFAULT_CONF.items() if k not in given}, **wanted}.items():
+        # what a running context cannot change any more; on a cluster that is the deployment's business
+        launch = {k: v for k, v in DEFAULT_CONF.items() if not k.startswith("spark.sql.")}
+        for k, v in {**(launch if (master or "").startswith("local") else {}), **wanted}.items():
             builder = builder.config(k, v)
         spark = builder.getOrCreate()
     else:
-        spark = active
-        given = {k for k, _ in spark.sparkContext.getConf().getAll()}
-        for k, v in DEFAULT_CONF.items():
-            if k.startswith("spark.sql.") and k not in given and _is_default(spark, k):
-                spark.conf.set(k, v)
         for k, v in wanted.items():
             spark.conf.set(k, v)
+    given = {k for k, _ in spark.sparkContext.getConf().getAll()} | set(wanted)
+    for k, v in DEFAULT_CONF.items():
+        if k.startswith("spark.sql.") and k not in given and _is_default(spark, k):
+            spark.conf.set(k, v)
     zone = spark.conf.get("spark.sql.session.timeZone")
     if zone not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
         raise RuntimeError(f"spark.sql.session.timeZone is {zone}; the report's dates need UTC")
@@ -85,7 +84,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     global _LOCAL_FALLBACK
     sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir is not set: name a folder every executor "

@@ -71,37 +71,33 @@ def order_incentives(cat: Catalog, params: ReportParams, orders: DataFrame | Non
     is first reduced to them, so what is shuffled follows the number of
     reported orders and not the history of the side tables.
     """
-    def of_reported(df: DataFrame) -> DataFrame:
-        df = df.where("order_id IS NOT NULL")
-        return df if orders is None else df.join(orders, "order_id", "left_semi")
-
-    coupons = of_reported(coupons_after_cutoff(cat, params)).selectExpr(
+    coupons = coupons_after_cutoff(cat, params).selectExpr(
         "order_id", f"{crm_sql('talon_campaign_name')} AS crm",
         f"{coop_sql('talon_campaign_name')} AS coop", "false AS bank")
-    wallet = of_reported(cat["fact_wallet"]).selectExpr(
+    wallet = cat["fact_wallet"].selectExpr(
         "order_id", "false AS crm", f"{coop_sql('campaign_name')} AS coop", "false AS bank")
+    # rows that name no incentive say nothing about their order
+    named = coupons.union(wallet).where("order_id IS NOT NULL AND (crm OR coop)")
+    if orders is not None:
+        named = named.join(orders, "order_id", "left_semi")
     # no distinct here: the union below is reduced by order_id anyway
     bank = bank_campaign_orders(cat, distinct=False, item_key=params.campaign_item_key, orders=orders).selectExpr(
         "order_id", "false AS crm", "false AS coop", "true AS bank")
-    return (coupons.union(wallet).union(bank)
+    return (named.union(bank)
             .groupBy("order_id")
             .agg(F.expr("bool_or(crm) AS crm"), F.expr("bool_or(coop) AS coop"),
                  F.expr("bool_or(bank) AS bank")))
 
 
-def order_metric_flags(orders: DataFrame, incentives: DataFrame | None,
-                       strict_confirmed: bool = False) -> DataFrame:
+def order_metric_flags(orders: DataFrame, incentives: DataFrame, strict_confirmed: bool = False,
+                       on: str | list[str] = "order_id") -> DataFrame:
     """Adds the per-order metric booleans to ``orders`` (flat order rows).
 
     ``inc`` keeps the original precedence ``ok AND voucher OR crm OR df0 OR
     corporate OR bank OR plus``: only the voucher term requires a CONFIRMED
-    order. ``strict_confirmed`` requires it for every term. Without
-    ``incentives`` (rows whose order id is NULL) no side table has any.
+    order. ``strict_confirmed`` requires it for every term.
     """
-    if incentives is None:
-        j = orders.selectExpr("*", "false AS crm", "false AS coop", "false AS bank")
-    else:
-        j = orders.join(incentives, "order_id", "left")
+    j = orders.join(incentives, on, "left")
     t = {
         "vou": "coalesce(has_voucher_discount > 0, false)",
         "crm": "coalesce(crm, false)",

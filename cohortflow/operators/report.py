@@ -47,22 +47,22 @@ ORDER_COLUMNS = ("order_id", "user_id", "m", "final_scopes", "ok", "has_voucher_
 
 
 def order_level(base: DataFrame, cat: Catalog, params: ReportParams, part: bool) -> DataFrame:
-    """One row per order, user, month, scope and vertical with its flags; plus the
-    rows without an order id. ``shared``: the order id has rows of several users.
+    """One row per order, user, month, scope and vertical with its flags (rows without an
+    order id: per user and salt). ``shared``: the order id has rows of several users.
     ``part``: the rows are a part of the fact, so the side tables are reduced to their ids."""
-    o = base.where(F.size("final_scopes") > 0).select(*ORDER_COLUMNS)
-    known = o.where("order_id IS NOT NULL")
-    ids = known.select("order_id").distinct() if part else None
-    flags = order_metric_flags(known, order_incentives(cat, params, ids), params.strict_confirmed)
-    same = Window.partitionBy("order_id")
+    # a NULL id joins nothing and is no group: the salt spreads such rows over the exchange
+    o = base.where(F.size("final_scopes") > 0).selectExpr(
+        *ORDER_COLUMNS, "CASE WHEN order_id IS NULL THEN xxhash64(user_id, d, has_voucher_discount, shipping_amount_no_discount) ELSE 0L END AS salt")
+    ids = o.where("order_id IS NOT NULL").select("order_id").distinct() if part else None
+    incentives = order_incentives(cat, params, ids).withColumn("salt", F.lit(0).cast("long"))
+    flags = order_metric_flags(o, incentives, params.strict_confirmed, ["order_id", "salt"])
+    same = Window.partitionBy("order_id", "salt")
     users = F.struct(F.col("user_id").isNull(), "user_id")
-    flags = flags.withColumn("shared", F.min(users).over(same) != F.max(users).over(same))
-    per_order = (flags.selectExpr("order_id", "shared", "user_id", "m", *FLAGS, "inline(final_scopes)")
-                 .groupBy("order_id", "shared", "user_id", "m", "scope", "vertical")
-                 .agg(*[F.bool_or(f).alias(f) for f in FLAGS]))
-    no_id = order_metric_flags(o.where("order_id IS NULL"), None, params.strict_confirmed).selectExpr(
-        "order_id", "false AS shared", "user_id", "m", *FLAGS, "inline(final_scopes)")
-    return per_order.unionByName(no_id)
+    shared = F.col("order_id").isNotNull() & (F.min(users).over(same) != F.max(users).over(same))
+    return (flags.withColumn("shared", shared)
+            .selectExpr("order_id", "salt", "shared", "user_id", "m", *FLAGS, "inline(final_scopes)")
+            .groupBy("order_id", "salt", "shared", "user_id", "m", "scope", "vertical")
+            .agg(*[F.bool_or(f).alias(f) for f in FLAGS]))
 
 
 def user_level(orders: DataFrame) -> DataFrame:

@@ -9,9 +9,14 @@ a secret (long hexadecimal run) only from a context word.
 
 Positions: a text is split by the same expression that proposes the spans, so
 piece and match lengths alternate; their running sums are the positions. The
-sums are taken in blocks, so a text with very many spans stays cheap. All
-expressions use possessive groups and start runs at their first character, so
-they are linear in the text and never recurse.
+sums are taken in blocks, so a text with very many spans stays cheap. The
+expressions start runs at their first character and repeat without bound only
+what cannot match in two ways, so they are linear in the text.
+
+An IBAN has the length of its country, whatever stands behind it. Only its
+first four characters are a match, the rest is looked ahead at: a code that is
+no IBAN never hides one that begins inside of it. A code of no country of the
+registry is taken as far as capitals and digits go.
 
 Plan: one map over the documents, no shuffle, no Python.
 
@@ -40,6 +45,7 @@ class Kind:
     context: str = ""     # expression for the words before a span
     bonus: float = 0.0
     base: bool = False
+    whole: str = ""       # expression for the span from the place of a match on, where the match only begins it
 
 
 def _digits(x: str) -> str:
@@ -61,20 +67,40 @@ def _let(value: str, body: str) -> str:
     return f"transform(array({value}), v -> {body})[0]"
 
 
+#: Lengths of IBANs by country (registry of ISO 13616, and the countries that use the form without an entry).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE GG IE IM JE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR",
+    27: "BL CF CG DJ FR GA GF GP GQ GR IT KM MC MF MG MQ MR NC PF PM RE SM TD TF WF YT BI",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU"}
+
+
+def _iban() -> str:
+    """An IBAN up to its last character."""
+    by_length = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+    known = "|".join(c.replace(" ", "|") for c in IBAN_LENGTHS.values())
+    other = f"(?!{known})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}}+"
+    return f"(?:{by_length}|{other})(?![A-Za-z0-9])"
+
+
+IBAN = _iban()
+
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)++",
          "true", "contains(t, '@')", 0.9, r"(?i)mail|contact", 0.1, True),
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}",
-         r"forall(split(m, '[.]'), p -> regexp_like(p, '^0*+([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$'))",
+         r"forall(split(m, '[.]'), p -> regexp_like(p, '^0*([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$'))",
          "regexp_like(t, '[0-9][.][0-9]')", 0.7, r"(?i)\bip\b|address|host", 0.2, True),
     Kind("card", r"[0-9](?:[ -]?[0-9])++",
          _let(_digits("m"), "CASE WHEN length(v) BETWEEN 14 AND 19 THEN " + LUHN.format(d="v") + " ELSE false END"),
          "regexp_like(t, '[0-9]([ -]?[0-9]){13}')", 0.8, r"(?i)card|visa|credit", 0.2, True),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]",
          f"length({_digits('m')}) BETWEEN 10 AND 15", "contains(t, '+')", 0.7, r"(?i)phone|tel|call", 0.2, True),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    Kind("iban", f"(?<![A-Za-z0-9])(?={IBAN})[A-Z]{{2}}[0-9]{{2}}",
          _let("replace(m, ' ', '')", "CASE WHEN length(v) BETWEEN 15 AND 34 THEN " + MOD97.format(x="v") + " ELSE false END"),
-         "regexp_like(t, '[A-Z]{2}[0-9]{2}')", 0.6, r"(?i)iban|account|konto", 0.3),
+         "regexp_like(t, '[A-Z]{2}[0-9]{2}')", 0.6, r"(?i)iban|account|konto", 0.3, whole=IBAN),
     Kind("secret", r"(?<![A-Za-z0-9])[0-9a-f]{32,}+(?![A-Za-z0-9])", "true",
          "regexp_like(t, '[0-9a-f]{32}')", 0.3, r"(?i)token|secret|key|password|passwd", 0.5),
 )
@@ -104,7 +130,9 @@ def _spans(rank: int, k: Kind) -> str:
     context = (f"CASE WHEN regexp_like(substring(t, CAST(greatest(1, s - {CONTEXT_CHARS} + 1) AS INT), "
                f"CAST(least(s, {CONTEXT_CHARS}) AS INT)), {_sql(k.context)}) THEN {k.bonus}D ELSE 0D END")
     valid = f"transform(array(m), m -> {k.valid})[0]"
-    rows = (f"transform(f, (m, i) -> struct(at[2 * i + 1] AS start, {rank} AS rank, '{k.name}' AS kind, "
+    # what a match only begins is read on from its place: no IBAN is longer than 34 characters and as many blanks
+    spans = f"transform(f, (m, i) -> regexp_extract(substring(t, CAST(at[2 * i + 1] + 1 AS INT), 69), {_sql(k.whole)}, 0))" if k.whole else "f"
+    rows = (f"transform({spans}, (m, i) -> struct(at[2 * i + 1] AS start, {rank} AS rank, '{k.name}' AS kind, "
             f"at[2 * i + 1] + length(m) AS stop, CASE WHEN {valid} THEN {k.score}D ELSE 0D END AS score))")
     scored = (f"transform({rows}, x -> CASE WHEN x.score > 0 THEN transform(array(x.start), s -> struct(x.start AS start, x.rank AS rank, "
               f"x.kind AS kind, x.stop AS stop, x.score + {context} AS score))[0] ELSE x END)")

@@ -112,6 +112,40 @@ def test_personal_data_of_the_method(spark):
     assert got[5] == ",".join(f"{k}:{a}:{b}" for k, a, b in brute.pii_base(rows[4][1]))
 
 
+def test_addresses_with_zero_parts(spark):
+    texts = ["10.0.0.1", "host 0.0.0.0, 127.0.0.1", "001.2.3.4", "000.00.0.000", "192.168.0.1 256.0.0.1 1.2.3.0256 0255.1.1.0", "0" * 4_000 + ".0.0.999"]
+    got = pii.pii(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    for r in got:
+        want = brute.pii_base(texts[r["doc_id"]])
+        assert (r["n_ip"], r["base_sha256"]) == (sum(k == "ip" for k, _, _ in want), brute.pii_sha(want)), texts[r["doc_id"]][:40]
+    assert sorted(r["n_ip"] for r in got) == [0, 1, 1, 1, 2, 2]
+    clean = pii.redact(spark.createDataFrame([(1, "at 10.0.0.1 now")], "doc_id int, text string")).collect()
+    assert clean[0]["text"] == "at <IP> now"
+
+
+def mod97(x):
+    return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+
+
+def test_iban_ends_at_its_length(spark):
+    good = ["DE89370400440532013000", "GB82WEST12345698765432", "NO9386011117947", "MT84MALT011000012345MTLCAST001S", "BE68539007547034"]
+    printed = [" ".join(x[i:i + 4] for i in range(0, len(x), 4)) for x in good]
+    assert all(map(mod97, good))
+    rows, want = [], []
+    for x in good + printed:
+        for before, after in (("", " Bitte"), ("", " AND MORE"), ("to ", " 2024"), ("é ", " A1B2 C3"), ("AB12 ", " x"), ("", ""), ("(", ").")):
+            rows.append((len(rows), before + x + after))
+            want.append((len(before), len(before) + len(x)))
+    rows += [(len(rows), good[0] + "7"), (len(rows) + 1, "x" + good[0]), (len(rows) + 2, good[0] + "a")]      # not on their own
+    got = {r["doc_id"]: r["spans"] for r in pii.pii(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    for (i, text), (a, b) in zip(rows, want):
+        assert f"iban:{a}:{b}" in got[i].split(","), text
+    assert not any("iban" in got[i] for i in range(len(want), len(rows)))
+    # a code of no country is held to its checksum alone
+    other = next(f"QQ{n:02d}ABCDEFGHIJK12" for n in range(100) if mod97(f"QQ{n:02d}ABCDEFGHIJK12"))
+    assert pii.pii(spark.createDataFrame([(1, other + ".")], "doc_id int, text string")).collect()[0]["spans"] == f"iban:0:{len(other)}"
+
+
 def test_redaction(spark, docs):
     rows = [(1, "é mail a.b@c.de, ip 1.2.3.4."), (2, "none"), (3, None), (4, "")]
     got = {r["doc_id"]: r["text"] for r in pii.redact(spark.createDataFrame(rows, "doc_id int, text string")).collect()}

@@ -7,12 +7,14 @@ packing needs to break: a piece with the largest that fits beside it, when
 that one fills the sequence exactly, or when no two pieces fit beside it, or
 when it is as long as any two that do. What remains is packed best-fit in
 order of falling length, many equal pieces at a time. The result is a list of
-runs: ranks of one length, and the sequences and offsets they go to.
-
-Plan: one map turns texts into pieces (text never leaves it). Pieces get their
-rank within their length from windows over (length, salt) and the counts of
-the salts, so a length that a third of all pieces share is split. Only the
-counts meet in one task, and beyond ``GROUP`` pieces the instance is split
+runs: ranks of one length, and the sequences and offsets they go to. Every
+piece carries its token ids: a sequence is the ids of its pieces by offset.
+
+Plan: one map turns texts into pieces (text never leaves it), which are written
+down with a key of their own. Keys get their rank within their length from
+windows over (length, salt) and the counts of the salts, so a length that a
+third of all pieces share is split; token ids are moved once, when the places
+are joined to them by key. Only the counts meet in one task, and beyond ``GROUP`` pieces the instance is split
 into parts that are packed apart, each of which leaves at most one sequence
 open more than the whole would.
 
@@ -23,7 +25,6 @@ rows each are packed; other columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import bisect
-import zlib
 from array import array
 
 import numpy as np
@@ -110,27 +111,28 @@ def _parts(column, most: int = 4 << 20):
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id",
            text_col: str = "text", end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
+    """doc_id, piece, start, length, ids of every piece of every document (ids: four bytes a token, lowest first)."""
     src = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("t"))
     kind = src.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         ids = WordIds(tokenizer_path)
         for b in batches:
-            rows, cols = [], [[], [], [], []]
-            for first, texts in _parts(b.column(1)):
+            for first, texts in _parts(b.column(1)):      # one batch a part: ids may be larger than their text
+                rows, cols = [], [[], [], [], []]
                 for n, x in enumerate(ids(texts), first):
                     x = np.append(x, np.uint32(end_id)).astype("<u4")
                     for p, at in enumerate(range(0, len(x), capacity)):
                         part = x[at:at + capacity]
                         rows.append(n)
-                        for c, v in zip(cols, (p, at, len(part), zlib.crc32(part.tobytes()))):
+                        for c, v in zip(cols, (p, at, len(part), part.tobytes())):
                             c.append(v)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(rows, pa.int64())), pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:])],
-                ["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(rows, pa.int64())),
+                     *(pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.binary())))],
+                    ["doc_id", "piece", "start", "length", "ids"])
 
-    return src.mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return src.mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids binary")
 
 
 class Packer:
@@ -251,15 +253,13 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple]
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id",
          text_col: str = "text", end_id: int = END_ID, group: int = GROUP) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
-    found = stage(pieces(docs, tokenizer_path, capacity, id_col, text_col, end_id), "pieces")
+    """doc_id, piece, start, length, ids, ids_crc32, sequence_id, offset of every piece."""
+    # copies of one document agree in all else: every piece is known by its place in the written table
+    found = stage(pieces(docs, tokenizer_path, capacity, id_col, text_col, end_id)
+                  .withColumn("_piece", F.monotonically_increasing_id()), "pieces")
     parts = max(1, -(-found.count() // group))
-    spread = "xxhash64(doc_id, piece, ids_crc32)"
-    dealt = (found.withColumn("part", F.expr(f"CAST(pmod({spread}, {parts}) AS INT)"))
-             .withColumn("salt", F.expr(f"CAST(pmod(xxhash64({spread}, 7), {SALTS}) AS INT)")))
-    # copies of one document agree in all of that: their place in the input tells them apart
-    dealt = dealt.withColumn("salt", F.expr(f"CAST(pmod(salt + monotonically_increasing_id(), {SALTS}) AS INT)"))
-    dealt = stage(dealt, "pieces-dealt")
+    dealt = found.select("_piece", "length", F.expr(f"CAST(pmod(xxhash64(_piece), {parts}) AS INT)").alias("part"),
+                         F.expr(f"CAST(pmod(xxhash64(_piece, 7), {SALTS}) AS INT)").alias("salt"))
     key = ["part", "length", "salt"]
     salts = stage(dealt.groupBy(*key).agg(F.count("*").alias("n")), "pieces-counts")
 
@@ -280,11 +280,12 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col:
     before = Window.partitionBy("part", "length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     sides = (salts.withColumn("n0", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
              .join(by_length, ["part", "length"]))
-    inside = Window.partitionBy(*key).orderBy("doc_id", "piece", "ids_crc32")
+    inside = Window.partitionBy(*key).orderBy("_piece")
     ranked = dealt.withColumn("r", F.row_number().over(inside)).join(sides, key)
     ranked = ranked.withColumn("rank", F.col("n0") + F.col("r") - 1)
     ranked = ranked.withColumn("run", F.expr("filter(runs, x -> rank >= x.a AND rank < x.b)[0]"))
-    return ranked.select(
-        "doc_id", "piece", "start", "length", "ids_crc32",
-        F.expr("run.sequence + (rank - run.a) div run.each").alias("sequence_id"),
+    placed = ranked.select(
+        "_piece", F.expr("run.sequence + (rank - run.a) div run.each").alias("sequence_id"),
         F.expr("run.place + ((rank - run.a) % run.each) * length").alias("offset"))
+    return found.join(placed, "_piece").select(
+        "doc_id", "piece", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")

@@ -46,7 +46,7 @@ def op5_toxicity(spark, sf_dir):
 
 
 def op6_packing(spark, sf_dir):
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
 
 def op7_licenses(spark, sf_dir):

@@ -56,7 +56,7 @@ def redact_personal_data(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in sequences of 4096 tokens."""
+    """Pieces of all documents, token ids and all, with their places in sequences of 4096 tokens."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -147,6 +147,27 @@ def test_pieces_are_whole_and_placed(spark, docs, empty):
     assert packing.pack(empty, TOKENIZER).count() == 0
 
 
+def test_sequences_hold_the_tokens(spark, docs):
+    tok = Tokenizer.from_file(TOKENIZER)
+    rows = packing.pack(docs, TOKENIZER, 512).collect()
+    whole, sequences = Counter(), {}
+    for r in rows:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], np.frombuffer(r["ids"], "<u4").tolist()))
+        assert len(r["ids"]) == 4 * r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"]
+        whole[r["doc_id"], r["start"], bytes(r["ids"])] += 1
+    want = Counter()
+    for d, t in pairs(docs):
+        ids = np.array(tok.encode(t or "", add_special_tokens=False).ids + [1], "<u4")
+        want.update((d, at, ids[at:at + 512].tobytes()) for at in range(0, len(ids), 512))
+    assert whole == want
+    for places in sequences.values():
+        tokens = []
+        for at, ids in sorted(places):
+            assert at == len(tokens)
+            tokens += ids
+        assert len(tokens) <= 512
+
+
 def test_packing_in_parts(spark, docs):
     rows = packing.pack(docs, TOKENIZER, 512, group=60).collect()
     check_packing(rows, 512)

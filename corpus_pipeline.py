@@ -5,9 +5,10 @@ on every row its predecessor kept, and returns a DataFrame; ``run`` writes each
 result as Parquet below ``spark.checkpoint.dir`` and reads it again for the
 next stage. All stages but the last return the columns of documents.
 
-Rows without an id cannot be named by an operator's result: the filtering
-stages keep them as they are. Of rows that repeat an id, the near-duplicate
-stage keeps one. An empty table passes through.
+The near-duplicate and the contamination stage give every row a key of its own
+in a written table and judge rows by it, so rows that repeat an id are judged
+each by its text, and so are rows without one. Only a group of near copies of
+which no row has an id stays whole. An empty table passes through.
 """
 
 from __future__ import annotations
@@ -22,10 +23,18 @@ from cohortflow.llm.common import stage, table
 TOXIC_AT = 0.3
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is not among ``ids``; rows without an id stay."""
-    gone = ids.select(F.col("doc_id").alias("_gone")).where(F.col("_gone").isNotNull()).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+#: Key of a row within a stage.
+KEY = "_stage_row"
+
+
+def _keyed(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a key for every row, written down so that it cannot change in a retry."""
+    return stage(docs.withColumn(KEY, F.monotonically_increasing_id()), name)
+
+
+def _without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``keyed`` whose key is not in ``gone``, without the key."""
+    return keyed.join(gone, KEY, "left_anti").drop(KEY)
 
 
 def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,17 +44,20 @@ def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of every group of linked fingerprints."""
-    found = stage(simhash.near_duplicates(docs), "near-duplicates")
-    rest = _without(docs, found.where("doc_id <> component_id"))
-    again = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
-    one = rest.join(again, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
-    return rest.join(again, F.col("doc_id") == F.col("_again"), "left_anti").unionByName(one)
+    """The row of smallest id (then key) of every group of linked fingerprints; groups without any id stay."""
+    keyed = _keyed(docs, "near-duplicate-rows")
+    found = simhash.near_duplicates(keyed, id_col=KEY).select(F.col("doc_id").alias(KEY), "component_id")
+    rows = stage(keyed.select(KEY, F.col("doc_id").alias("id")).join(found, KEY), "near-duplicates")
+    first = rows.groupBy("component_id").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", KEY))).alias("first"))
+    gone = rows.join(first, "component_id").where(F.col(KEY) != F.col(f"first.{KEY}")).select(KEY)
+    return _without(keyed, gone)
 
 
 def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return _without(docs, decontam.leaks(docs, table(spark, sf_dir, "benchmark")))
+    """Rows that hold no benchmark item."""
+    keyed = _keyed(docs, "contamination-rows")
+    found = decontam.leaks(keyed, table(spark, sf_dir, "benchmark"), id_col=KEY)
+    return _without(keyed, found.select(F.col("doc_id").alias(KEY)).distinct())
 
 
 def redact_personal_data(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -90,3 +90,23 @@ def test_run_and_empty_input(spark, corpus, tmp_path):
     docs = spark.read.parquet(f"{corpus}/documents.parquet")
     for _, stage in P.STAGES[:-1]:
         assert stage(spark, docs.limit(0), corpus).columns == docs.columns
+
+
+def test_rows_are_judged_by_their_own_text(spark, tmp_path):
+    """Repeated and missing ids: no clean row goes for another's text, no near copy or benchmark passage stays."""
+    rng = random.Random(5)
+    voc = [f"w{i}" for i in range(400)]
+    text = lambda n=60: " ".join(rng.choices(voc, k=n))
+    hot = [(5, text()) for _ in range(40)]                       # one id, forty texts
+    a, b, c = text(), text(), text()
+    rows = hot + [(1, a), (5, a), (2, b), (2, b), (3, c), (None, c)]
+    schema = "doc_id bigint, text string"
+    got = sorted((r["doc_id"], r["text"]) for r in P.drop_near_duplicates(spark, spark.createDataFrame(rows, schema).repartition(4), "").collect())
+    assert got == sorted([*hot, (1, a), (2, b), (3, c)])
+
+    item = " ".join(f"q{i}" for i in range(30))
+    spark.createDataFrame([(0, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(7, text()), (7, text() + " " + item), (None, text() + " " + item), (None, "clean"), (8, text())]
+    left = P.drop_contaminated(spark, spark.createDataFrame(rows, schema).repartition(3), str(tmp_path))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=key) == sorted([rows[0], rows[3], rows[4]], key=key)

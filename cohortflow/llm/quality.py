@@ -10,14 +10,14 @@ counts (length, repeated windows) come before.
 
 Plan: pass one counts per language (words combine map-side before one shuffle;
 a hot language or source is spread over its words); pass two is a map over the
-documents with the references as one bounded broadcast table: at most
-``1 / min_language_share`` languages of at most ``1 / common_share`` words.
+documents, joined by language to the references, one row of at most
+``1 / common_share`` words a language: a broadcast while that table is small.
 Words repeated in a document are found inside the row, by sorting hashes.
 
 Defined results: a null or empty text has no words, so it fails the length
-rule; a document whose language is null or rarer than ``min_language_share``
-is held against the reference of all documents; repeated rows each keep their
-result; other columns are ignored; an empty table gives no rows.
+rule; every language has its own reference, however rare; a document whose
+language is null is held against the reference of all documents; repeated rows
+each keep their result; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ MIN_WORDS_FOR_HISTOGRAM = 100
 MAX_CLASS_DISTANCE = 0.30
 MAX_WORD_DISTANCE = 0.30
 COMMON_SHARE = 0.005
+#: Languages whose common words are looked up in one set; it decides on speed alone.
 MIN_LANGUAGE_SHARE = 0.01
 ALL = "*"
 
@@ -51,10 +52,12 @@ def histogram_words(text) -> F.Column:
 
 
 def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
-               common_share: float = COMMON_SHARE, min_language_share: float = MIN_LANGUAGE_SHARE) -> list[tuple]:
-    """Per language (and ``*`` for all): (language, shares of the character classes, common words with their shares).
+               common_share: float = COMMON_SHARE, min_language_share: float = MIN_LANGUAGE_SHARE) -> tuple[DataFrame, list[str]]:
+    """Per language (and ``*`` for all): ref, ref_chars (shares of the character classes), ref_words (common words
+    with their shares) and ref_rare (those of them that are not in the list).
 
-    At most ``1 / min_language_share`` languages of ``1 / common_share`` words.
+    The list holds the common words of the languages of at least ``min_language_share`` of all words, so at most
+    ``1 / min_language_share`` times ``1 / common_share``.
     """
     src = docs.select(F.coalesce(F.col(lang_col), F.lit(ALL)).alias("ref"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     names = [f"c_{n}" for n in CLASSES] + ["c_rest"]
@@ -71,14 +74,15 @@ def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
 
     totals = with_all(word_n.groupBy("ref").agg(F.sum("n").alias("ref_n")), [], ["ref_n"])
     all_n = totals.where(F.col("ref") == ALL).select(F.col("ref_n").alias("all_n"))    # one row
-    big = totals.join(F.broadcast(all_n), F.col("ref_n") >= F.col("all_n") * min_language_share).drop("all_n")
-    common = (with_all(word_n, ["w"], ["n"]).join(F.broadcast(big), "ref")
-              .where(F.col("n") >= F.col("ref_n") * common_share)
-              .groupBy("ref").agg(F.sort_array(F.collect_list(F.struct("w", (F.col("n") / F.col("ref_n")).alias("q")))).alias("ref_words")))
+    big = totals.join(F.broadcast(all_n), F.col("ref_n") >= F.col("all_n") * min_language_share).select("ref")
+    common = stage(with_all(word_n, ["w"], ["n"]).join(totals, "ref").where(F.col("n") >= F.col("ref_n") * common_share)
+                   .select("ref", "w", (F.col("n") / F.col("ref_n")).alias("q")), "quality-common")
+    often = sorted(r["w"] for r in common.join(F.broadcast(big), "ref").select("w").distinct().collect())     # bounded, see above
+    by_ref = common.groupBy("ref").agg(F.sort_array(F.collect_list(F.struct("w", "q"))).alias("ref_words"),
+                                       F.collect_list(F.when(~F.col("w").isin(often or [""]), F.col("w"))).alias("ref_rare"))
     shares = with_all(chars, [], ["n", *names]).select(
         "ref", F.array(*[F.col(c) / F.greatest("n", F.lit(1)) for c in names]).alias("ref_chars"))
-    rows = big.select("ref").join(shares, "ref").join(common, "ref", "left").select("ref", "ref_chars", "ref_words")
-    return sorted((r["ref"], list(r["ref_chars"]), [(x["w"], x["q"]) for x in r["ref_words"] or []]) for r in rows.collect())
+    return stage(shares.join(by_ref, "ref", "left").select("ref", "ref_chars", "ref_words", "ref_rare"), "quality-references"), often
 
 
 def _entropy_term(p: str, q: str) -> str:
@@ -92,8 +96,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
             min_words: int = MIN_WORDS, min_histogram: int = MIN_WORDS_FOR_HISTOGRAM,
             max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
     """doc_id, the counts, base_failed, kept, and the two distances."""
-    refs = references(docs, lang_col, text_col)     # bounded, see there
-    ref = docs.sparkSession.createDataFrame(refs, "ref string, ref_chars array<double>, ref_words array<struct<w:string,q:double>>")
+    ref, often = references(docs, lang_col, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     x = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col), F.lit(ALL)).alias("lang_ref"),
                     text.alias("t"))
@@ -120,18 +123,21 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         F.expr(f"transform(array({', '.join(names)}, n - {' - '.join(names)}), c -> CAST(c AS DOUBLE) / greatest(n, 1))").alias("p_chars"))
     x = x.withColumn("base_failed", F.expr(f"n_words < {min_words} OR 100 * n_repeat_words > 50 * n_words"))
 
-    every = ref.where(F.col("ref") == ALL).select(F.col("ref_chars").alias("all_chars"), F.col("ref_words").alias("all_words"))
-    x = (x.join(F.broadcast(ref), F.col("lang_ref") == F.col("ref"), "left").join(F.broadcast(every), F.lit(True), "left")
+    every = ref.where(F.col("ref") == ALL).select(F.col("ref_chars").alias("all_chars"), F.col("ref_words").alias("all_words"), F.col("ref_rare").alias("all_rare"))
+    x = (x.join(ref, F.col("lang_ref") == F.col("ref"), "left").join(F.broadcast(every), F.lit(True), "left")
          .withColumn("q_chars", F.coalesce("ref_chars", "all_chars"))
          .withColumn("q_words", F.coalesce("ref_words", "all_words", F.expr("cast(array() as array<struct<w:string,q:double>>)")))
-         .drop("ref", "ref_chars", "ref_words", "all_chars", "all_words"))
+         .withColumn("q_rare", F.coalesce("ref_rare", "all_rare", F.expr("cast(array() as array<string>)")))
+         .drop("ref", "ref_chars", "ref_words", "ref_rare", "all_chars", "all_words", "all_rare"))
     class_js = F.expr("sqrt(greatest(0D, aggregate(zip_with(p_chars, q_chars, (p, q) -> " + _entropy_term("p", "q")
                       + "), 0D, (a, v) -> a + coalesce(v, 0D))))")
     # only failing documents skip the word histogram; the rest sort their common words
     x = x.withColumn("hw", F.when(~F.col("base_failed"), histogram_words(F.col("t"))).otherwise(F.array().cast("array<string>")))
     x = x.withColumn("n_hw", F.size("hw"))
-    union = sorted({w for _, _, ws in refs for w, _ in ws}) or [""]
-    x = x.withColumn("common", F.sort_array(F.filter("hw", lambda w: w.isin(union))))
+    often = often or [""]
+    x = x.withColumn("common", F.sort_array(
+        F.when(F.size("q_rare") == 0, F.filter("hw", lambda w: w.isin(often)))
+        .otherwise(F.filter("hw", lambda w: w.isin(often) | F.array_contains("q_rare", w)))))
     starts = "filter(sequence(0, size(common)), (j, i) -> j = 0 OR j = size(common) OR common[j] <> common[j - 1])"
     x = x.withColumn("starts", F.expr(f"CASE WHEN size(common) > 0 THEN {starts} ELSE array(0) END"))
     # one bucket for every common word of the reference, one for all other words

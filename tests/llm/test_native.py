@@ -50,6 +50,23 @@ def test_quality_rejects_another_distribution(spark):
     assert max(got[i]["class_distance"] for i in range(40)) < quality.MAX_CLASS_DISTANCE
 
 
+def test_quality_keeps_rare_languages(spark):
+    english = " ".join(["the river ran down and the stones of it were cold but not", "far from her house, where a road went on"] * 9)
+    # of either rare language: texts alike in their common words, and one that is not; all under 1 % of the words
+    russian = lambda k: " ".join(f"и вода{chr(1072 + i % 30)}{chr(1072 + i // 30)}{chr(1072 + k)} не" for i in range(45))
+    japanese = " ".join(f"日本{chr(0x4e00 + i)}語 です" for i in range(60))
+    junk = " ".join(f"жук{chr(1072 + i % 30)}{chr(1072 + i // 30)}" for i in range(150))
+    rows = [(i, english + f" it{i} was.", "en") for i in range(800)]
+    rows += [(1000 + i, russian(i), "ru") for i in range(8)] + [(2000, japanese, "ja"), (2001, junk, "ru"), (2002, russian(3), None)]
+    got = {r["doc_id"]: r for r in quality.quality(spark.createDataFrame(rows, "doc_id int, text string, lang string")).collect()}
+    assert len(got) == len(rows)
+    for i in [*range(1000, 1008), 2000]:
+        assert not got[i]["base_failed"] and got[i]["kept"], got[i]
+    assert got[1000]["word_distance"] is not None and got[1000]["word_distance"] < 0.2
+    assert not got[2001]["kept"] and got[2001]["word_distance"] > quality.MAX_WORD_DISTANCE
+    assert not got[2002]["kept"]          # no language: held against all documents
+
+
 URLS = [None, "", "no scheme", "http://", "HTTP://Org/", "http://org", "http://org/", "https://A.B.org/x", "http://xorg/", "http://example.org/es/1",
         "http://m.example.org/es", "http://example.org/en/1", "http://example.org/en/17?x", "http://example.org/en/2#1", "http://q.com/fr/",
         "http://q.com/de/x", "http://q.com/de", "http://q.com:80/fr/", "http://example.org?x/es/", "http://example.org/es/", "http://example.org/es/",

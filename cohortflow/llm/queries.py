@@ -42,7 +42,7 @@ def op4_url_rules(spark, sf_dir):
 
 
 def op5_toxicity(spark, sf_dir):
-    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("segments")
 
 
 def op6_packing(spark, sf_dir):

@@ -110,15 +110,20 @@ class Model:
     coefficients: tuple[float, float, float] = (0.0, 0.0, 0.0)
     share: float = 0.0                 # of label 1, the score where nothing can be learned
 
-    def evidence(self, text: str | None, scores: Scores) -> tuple[float, float, int]:
-        """Excess of the best segment, of all significant ones together, and the number of words."""
+    def passages(self, text: str | None, scores: Scores) -> tuple[list[tuple[int, int, float]], int]:
+        """All significant segments (first word, word after the last, excess) in order, and the number of words."""
         w = (text or "").lower().split()
         if not w:
-            return 0.0, 0.0, 0
+            return [], 0
         found = segments(np.fromiter(map(scores.__getitem__, w), np.float64, len(w)))
         chance = math.log(max(self.k * len(w), 1e-9))
-        excess = [max(0.0, self.scale * s - chance) for s, _, _ in found]
-        return max(excess, default=0.0), sum(excess), len(w)
+        return [(a, b, self.scale * s - chance) for s, a, b in found if self.scale * s > chance], len(w)
+
+    def evidence(self, text: str | None, scores: Scores) -> tuple[float, float, int]:
+        """Excess of the best segment, of all significant ones together, and the number of words."""
+        found, n = self.passages(text, scores)
+        excess = [x for _, _, x in found]
+        return max(excess, default=0.0), sum(excess, 0.0), n
 
     def probability(self, best: np.ndarray, every: np.ndarray) -> np.ndarray:
         a, b, c = self.coefficients
@@ -259,20 +264,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score, best (excess of the best segment) of every row."""
+    """doc_id, score, best (excess of the best segment), segments (the significant ones) of every row.
+
+    Words of a segment are counted from 0 over the text's words between white space; ``end`` is exclusive.
+    """
     src = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("t"))
     kind = src.schema["doc_id"].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(vars(model))       # at most max_features words
+    segment = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("excess", pa.float64())]))
 
     def run(batches):
         m = Model(**sent.value)
         scores = Scores(m.weights, m.drift)
         for b in batches:
-            e = np.array([m.evidence(t.as_py(), scores)[:2] for t in b.column(1)], float).reshape(-1, 2)
+            found = [m.passages(t.as_py(), scores)[0] for t in b.column(1)]
+            e = np.array([(max((x for _, _, x in f), default=0.0), sum(x for _, _, x in f)) for f in found], float).reshape(-1, 2)
             p = m.probability(e[:, 0], e[:, 1]) if m.weights else np.full(len(e), m.share)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array(e[:, 0])], ["doc_id", "score", "best"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(p), pa.array(e[:, 0]),
+                 pa.array([[{"first": a, "end": z, "excess": x} for a, z, x in f] for f in found], segment)],
+                ["doc_id", "score", "best", "segments"])
 
-    return src.mapInArrow(run, f"doc_id {kind}, score double, best double")
+    return src.mapInArrow(run, f"doc_id {kind}, score double, best double, segments array<struct<first:int,end:int,excess:double>>")
 
 
 def keep_below(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
@@ -293,7 +306,7 @@ def keep_below(docs: DataFrame, model: Model, threshold: float, text_col: str =
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted of every row, by a model learned from the labelled ones."""
+    """doc_id, held_out, score, predicted, segments of every row, by a model learned from the labelled ones."""
     s = score(docs, fit(docs, labels, id_col, text_col), id_col, text_col)
     return s.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out"),
-                    "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+                    "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "segments")

@@ -1,5 +1,6 @@
 """Sharding, quality rules, URL rules, licence scan and personal data against plain Python."""
 
+import zlib
 from collections import Counter
 
 import brute
@@ -29,6 +30,19 @@ def test_shards_are_balanced_and_contiguous(spark):
     assert max(sizes.values()) - min(sizes.values()) <= 2 * max(r[1] for r in rows)
 
 
+def test_shards_hold_the_whole_rows(spark, docs, empty):
+    out, path = sharding.write_shards(docs, 8)
+    rows = out.collect()
+    assert Counter(tuple(r["row"]) for r in rows) == Counter(map(tuple, docs.collect()))
+    assert rows[0]["row"].__fields__ == docs.columns
+    for r in rows:
+        text = r["row"]["text"] or ""
+        assert r["doc_id"] == r["row"]["doc_id"] and r["size"] == len(text.encode()) + 1 and r["text_crc32"] == zlib.crc32(text.encode())
+    for s in {r["shard"] for r in rows}:
+        assert spark.read.parquet(f"{path}/shard={s}").count() == sum(r["shard"] == s for r in rows)
+    assert sharding.write_shards(empty, 8)[0].count() == 0
+
+
 def test_quality_base(docs, empty):
     got = Counter(tuple(r)[:7] for r in quality.quality(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect())

@@ -277,6 +277,21 @@ def test_toxicity_of_odd_texts(spark, docs, empty):
     assert kept.columns == docs.columns and kept.count() == docs.count()
 
 
+def test_passages_are_returned(spark):
+    docs, labels = toxic_corpus(spark)
+    model = toxicity.fit(docs, labels)
+    rows = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    scores, toxic = toxicity.Scores(model.weights, model.drift), 0
+    for d, t in pairs(docs):
+        words, r = t.split(), rows[d]
+        chance = np.log(max(model.k * len(words), 1e-9))
+        want = [(a, b) for v, a, b in slow_segments([scores[w] for w in words]) if model.scale * v > chance]
+        assert [(x["first"], x["end"]) for x in r["segments"]] == want
+        assert r["best"] == max((x["excess"] for x in r["segments"]), default=0.0)
+        toxic += any({"scum", "vile", "rotten"} & set(words[a:b]) for a, b in want)
+    assert toxic > 100
+
+
 # ---- main texts -------------------------------------------------------------------
 
 def lcs(a, b):

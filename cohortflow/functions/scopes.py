@@ -91,21 +91,32 @@ def flat_partner(dim_partner: DataFrame, *more: str) -> DataFrame:
     )
 
 
+# A row of orders carries the cells (scope, vertical) it counts in as fields of one
+# BIGINT, CELL_BITS bits each: flags of a row times the partner's bits put the flags
+# into every cell of the partner, and bit_or merges rows.
+CELL_BITS = 6
+
+
+def final_cells(verticals=VERTICALS) -> list[tuple[str, str]]:
+    """The (scope, reported vertical) pairs of the report; at most 8, so their fields fit a BIGINT."""
+    return [(v, label) for v in verticals
+            for label in ((SUPERMARKET_LABEL, SPECIALTY_LABEL) if v == MARKET else (v,))]
+
+
 def partner_scopes(dim_partner: DataFrame, verticals=VERTICALS) -> DataFrame:
-    """partner_id, seg_scopes array<string>, final_scopes array<struct<scope, vertical>>.
+    """partner_id, seg_scopes array<string>, final_bits (lowest bit of the field of every final cell).
 
     Partners in no scope are dropped: every report predicate rejects them, so
     the later fact join can be inner.
     """
     p = flat_partner(dim_partner)
     seg_items = ", ".join(f"CASE WHEN {segment_predicate_sql(v)} THEN {_q(v)} END" for v in verticals)
-    fin_items = []
-    for v in verticals:
-        label = f"({SQL_MARKET_SUBLABEL})" if v == MARKET else _q(v)
-        fin_items.append(f"CASE WHEN {final_predicate_sql(v)} AND {label} IS NOT NULL "
-                         f"THEN named_struct('scope', {_q(v)}, 'vertical', {label}) END")
+    bits = []
+    for i, (v, label) in enumerate(final_cells(verticals)):
+        named = f" AND ({SQL_MARKET_SUBLABEL}) = {_q(label)}" if v == MARKET else ""
+        bits.append(f"CASE WHEN {final_predicate_sql(v)}{named} THEN {1 << (CELL_BITS * i)}L ELSE 0L END")
     out = p.selectExpr(
         "partner_id",
         f"filter(array({seg_items}), x -> x IS NOT NULL) AS seg_scopes",
-        f"filter(array({', '.join(fin_items)}), x -> x IS NOT NULL) AS final_scopes")
-    return out.where("size(seg_scopes) > 0 OR size(final_scopes) > 0")
+        f"{' | '.join(bits)} AS final_bits")
+    return out.where("size(seg_scopes) > 0 OR final_bits <> 0")

@@ -9,7 +9,8 @@ replaces that month of the rollup, and labels segments from the rollup -- the
 same conditional aggregates as the full run, over rollup rows (tens of times
 fewer than orders).
 
-Layout: ``path/m=YYYY-MM-DD/v=<run>`` holds one version of a month, and
+Layout: ``path/v=<run>/m=YYYY-MM-DD`` holds one run's version of a month (a backfill
+writes all its months in one job), and
 ``path/_rollup.json`` says for which country and verticals the rollup was built
 and which version of each month is valid. The file is written last, so a month
 that becomes empty is replaced like any other, a run that breaks off changes
@@ -23,7 +24,7 @@ import datetime as dt
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.base import order_base
@@ -68,18 +69,31 @@ def _check(state: dict, params: ReportParams) -> None:
         raise RollupMismatch(f"rollup was built for {have}, not for {want}")
 
 
-def update_month(cat: Catalog, params: ReportParams, month: dt.date, path: str) -> None:
-    """Recompute one month of the rollup and make the new version the valid one."""
-    m = month.replace(day=1)
+def update_months(cat: Catalog, params: ReportParams, months: list[dt.date], path: str) -> None:
+    """Recompute months of the rollup in one job and make their new versions valid at once.
+
+    The job covers the orders from the first to the last of them (a backfill names all
+    months) and writes one folder a month; the state file then names the new folder of
+    every month, or none for a month without orders.
+    """
+    months = sorted({m.replace(day=1) for m in months})
     state = _state(cat.spark, path) or {**_built_for(params), "months": {}}
     if _built_for(params) != {k: state[k] for k in _built_for(params)}:
         raise RollupMismatch(f"rollup was built for {state}, not for {_built_for(params)}")
-    version = f"m={m.isoformat()}/v={uuid.uuid4().hex}"
-    monthly_rollup(cat, params, m, month_end(m)).drop("m").write.parquet(f"{path}/{version}")
-    state["months"][m.isoformat()] = version
+    version, seen = f"v={uuid.uuid4().hex}", Observation()
+    rows = monthly_rollup(cat, params, months[0], month_end(months[-1])).where(F.col("m").isin(months))
+    (rows.observe(seen, F.collect_set("m").alias("found")).write.partitionBy("m").parquet(f"{path}/{version}"))
+    found = set(seen.get["found"])
+    for m in months:
+        state["months"][m.isoformat()] = f"{version}/m={m.isoformat()}" if m in found else None
     HadoopFS(cat.spark).write(f"{path}/{STATE}", json.dumps(state))
 
 
+def update_month(cat: Catalog, params: ReportParams, month: dt.date, path: str) -> None:
+    """Recompute one month of the rollup and make the new version the valid one."""
+    update_months(cat, params, [month], path)
+
+
 def read_rollup(spark: SparkSession, path: str, params: ReportParams) -> DataFrame:
     """The rollup months the report needs; refuses a rollup that cannot answer for ``params``."""
     state = _state(spark, path)
@@ -90,8 +104,11 @@ def read_rollup(spark: SparkSession, path: str, params: ReportParams) -> DataFra
     missing = [m for m in needed if m not in state["months"]]
     if missing:
         raise RollupMismatch(f"rollup lacks {missing}")
-    r = spark.read.schema(ROLLUP_SCHEMA + ", m DATE").option("basePath", path).parquet(
-        *[f"{path}/{state['months'][m]}" for m in needed])
+    folders = [f"{path}/{state['months'][m]}" for m in needed if state["months"][m]]
+    schema = ROLLUP_SCHEMA + ", m DATE"
+    if not folders:
+        return spark.createDataFrame([], schema)
+    r = spark.read.schema(schema).option("basePath", path).parquet(*folders)
     return r.where(F.col("scope").isin(*params.verticals)).select("scope", "user_id", "conf", "ld", "first", "m")
 
 

@@ -8,8 +8,9 @@ SQL's ``NOT IN`` differs from ``left_anti`` when NULLs appear:
 Spark plans a literal ``NOT IN`` as a null-aware anti join whose build side
 is always broadcast -- unsafe when the subquery is a large history. This
 operator uses a shuffle ``left_anti`` join on the non-NULL keys plus a guard
-per group (non-empty? contains NULL?). The guard has one row per group; the
-planner broadcasts it only when its measured size is small.
+per group (non-empty? contains NULL?). The guard has one row per group and salt;
+the planner broadcasts it only when its measured size is small, and a join by
+group and salt spreads a hot group over all tasks.
 """
 
 from __future__ import annotations
@@ -32,9 +33,12 @@ def not_in(left: DataFrame, right: DataFrame, key: str, by: Sequence[str] = (),
     # distinct (combined map-side) so a hot key on the subquery side cannot skew the join
     present = r.where(F.col("__k").isNotNull()).select(*by, F.col("__k").alias(key)).distinct()
     kept = left.join(present, by + [key], "left_anti")
-    guard = r.groupBy(*by).agg(F.bool_or(F.col("__k").isNull()).alias("__has_null"),
-                               F.lit(True).alias("__nonempty"))
-    j = kept.join(guard, by, "left")
+    # the guard is copied to every salt, the rows are dealt by group and salt: where the guard is too
+    # large to be broadcast, no group's rows meet in one task (the copies are groups times shuffle partitions)
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    guard = r.groupBy(*by).agg(F.bool_or(F.col("__k").isNull()).alias("__has_null"), F.lit(True).alias("__nonempty")) \
+        .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    j = kept.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).join(guard, by + ["__salt"], "left")
     empty = F.col("__nonempty").isNull()
     keep = empty | (~F.col("__has_null") & F.col(key).isNotNull())
-    return j.where(keep).drop("__has_null", "__nonempty")
+    return j.where(keep).drop("__has_null", "__nonempty", "__salt")

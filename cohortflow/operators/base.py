@@ -1,7 +1,8 @@
 """Order base: the fact, flattened, filtered, and tagged with its scopes.
 
 One scan of ``fact_orders`` restricted to the country and a date range (both
-pushed to the Parquet reader), joined to the partner scopes. The partner
+pushed to the Parquet reader; a fact partitioned by month is pruned to the
+months of the range), joined to the partner scopes. The partner
 dimension is joined inner: every scope predicate rejects orders without a
 partner, and the planner broadcasts the dimension only when its measured size
 is below the configured threshold (sort-merge join otherwise).
@@ -20,6 +21,9 @@ from ..params import CONFIRMED, ReportParams
 from ..sources.catalog import Catalog
 
 
+MONTH_PARTITION = "registered_month"
+
+
 def flat_orders(fact_orders: DataFrame) -> DataFrame:
     """Nested fact -> flat columns (nested-schema pruning reads only these leaves)."""
     return fact_orders.selectExpr(
@@ -42,7 +46,11 @@ def order_base(cat: Catalog, params: ReportParams, start: dt.date | None,
     ok = f"coalesce(order_status = '{CONFIRMED}', false)"
     # status and first-purchase flag become booleans first: every column that
     # is shuffled later is then fixed-width
-    fo = (flat_orders(cat["fact_orders"]).where(cond)
+    fact = cat["fact_orders"]
+    if start is not None and MONTH_PARTITION in fact.columns:
+        # the folders of the months outside the range are not even listed
+        fact = fact.where(F.col(MONTH_PARTITION).between(date_lit(start.replace(day=1)), date_lit(end.replace(day=1))))
+    fo = (flat_orders(fact).where(cond)
           .selectExpr("order_id", "user_id", "partner_id", "d", f"{ok} AS ok",
                       f"{ok} AND coalesce(first_successful, false) AS first",
                       "has_voucher_discount", "shipping_amount_no_discount", "with_logistics",

@@ -40,14 +40,20 @@ def unnest_details(cat: Catalog) -> DataFrame:
             "CAST(NULL AS DOUBLE) AS amount)")
     extra = "struct(CAST(NULL AS BIGINT) AS product_id, CAST(NULL AS BOOLEAN) AS is_subsidized, x.amount AS amount)"
     none = "struct(CAST(NULL AS BIGINT) AS product_id, CAST(NULL AS BOOLEAN) AS is_subsidized, CAST(NULL AS DOUBLE) AS amount)"
-    rows = (f"concat(CASE WHEN coalesce(size(details), 0) > 0 THEN transform(details, d -> {item}) ELSE array({none}) END, "
-            f"transform(coalesce(discounts, array()), x -> {extra}))")
-    return fact_with_items(cat).selectExpr("order_id", f"inline({rows})")
+    rows = "concat({}, transform(coalesce(discounts, array()), x -> " + extra + "))"
+    first = rows.format(f"CASE WHEN coalesce(size(details), 0) > 0 THEN transform(details, d -> {item}) ELSE array({none}) END")
+    out = fact_with_items(cat).selectExpr("order_id", f"inline({first})")
+    more = cat.optional("order_items_more")      # further chunks of very large orders
+    if more is None:
+        return out
+    return out.union(more.selectExpr("order_id", f"inline({rows.format(f'transform(details, d -> {item})')})"))
 
 
 def details(cat: Catalog) -> DataFrame:
-    f = fact_with_items(cat)
-    x = f.select("order_id", F.explode_outer("details").alias("d"))
+    x = fact_with_items(cat).select("order_id", F.explode_outer("details").alias("d"))
+    more = cat.optional("order_items_more")
+    if more is not None:
+        x = x.union(more.select("order_id", F.explode("details")))
     return x.select("order_id", F.col("d.product.product_id").alias("product_id"),
                     F.col("d.is_subsidized").alias("is_subsidized"))
 

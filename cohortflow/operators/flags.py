@@ -9,9 +9,10 @@ fan-out. Here each side table is reduced to at most one row per order:
 * wallet movements -> ``coop`` (campaign name contains COOP)
 * order log -> log items -> campaign with a name -> ``bank``
 
-The three streams are unioned and reduced with one ``groupBy(order_id)``
-(partial aggregation map-side, one shuffle for all side tables), then joined
-once to the orders. Text matches are case-sensitive, as in the original.
+The three streams are unioned and reduced by order id (partial aggregation
+map-side, one shuffle for all side tables). The report reduces them together
+with its order rows (``report.order_level``), so there they need no join at all.
+Text matches are case-sensitive, as in the original.
 """
 
 from __future__ import annotations
@@ -43,20 +44,12 @@ def coupons_after_cutoff(cat: Catalog, params: ReportParams) -> DataFrame:
     return c.join(cat["dim_talon_campaigns"], "talon_campaign_id", "left")
 
 
-def bank_campaign_orders(cat: Catalog, distinct: bool = True, item_key: str = "id",
-                         orders: DataFrame | None = None) -> DataFrame:
+def bank_campaign_orders(cat: Catalog, distinct: bool = True, item_key: str = "id") -> DataFrame:
     """Order ids reached by order_log -> campaign_log_items -> named campaign
-    (distinct unless the caller reduces by order id itself).
-
-    ``orders`` (a column order_id) restricts the log before its items are read.
-    """
+    (distinct unless the caller reduces by order id itself)."""
     log = cat["order_log"].where(F.col("order_id").isNotNull())
-    if orders is not None:
-        log = log.join(orders, "order_id", "left_semi")
     named = cat["campaign"].where(F.col("name").isNotNull()).select(F.col("id").alias("campaign_id"))
     items = cat["campaign_log_items"].select("order_log_id", F.col(item_key).alias("campaign_id"))
-    if orders is not None:
-        items = items.join(log.select(F.col("id").alias("order_log_id")), "order_log_id", "left_semi")
     # one row per log id (map-side distinct): a log with a third of all items
     # cannot skew the semi join below
     items = items.join(named, "campaign_id", "left_semi").select("order_log_id").distinct()
@@ -64,48 +57,50 @@ def bank_campaign_orders(cat: Catalog, distinct: bool = True, item_key: str = "i
     return out.distinct() if distinct else out
 
 
-def order_incentives(cat: Catalog, params: ReportParams, orders: DataFrame | None = None) -> DataFrame:
-    """order_id -> crm, coop, bank (booleans; orders absent here have none).
+# Incentives of an order that come from side tables, as bits.
+CRM, CORPORATE, BANK = 1, 2, 4
+
 
-    With ``orders`` (distinct order ids of the reported rows) each side table
-    is first reduced to them, so what is shuffled follows the number of
-    reported orders and not the history of the side tables.
+def incentive_rows(cat: Catalog, params: ReportParams) -> DataFrame:
+    """order_id, inc: side-table rows that name an incentive (CRM, CORPORATE, BANK bits), not reduced.
+
+    Whoever reduces them by order id shuffles each once; a restriction to the
+    reported orders by a join would shuffle them for that join as well.
     """
-    coupons = coupons_after_cutoff(cat, params).selectExpr(
-        "order_id", f"{crm_sql('talon_campaign_name')} AS crm",
-        f"{coop_sql('talon_campaign_name')} AS coop", "false AS bank")
-    wallet = cat["fact_wallet"].selectExpr(
-        "order_id", "false AS crm", f"{coop_sql('campaign_name')} AS coop", "false AS bank")
+    def bits(name: str) -> str:
+        return f"CASE WHEN {crm_sql(name)} THEN {CRM} ELSE 0 END | CASE WHEN {coop_sql(name)} THEN {CORPORATE} ELSE 0 END AS inc"
+
+    coupons = coupons_after_cutoff(cat, params).selectExpr("order_id", bits("talon_campaign_name"))
+    wallet = cat["fact_wallet"].selectExpr("order_id", f"CASE WHEN {coop_sql('campaign_name')} THEN {CORPORATE} ELSE 0 END AS inc")
     # rows that name no incentive say nothing about their order
-    named = coupons.union(wallet).where("order_id IS NOT NULL AND (crm OR coop)")
-    if orders is not None:
-        named = named.join(orders, "order_id", "left_semi")
-    # no distinct here: the union below is reduced by order_id anyway
-    bank = bank_campaign_orders(cat, distinct=False, item_key=params.campaign_item_key, orders=orders).selectExpr(
-        "order_id", "false AS crm", "false AS coop", "true AS bank")
-    return (named.union(bank)
-            .groupBy("order_id")
-            .agg(F.expr("bool_or(crm) AS crm"), F.expr("bool_or(coop) AS coop"),
-                 F.expr("bool_or(bank) AS bank")))
-
-
-def order_metric_flags(orders: DataFrame, incentives: DataFrame, strict_confirmed: bool = False,
-                       on: str | list[str] = "order_id") -> DataFrame:
+    named = coupons.union(wallet).where("order_id IS NOT NULL AND inc <> 0")
+    bank = bank_campaign_orders(cat, distinct=False, item_key=params.campaign_item_key)
+    return named.union(bank.selectExpr("order_id", f"{BANK} AS inc"))
+
+
+def order_incentives(cat: Catalog, params: ReportParams) -> DataFrame:
+    """order_id -> crm, coop, bank (booleans; orders absent here have none)."""
+    return (incentive_rows(cat, params).groupBy("order_id").agg(F.expr("bit_or(inc) AS inc"))
+            .selectExpr("order_id", f"inc & {CRM} <> 0 AS crm", f"inc & {CORPORATE} <> 0 AS coop", f"inc & {BANK} <> 0 AS bank"))
+
+
+# Incentives that the order row itself names.
+ROW_TERMS = {
+    "vou": "coalesce(has_voucher_discount > 0, false)",
+    "df0": "coalesce(shipping_amount_no_discount = 0 AND with_logistics = true, false)",
+    "plus": "coalesce(is_user_plus = 1, false)",
+}
+
+
+def order_metric_flags(orders: DataFrame, incentives: DataFrame, strict_confirmed: bool = False) -> DataFrame:
     """Adds the per-order metric booleans to ``orders`` (flat order rows).
 
     ``inc`` keeps the original precedence ``ok AND voucher OR crm OR df0 OR
     corporate OR bank OR plus``: only the voucher term requires a CONFIRMED
     order. ``strict_confirmed`` requires it for every term.
     """
-    j = orders.join(incentives, on, "left")
-    t = {
-        "vou": "coalesce(has_voucher_discount > 0, false)",
-        "crm": "coalesce(crm, false)",
-        "df0": "coalesce(shipping_amount_no_discount = 0 AND with_logistics = true, false)",
-        "coop": "coalesce(coop, false)",
-        "bank": "coalesce(bank, false)",
-        "plus": "coalesce(is_user_plus = 1, false)",
-    }
+    j = orders.join(incentives, "order_id", "left")
+    t = ROW_TERMS | {c: f"coalesce({c}, false)" for c in ("crm", "coop", "bank")}
     if strict_confirmed:
         inc = f"ok AND ({' OR '.join(t.values())})"
     else:  # AND binds tighter than OR: only the voucher term needs a CONFIRMED order

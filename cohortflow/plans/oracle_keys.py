@@ -29,6 +29,10 @@ REPEATED_ORDERS = """
   UNION ALL
   SELECT * REPLACE (CAST(NULL AS BIGINT) AS order_id) FROM driver_orders WHERE order_id % 11 = 0"""
 
+#: A placeholder id on a third of all rows.
+HOT_ORDER = """
+  SELECT * REPLACE (CASE WHEN order_id % 3 = 0 THEN CAST(13 AS BIGINT) ELSE order_id END AS order_id) FROM driver_orders"""
+
 #: Partners listed twice, every sixth one with another category.
 REPEATED_PARTNERS = """
   SELECT * FROM driver_partners
@@ -66,6 +70,8 @@ def build_oracle() -> dict[str, str]:
             "SELECT order_id, strftime(registered_date, '%Y-%m') AS Month FROM fact_orders"),
         "report_incremental": report_sql(P),
         "report_repeated_orders": report_sql(P, fact=REPEATED_ORDERS),
+        "report_hot_order": report_sql(P, fact=HOT_ORDER),
+        "sink_months": report_sql(P),
         "join_partner_repeated": report_sql(P, partner=REPEATED_PARTNERS),
         "seg_null_users": segment_sql("labels", "user_id, user_type", fact=NULL_USERS),
         "report_null_users": report_sql(P, fact=NULL_USERS),

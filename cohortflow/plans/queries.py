@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.periods import month_label, month_start, report_months_df, with_month_windows
 from ..functions.scopes import flat_partner, market_sublabel, partner_scopes, segment_predicate
-from ..incremental.monthly_state import months_to_refresh, report_from_rollup, update_month
+from ..incremental.monthly_state import months_to_refresh, report_from_rollup, update_month, update_months
 from ..operators import enrich
 from ..operators.anti import not_in
 from ..operators.base import flat_orders, order_base
@@ -28,7 +28,7 @@ from ..operators.segments import ACQUISITION, NEW_USERS, REACTIVATED, segments
 from ..params import CONFIRMED, DRIVER_PARAMS, VERTICALS, ReportParams, add_months
 from ..session import shared_path
 from ..sources.catalog import Catalog
-from ..sources.sinks import roundtrip_csv
+from ..sources.sinks import append_months, roundtrip_csv
 from ..sources.staging import staged_catalog
 
 P: ReportParams = DRIVER_PARAMS
@@ -63,11 +63,12 @@ def q_union_reports(spark, sf_dir):
 
 
 def q_report_incremental(spark, sf_dir):
-    """The report from a monthly rollup that is built here, month by month."""
+    """The report from a monthly rollup: a backfill of the history in one job, then the newest month on its own."""
     cat = _cat(spark, sf_dir)
     path = shared_path(spark, "cohortflow-rollup", uuid.uuid4().hex)
-    for m in months_to_refresh(P):
-        update_month(cat, P, m, path)
+    *history, newest = months_to_refresh(P)
+    update_months(cat, P, history, path)
+    update_month(cat, P, newest, path)
     return report_from_rollup(cat, spark, P, path)
 
 
@@ -107,6 +108,15 @@ def q_report_repeated_orders(spark, sf_dir):
     return report(_variant(spark, sf_dir, "fact_orders", repeated_orders), P)
 
 
+def hot_order(f: DataFrame) -> DataFrame:
+    """A placeholder id on a third of all rows."""
+    return f.withColumn("order_id", F.when(F.col("order_id") % 3 == 0, F.lit(13)).otherwise(F.col("order_id")).cast("bigint"))
+
+
+def q_report_hot_order(spark, sf_dir):
+    return report(_variant(spark, sf_dir, "fact_orders", hot_order), P)
+
+
 def q_join_partner_repeated(spark, sf_dir):
     return report(_variant(spark, sf_dir, "dim_partner", repeated_partners), P)
 
@@ -127,6 +137,13 @@ def q_sink_roundtrip(spark, sf_dir):
     return roundtrip_csv(spark, report(_cat(spark, sf_dir), P), "report_all")
 
 
+def q_sink_months(spark, sf_dir):
+    """Months written into one folder run by run: the older ones, the newest, and one older month again."""
+    rep = report(_cat(spark, sf_dir), P)
+    newest, older = (m.strftime("%Y-%m") for m in (P.report_months()[0], P.report_months()[2]))
+    return append_months(spark, [rep.where(F.col("Month") != newest), rep.where(F.col("Month") == newest), rep.where(F.col("Month") == older)])
+
+
 # ---- segments --------------------------------------------------------------
 
 def _segments(cat: Catalog) -> DataFrame:
@@ -327,6 +344,8 @@ def build_queries() -> dict[str, Query]:
         "seg_null_users": q_seg_null_users,
         "anti_null_users": q_anti_null_users,
         "sink_roundtrip": q_sink_roundtrip,
+        "sink_months": q_sink_months,
+        "report_hot_order": q_report_hot_order,
         "seg_labels": q_seg_labels,
         "seg_new_users": q_seg_new_users,
         "seg_acquisitions": q_seg_acquisitions,

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the report relies on. Adaptive execution re-plans joins from
 # runtime sizes (broadcast only when the measured side is small), coalesces
@@ -103,3 +104,24 @@ _LOCAL_FALLBACK: str | None = None
 def shared_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared checkpoint folder (for sinks and cut lineage)."""
     return os.path.join(ensure_checkpoint_dir(spark), *parts)
+
+
+def work_path(spark: SparkSession) -> str:
+    """Folder of this application's intermediate tables under the shared one."""
+    return shared_path(spark, "cohortflow-work", spark.sparkContext.applicationId)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as an intermediate table of this application and read it back.
+
+    Cuts the lineage at a table every executor can read again. ``release`` removes it.
+    """
+    path = os.path.join(work_path(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> bool:
+    """Remove the intermediate tables of this application; call it when all results have been read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_path(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

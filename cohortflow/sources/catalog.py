@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from .schemas import LOGICAL_SCHEMAS
@@ -35,6 +36,13 @@ class Catalog:
 
     __getitem__ = table
 
+    def optional(self, name: str) -> DataFrame | None:
+        """The table, or None where the source has none."""
+        try:
+            return self.table(name)
+        except (KeyError, AnalysisException):
+            return None
+
     def memo(self, key, build: Callable[[], DataFrame]) -> DataFrame:
         """A DataFrame derived from the catalog, built once per catalog (plans only, no data)."""
         if key not in self._frames:
@@ -50,7 +58,11 @@ class Catalog:
 
 
 class ParquetCatalog(Catalog):
-    """``{root}/{logical_name}`` Parquet datasets read with explicit schemas."""
+    """``{root}/{logical_name}`` Parquet datasets read with explicit schemas.
+
+    A fact that is partitioned by ``registered_month`` (first day of the month)
+    has that column too, and date ranges then also prune its folders.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.root = root

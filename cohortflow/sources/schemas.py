@@ -59,6 +59,9 @@ PRODUCT = _s(("id", L))
 DIM_SUBSIDIZED_PRODUCT = _s(("product_id", L), ("subsidized_product_campaing_id", L))
 DIM_SUBSIDIZED_CAMPAIGN = _s(("subsidized_campaign_id", L))
 
+# Items beyond the first chunk of very large orders (optional: a source that keeps all in the fact has no such table).
+ORDER_ITEMS_MORE = _s(("order_id", L), ("chunk", I), ("details", T.ArrayType(DETAIL, True)), ("discounts", T.ArrayType(DISCOUNT, True)))
+
 LOGICAL_SCHEMAS = {
     "fact_orders": FACT_ORDERS,
     "dim_partner": DIM_PARTNER,
@@ -76,6 +79,7 @@ LOGICAL_SCHEMAS = {
     "product": PRODUCT,
     "dim_subsidized_product": DIM_SUBSIDIZED_PRODUCT,
     "dim_subsidized_campaign": DIM_SUBSIDIZED_CAMPAIGN,
+    "order_items_more": ORDER_ITEMS_MORE,
 }
 
 # Report column names and order, as in the original output.
@@ -84,6 +88,7 @@ METRIC_COLUMNS = (
     "q_user_plus", "q_user_totales", "q_orders_totales", "q_users_incentive",
     "q_orders_incentive",
 )
+REPORT_KEYS = ("Month", "vertical", "user_type")
 REPORT = T.StructType(
     [T.StructField("Month", S, True), T.StructField("vertical", S, True),
      T.StructField("user_type", S, True)]

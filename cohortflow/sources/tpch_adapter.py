@@ -46,6 +46,9 @@ def _confirmed(status: Column) -> Column:
     return status.isin("F", "P")
 
 
+#: Line items that one row holds in its arrays at most.
+ITEM_CHUNK = 4096
+
 # Schemas of the driver tables the adapter reads (declared, not inferred: no
 # footer reads at planning time). The files hold time-zone-naive timestamps:
 # reading them as TIMESTAMP_NTZ keeps dates independent of the session zone.
@@ -64,7 +67,7 @@ DRIVER_SCHEMAS = {
 }
 
 
-def driver_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
+def driver_catalog(spark: SparkSession, sf_dir: str, chunk: int = ITEM_CHUNK) -> Catalog:
     raw: dict[str, DataFrame] = {}
 
     def read(name: str) -> DataFrame:
@@ -105,10 +108,19 @@ def driver_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
             .alias("is_user_plus"),
         )
 
-    def order_items() -> DataFrame:
-        """(order_id, details, discounts) -- the nested arrays of the fact."""
-        li = read("lineitem")
-        return li.groupBy(F.col("l_orderkey").alias("order_id")).agg(
+    def chunked_items(more: bool) -> DataFrame:
+        """(order_id, chunk, details, discounts): the first chunk of every order, or the others of very large ones.
+
+        Only orders of more than ``chunk`` items are dealt into several rows, by a hash of the row's
+        number in the scan and into twice the chunks needed, so that a chunk stays below its bound;
+        they are found by a count that combines map-side.
+        """
+        li = read("lineitem").withColumn("row", F.monotonically_increasing_id())
+        large = (read("lineitem").groupBy(F.col("l_orderkey").alias("large_id")).agg(F.count("*").alias("items"))
+                 .where(F.col("items") > chunk).select("large_id", F.expr(f"CAST(ceil(2 * items / {chunk}) AS INT)").alias("chunks")))
+        x = li.join(large, li.l_orderkey == large.large_id, "inner" if more else "left") \
+            .withColumn("chunk", F.expr("coalesce(CAST(pmod(xxhash64(row), chunks) AS INT), 0)")).where("chunk > 0" if more else "chunk = 0")
+        return x.groupBy(F.col("l_orderkey").alias("order_id"), "chunk").agg(
             F.collect_list(F.struct(
                 F.struct(F.col("l_partkey").alias("product_id")).alias("product"),
                 (F.col("l_discount") >= 0.09).alias("is_subsidized"))).alias("details"),
@@ -118,8 +130,8 @@ def driver_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
         )
 
     def fact_orders_nested() -> DataFrame:
-        """fact_orders with its ``details``/``discounts`` arrays (empty when no items)."""
-        items = order_items()
+        """fact_orders with its ``details``/``discounts`` arrays (empty when no items; the first chunk of very many)."""
+        items = chunked_items(False).drop("chunk")
         f = fact_orders().join(items, "order_id", "left")
         empty_d = F.array().cast(T.ArrayType(items.schema["details"].dataType.elementType))
         empty_x = F.array().cast(T.ArrayType(items.schema["discounts"].dataType.elementType))
@@ -195,6 +207,7 @@ def driver_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     return Catalog(spark, {
         "fact_orders": fact_orders,
         "fact_orders_nested": fact_orders_nested,
+        "order_items_more": lambda: chunked_items(True),
         "dim_partner": dim_partner,
         "fact_wallet": fact_wallet,
         "fact_talon_coupons": fact_talon_coupons,

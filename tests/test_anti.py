@@ -64,3 +64,22 @@ def test_not_in_property(spark, left, right, group_right):
         vals = [k for gg, k in rrows if gg == g]
         want += [(g, k) for gg, k in lrows if gg == g and sql_not_in(k, vals)]
     assert [tuple(r) for r in got] == sorted(want, key=lambda r: (r[0], str(r[1])))
+
+
+def test_guard_is_salted_where_it_is_not_broadcast(spark):
+    """With broadcasts off the rows are dealt by group and salt, never by the few groups; same result."""
+    left = spark.range(3000).selectExpr("id % 2 AS g", "CASE WHEN id % 10 = 0 THEN NULL ELSE id END AS k")
+    right = spark.createDataFrame([(0, 5), (0, 1002), (1, None), (1, 7)], "g long, k long")
+    want = sorted(map(tuple, not_in(left, right, "k", by=["g"]).collect()))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        df = not_in(left, right, "k", by=["g"])
+        text = df._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(tuple, df.collect()))
+    finally:
+        spark.conf.set(key, old)
+    assert got == want and {g for g, _ in got} == {0} and len(got) == 1500 - 300 - 1
+    joins = [ln for ln in text.splitlines() if "SortMergeJoin" in ln and "LeftOuter" in ln]
+    assert joins and all("__salt" in ln for ln in joins)

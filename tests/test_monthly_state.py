@@ -1,6 +1,7 @@
 """The incremental monthly rollup gives the same segments as the full run."""
 
 import os
+import uuid
 
 import pytest
 
@@ -9,7 +10,7 @@ from cohortflow.operators.segments import segments
 from cohortflow.params import DRIVER_PARAMS as P
 from cohortflow.operators.report import report
 from cohortflow.incremental.monthly_state import (RollupMismatch, months_to_refresh, read_rollup, report_from_rollup,
-                                                  segments_from_rollup, update_month)
+                                                  segments_from_rollup, update_month, update_months)
 from cohortflow.sources.catalog import frames_catalog
 
 from micro import PARAMS as MP, poison, tables
@@ -83,3 +84,38 @@ def test_a_month_that_becomes_empty_is_replaced(spark, tmp_path):
     update_month(cat, MP, dt.date(2022, 12, 1), path)
     full = segments(order_base(cat, MP, MP.range_start, MP.range_end), MP)
     assert rows(segments_from_rollup(read_rollup(spark, path, MP), MP)) == rows(full)
+
+
+def jobs(spark, work):
+    """The number of Spark jobs that ``work`` runs."""
+    group = f"jobs-{uuid.uuid4().hex}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        work()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_backfill_is_one_job_whatever_the_months(spark, tmp_path):
+    """A backfill equals month-by-month updates, and its number of jobs does not grow with the months."""
+    cat = frames_catalog(spark, tables())
+    months = months_to_refresh(MP)
+    one, two, few = (str(tmp_path / n) for n in ("one", "two", "few"))
+    all_jobs = jobs(spark, lambda: update_months(cat, MP, months, one))
+    few_jobs = jobs(spark, lambda: update_months(cat, MP, months[:2], few))
+    assert all_jobs <= few_jobs + 1 < len(months)        # one more: the partner table of the first run
+    for m in months:
+        update_month(cat, MP, m, two)
+    full = segments(order_base(cat, MP, MP.range_start, MP.range_end), MP)
+    for path in (one, two):
+        assert rows(segments_from_rollup(read_rollup(spark, path, MP), MP)) == rows(full)
+    with pytest.raises(RollupMismatch):
+        read_rollup(spark, few, MP)
+
+
+def test_rollup_without_any_order(spark, tmp_path):
+    cat, path = frames_catalog(spark, {}), str(tmp_path / "rollup")
+    update_months(cat, MP, months_to_refresh(MP), path)
+    assert read_rollup(spark, path, MP).count() == 0
+    assert report_from_rollup(cat, spark, MP, path).count() == 0

@@ -82,31 +82,73 @@ def test_fact_scan_pushdown_and_pruning(spark, parquet_catalog):
         assert "details" not in schema and "discounts" not in schema
 
 
-def test_counted_orders_scan_reads_only_reported_months(spark, parquet_catalog):
-    """The history scan starts at history_start; the scan of the counted
-    orders starts at the earliest reported month (pushed to the reader)."""
-    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
-    text = plan_text(report(parquet_catalog, PARAMS))
-    starts = set(re.findall(r"GreaterThanOrEqual\(registered_date,(\d{4}-\d{2}-\d{2})\)", text))
-    assert str(PARAMS.history_start) in starts
-    assert str(PARAMS.report_months()[-1]) in starts
+def marked(cat, params):
+    from cohortflow.operators.base import order_base
+    from cohortflow.operators.report import marked_orders, order_rows
+    months = params.report_months()
+    return marked_orders(order_rows(order_base(cat, params, months[-1], params.range_end)), cat, params)
 
 
-def test_counted_orders_are_shuffled_by_order_id_once(spark, parquet_catalog):
-    """With broadcasts off, the counted order rows meet one exchange by order id for the
-    incentive join, the mark of shared ids and the per-order reduction."""
-    from cohortflow.operators.report import report_orders
+def without_broadcasts(spark, build):
     key = "spark.sql.autoBroadcastJoinThreshold"
     old = spark.conf.get(key)
     spark.conf.set(key, "-1")
     try:
-        text = plan_text(report_orders(parquet_catalog, PARAMS))
+        return plan_text(build())
     finally:
         spark.conf.set(key, old)
+
+
+def test_counted_orders_scan_reads_only_reported_months(spark, parquet_catalog):
+    """The history scan starts at history_start; the scan of the counted
+    orders starts at the earliest reported month (pushed to the reader)."""
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    starts = lambda text: set(re.findall(r"GreaterThanOrEqual\(registered_date,(\d{4}-\d{2}-\d{2})\)", text))
+    assert starts(plan_text(report(parquet_catalog, PARAMS))) == {str(PARAMS.history_start)}
+    assert starts(plan_text(marked(parquet_catalog, PARAMS))) == {str(PARAMS.report_months()[-1])}
+
+
+def test_order_level_has_no_window_and_no_exchange_of_raw_rows(spark, parquet_catalog):
+    """With broadcasts off: one scan of the reported orders; what is dealt by order id is partial
+    aggregates; orders and incentives meet in the aggregate, not in a join."""
+    text = without_broadcasts(spark, lambda: marked(parquet_catalog, PARAMS))
+    assert "Window" not in text and "Expand" not in text
     lines = text.splitlines()
-    window = next(i for i, ln in enumerate(lines) if "Window" in ln and "order_id" in ln)
-    above = "\n".join(lines[:window])
-    assert "hashpartitioning(order_id" not in above
-    join = next(i for i, ln in enumerate(lines) if i > window and "SortMergeJoin" in ln and "order_id" in ln)
-    between = "\n".join(lines[window:join])
-    assert "Exchange" not in between
+    assert sum("FileScan" in ln and "fact_orders" in ln for ln in lines) == 1
+    by_order = [i for i, ln in enumerate(lines) if "Exchange hashpartitioning(order_id" in ln]
+    assert len(by_order) == 1
+    assert "HashAggregate" in lines[by_order[0] + 1] and "partial_bit_or" in lines[by_order[0] + 1]
+    assert "Window" not in without_broadcasts(spark, lambda: report(parquet_catalog, PARAMS))
+
+
+def test_hot_order_id_is_one_row_a_task(spark):
+    """20,000 rows of one id and of none become one row each; their side rows meet them without a join."""
+    from cohortflow.operators.report import order_level, summarize, user_level
+    cat = frames_catalog(spark, tables())
+    base = spark.range(20_000).selectExpr(
+        "CASE WHEN id % 2 = 0 THEN 1L END AS order_id", "7L AS user_id", "DATE'2023-03-05' AS d", "DATE'2023-03-01' AS m", "true AS ok",
+        "1 AS has_voucher_discount", "5.0D AS shipping_amount_no_discount", "false AS with_logistics", "0 AS is_user_plus", "1L AS final_bits")
+    m = order_level(base, cat, PARAMS.with_(verticals=("QC",)))
+    assert m.count() == 2 and m.where("orders").count() == 1
+    out = summarize(user_level(m, PARAMS.with_(verticals=("QC",))), by=("m", "vertical")).collect()
+    assert [(r["q_user_totales"], r["q_orders_totales"], r["Vouchers_CRM"]) for r in out] == [(1, 1, 1)]
+
+
+def test_month_partitions_are_pruned(spark, tmp_path):
+    """A fact in folders by month: only the folders of the range are read."""
+    from cohortflow.operators.base import MONTH_PARTITION, order_base
+    from pyspark.sql import functions as F
+    mem, root = frames_catalog(spark, tables()), str(tmp_path)
+    for name in LOGICAL_SCHEMAS:
+        out = mem[name]
+        if name == "fact_orders":
+            out.withColumn(MONTH_PARTITION, F.trunc("registered_date", "month")).write.partitionBy(MONTH_PARTITION).parquet(f"{root}/{name}")
+        else:
+            out.write.parquet(f"{root}/{name}")
+    cat = ParquetCatalog(spark, root)
+    assert sorted(map(tuple, report(cat, PARAMS).collect())) == sorted(map(tuple, report(mem, PARAMS).collect()))
+    months = PARAMS.report_months()
+    base = order_base(cat, PARAMS, months[-1], PARAMS.range_end)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    scan = next(ln for ln in plan_text(base).splitlines() if "FileScan" in ln and "fact_orders" in ln)
+    assert MONTH_PARTITION in re.search(r"PartitionFilters: \[(.*?)\]", scan).group(1)

@@ -24,7 +24,7 @@ def test_breaking_off_leaves_no_stage(spark, monkeypatch):
     monkeypatch.setattr(staging, "ADAPTER_VERSION", staging.ADAPTER_VERSION + "-" + uuid.uuid4().hex)
     whole = staging.stage
 
-    def breaks(spark, sf_dir, target, n_files=None):
+    def breaks(spark, sf_dir, target):
         spark.range(3).write.parquet(f"{target}/fact_orders")
         raise OSError("lost")
 
@@ -58,3 +58,33 @@ def test_another_zone_is_refused(spark):
             get_session()
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_large_orders_come_in_chunks(spark, tmp_path):
+    """One order with all line items takes several rows of bounded arrays; what is unnested stays."""
+    from pyspark.sql import functions as F
+
+    from cohortflow.operators.enrich import details, unnest_details
+    from cohortflow.sources.tpch_adapter import driver_catalog
+    for name in ("orders", "customer", "supplier", "part", "nation"):
+        os.symlink(f"{SF}/{name}.parquet", tmp_path / f"{name}.parquet")
+    li = spark.read.parquet(f"{SF}/lineitem.parquet")
+    key = F.when(F.col("l_linenumber") > 1, F.lit(1)).otherwise(F.col("l_orderkey")).cast("bigint")
+    li.withColumn("l_orderkey", key).write.parquet(str(tmp_path / "lineitem.parquet"))
+    whole, cut = driver_catalog(spark, str(tmp_path)), driver_catalog(spark, str(tmp_path), chunk=500)
+    assert whole["order_items_more"].count() <= 1
+    more, fact = cut["order_items_more"], cut["fact_orders_nested"]
+    assert more.count() >= li.where("l_linenumber > 1").count() // 500
+    for x in (more, fact):
+        assert x.selectExpr("max(size(details)) AS n").first()["n"] <= 500
+    assert fact.count() == whole["fact_orders_nested"].count()
+    for f in (unnest_details, details):
+        assert sorted(map(str, f(cut).collect())) == sorted(map(str, f(whole).collect()))
+
+
+def test_work_folder_is_released(spark):
+    from cohortflow.session import release, work_path, written
+    path = work_path(spark).removeprefix("file:")
+    df = written(spark.range(5), "numbers")
+    assert df.count() == 5 and os.path.isdir(path)
+    assert release(spark) and not os.path.exists(path)

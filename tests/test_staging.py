@@ -72,7 +72,7 @@ def test_large_orders_come_in_chunks(spark, tmp_path):
     key = F.when(F.col("l_linenumber") > 1, F.lit(1)).otherwise(F.col("l_orderkey")).cast("bigint")
     li.withColumn("l_orderkey", key).write.parquet(str(tmp_path / "lineitem.parquet"))
     whole, cut = driver_catalog(spark, str(tmp_path)), driver_catalog(spark, str(tmp_path), chunk=500)
-    assert whole["order_items_more"].count() <= 1
+    assert whole["order_items_more"].count() <= 2
     more, fact = cut["order_items_more"], cut["fact_orders_nested"]
     assert more.count() >= li.where("l_linenumber > 1").count() // 500
     for x in (more, fact):

@@ -7,7 +7,7 @@ edit distances, XXH64): ``tests/llm`` holds them against plain Python.
 from __future__ import annotations
 
 from .licenses import PHRASES, TEMPLATES
-from .quality import CLASSES, COMMON_SHARE, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_LANGUAGE_SHARE, MIN_WORDS_FOR_HISTOGRAM
+from .quality import CLASSES, COMMON_SHARE, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_WORDS_FOR_HISTOGRAM
 from .url_rules import HOST_RULES, WORD_RULES
 
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -69,8 +69,7 @@ failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base
 counted AS (SELECT ref, x AS w, count(*) AS n FROM (SELECT ref, unnest(hw) AS x FROM word) GROUP BY ALL),
 counted_all AS (SELECT * FROM counted WHERE ref <> '*' UNION ALL SELECT '*', w, sum(n) FROM counted GROUP BY w),
 big AS (
-  SELECT ref, sum(n) AS total FROM counted_all GROUP BY ref
-  HAVING sum(n) >= {MIN_LANGUAGE_SHARE} * (SELECT sum(n) FROM counted)),
+  SELECT ref, sum(n) AS total FROM counted_all GROUP BY ref),
 common AS (SELECT ref, w, n / total AS q FROM counted_all JOIN big USING (ref) WHERE n >= total * {COMMON_SHARE}),
 chars AS (SELECT *, n - {' - '.join(names)} AS c_rest FROM classed),
 chars_ref AS (

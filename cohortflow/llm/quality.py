@@ -8,11 +8,14 @@ Jensen-Shannon distance of its character classes, and, if it is long enough
 for a word histogram, that of its common words, stay within limits. Rules on
 counts (length, repeated windows) come before.
 
-Plan: pass one counts per language (words combine map-side before one shuffle;
-a hot language or source is spread over its words); pass two is a map over the
-documents, joined by language to the references, one row of at most
-``1 / common_share`` words a language: a broadcast while that table is small.
-Words repeated in a document are found inside the row, by sorting hashes.
+Plan: pass one counts words per language (they combine map-side before one
+shuffle; what is joined by language is dealt by language and a salt, so a hot
+language is spread over its words). Pass two is a map over the documents, joined
+by language to the common words, one row of at most ``1 / common_share`` words a
+language: a broadcast while that table is small. It writes all that is known of
+a document as numbers; the class references are sums over those rows, and the
+verdicts a last pass over them. Words repeated in a document are found inside
+the row, by sorting hashes.
 
 Defined results: a null or empty text has no words, so it fails the length
 rule; every language has its own reference, however rare; a document whose
@@ -25,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, words
+from .common import SPACE, stage
 
 MIN_WORDS = 50
 MIN_WORDS_FOR_HISTOGRAM = 100
@@ -46,43 +49,46 @@ def class_counts(text) -> list[F.Column]:
     return [F.length(F.regexp_replace(text, rx, "")).alias(f"c_{name}") for name, rx in CLASSES.items()]
 
 
-def histogram_words(text) -> F.Column:
-    """Lower-case words made of letters only, as the word histograms count them."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
+#: What stands between the words of the histograms: they are lower-case and made of letters only.
+NOT_LETTERS = r"[^\p{L}]+"
+WHITE = " \t\n\v\f\r"
 
 
-def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
-               common_share: float = COMMON_SHARE, min_language_share: float = MIN_LANGUAGE_SHARE) -> tuple[DataFrame, list[str]]:
-    """Per language (and ``*`` for all): ref, ref_chars (shares of the character classes), ref_words (common words
-    with their shares) and ref_rare (those of them that are not in the list).
+def _with_all(df: DataFrame, key: list[str], sums: list[str]) -> DataFrame:
+    """One row per language, and the sum over all rows as ``*``."""
+    every = df.groupBy(*key).agg(*[F.sum(c).alias(c) for c in sums]).withColumn("ref", F.lit(ALL)).select(*df.columns)
+    return df.where(F.col("ref") != ALL).unionByName(every)
+
+
+def word_references(src: DataFrame, common_share: float = COMMON_SHARE, min_language_share: float = MIN_LANGUAGE_SHARE) -> tuple[DataFrame, list[str]]:
+    """Per language (and ``*`` for all) of rows (ref, t): ref, ref_words (common words with their shares) and ref_rare
+    (those of them that are not in the list).
 
     The list holds the common words of the languages of at least ``min_language_share`` of all words, so at most
     ``1 / min_language_share`` times ``1 / common_share``.
     """
-    src = docs.select(F.coalesce(F.col(lang_col), F.lit(ALL)).alias("ref"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    names = [f"c_{n}" for n in CLASSES] + ["c_rest"]
-    per_doc = src.select("ref", F.length("t").alias("n"), *class_counts(F.col("t")))
-    chars = stage(per_doc.withColumn("c_rest", F.expr("n - " + " - ".join(names[:-1])))
-                  .groupBy("ref").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in names]), "quality-chars")
-    word_n = stage(src.select("ref", F.explode(histogram_words(F.col("t"))).alias("w"))
+    word_n = stage(src.select("ref", F.explode(F.split(F.lower("t"), NOT_LETTERS)).alias("w")).where("w <> ''")
                    .groupBy("ref", "w").agg(F.count("*").alias("n")), "quality-words")
-
-    def with_all(df, key, sums):
-        """One row per language, and the sum over all rows as ``*``."""
-        every = df.groupBy(*key).agg(*[F.sum(c).alias(c) for c in sums]).withColumn("ref", F.lit(ALL))
-        return df.where(F.col("ref") != ALL).unionByName(every)
-
-    totals = with_all(word_n.groupBy("ref").agg(F.sum("n").alias("ref_n")), [], ["ref_n"])
+    totals = stage(_with_all(word_n.groupBy("ref").agg(F.sum("n").alias("ref_n")), [], ["ref_n"]), "quality-totals")
     all_n = totals.where(F.col("ref") == ALL).select(F.col("ref_n").alias("all_n"))    # one row
     big = totals.join(F.broadcast(all_n), F.col("ref_n") >= F.col("all_n") * min_language_share).select("ref")
-    common = stage(with_all(word_n, ["w"], ["n"]).join(totals, "ref").where(F.col("n") >= F.col("ref_n") * common_share)
+    # totals are copied to every salt and words dealt by language and salt: no language's vocabulary meets in one task
+    n = int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = totals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    counted = stage(_with_all(word_n, ["w"], ["n"]), "quality-counts").withColumn("salt", F.pmod(F.xxhash64("w"), F.lit(n)).cast("int"))
+    common = stage(counted.join(salted, ["ref", "salt"]).where(F.col("n") >= F.col("ref_n") * common_share)
                    .select("ref", "w", (F.col("n") / F.col("ref_n")).alias("q")), "quality-common")
     often = sorted(r["w"] for r in common.join(F.broadcast(big), "ref").select("w").distinct().collect())     # bounded, see above
     by_ref = common.groupBy("ref").agg(F.sort_array(F.collect_list(F.struct("w", "q"))).alias("ref_words"),
                                        F.collect_list(F.when(~F.col("w").isin(often or [""]), F.col("w"))).alias("ref_rare"))
-    shares = with_all(chars, [], ["n", *names]).select(
-        "ref", F.array(*[F.col(c) / F.greatest("n", F.lit(1)) for c in names]).alias("ref_chars"))
-    return stage(shares.join(by_ref, "ref", "left").select("ref", "ref_chars", "ref_words", "ref_rare"), "quality-references"), often
+    return stage(by_ref, "quality-references"), often
+
+
+def class_references(per_doc: DataFrame) -> DataFrame:
+    """Per language (and ``*``): ref, ref_chars (shares of the character classes) from the counts per document."""
+    names = [f"c_{n}" for n in CLASSES] + ["c_rest"]
+    sums = per_doc.groupBy(F.col("lang_ref").alias("ref")).agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in names])
+    return _with_all(sums, [], ["n", *names]).select("ref", F.array(*[F.col(c) / F.greatest("n", F.lit(1)) for c in names]).alias("ref_chars"))
 
 
 def _entropy_term(p: str, q: str) -> str:
@@ -96,11 +102,13 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
             min_words: int = MIN_WORDS, min_histogram: int = MIN_WORDS_FOR_HISTOGRAM,
             max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
     """doc_id, the counts, base_failed, kept, and the two distances."""
-    ref, often = references(docs, lang_col, text_col)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    x = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col), F.lit(ALL)).alias("lang_ref"),
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    x = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{lang_col}`"), F.lit(ALL)).alias("lang_ref"),
                     text.alias("t"))
-    x = x.withColumn("w", words(F.col("t"))).withColumn("n_words", F.size("w").cast("long"))
+    ref, often = word_references(x.select(F.col("lang_ref").alias("ref"), "t"))
+    # trimmed first, so that no empty word comes out
+    x = x.withColumn("w", F.when(F.btrim("t", F.lit(WHITE)) != "", F.split(F.btrim("t", F.lit(WHITE)), SPACE))
+                     .otherwise(F.array().cast("array<string>"))).withColumn("n_words", F.size("w").cast("long"))
     x = x.withColumn("wh", F.transform("w", lambda w: F.xxhash64(w)))
     windows = F.expr("""CASE WHEN n_words >= 3 THEN transform(sequence(0, size(wh) - 3),
                         i -> xxhash64(wh[i], wh[i + 1], wh[i + 2])) ELSE cast(array() as array<bigint>) END""")
@@ -116,42 +124,50 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     x = x.withColumn("rep", again)
     names = [f"c_{c}" for c in CLASSES]
     x = x.select(
-        "doc_id", "lang_ref", "t", "n_words", (F.col("n") - F.col("c_space")).cast("long").alias("word_chars"),
+        "doc_id", "lang_ref", "t", "n_words", "n", *names, F.expr(f"n - {' - '.join(names)}").alias("c_rest"), (F.col("n") - F.col("c_space")).cast("long").alias("word_chars"),
         (F.col("n") - F.col("n_plain")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.expr("CAST(size(array_distinct(flatten(transform(rep, i -> array(i, i + 1, i + 2))))) AS LONG)").alias("n_repeat_words"),
-        F.expr(f"transform(array({', '.join(names)}, n - {' - '.join(names)}), c -> CAST(c AS DOUBLE) / greatest(n, 1))").alias("p_chars"))
+        F.expr("CAST(size(array_distinct(flatten(transform(rep, i -> array(i, i + 1, i + 2))))) AS LONG)").alias("n_repeat_words"))
     x = x.withColumn("base_failed", F.expr(f"n_words < {min_words} OR 100 * n_repeat_words > 50 * n_words"))
 
-    every = ref.where(F.col("ref") == ALL).select(F.col("ref_chars").alias("all_chars"), F.col("ref_words").alias("all_words"), F.col("ref_rare").alias("all_rare"))
+    every = ref.where(F.col("ref") == ALL).select(F.col("ref_words").alias("all_words"), F.col("ref_rare").alias("all_rare"))     # one row
     x = (x.join(ref, F.col("lang_ref") == F.col("ref"), "left").join(F.broadcast(every), F.lit(True), "left")
-         .withColumn("q_chars", F.coalesce("ref_chars", "all_chars"))
          .withColumn("q_words", F.coalesce("ref_words", "all_words", F.expr("cast(array() as array<struct<w:string,q:double>>)")))
          .withColumn("q_rare", F.coalesce("ref_rare", "all_rare", F.expr("cast(array() as array<string>)")))
-         .drop("ref", "ref_chars", "ref_words", "ref_rare", "all_chars", "all_words", "all_rare"))
-    class_js = F.expr("sqrt(greatest(0D, aggregate(zip_with(p_chars, q_chars, (p, q) -> " + _entropy_term("p", "q")
-                      + "), 0D, (a, v) -> a + coalesce(v, 0D))))")
+         .drop("ref", "ref_words", "ref_rare", "all_words", "all_rare"))
     # only failing documents skip the word histogram; the rest sort their common words
-    x = x.withColumn("hw", F.when(~F.col("base_failed"), histogram_words(F.col("t"))).otherwise(F.array().cast("array<string>")))
-    x = x.withColumn("n_hw", F.size("hw"))
+    x = x.withColumn("hw", F.when(~F.col("base_failed"), F.split(F.lower("t"), NOT_LETTERS)).otherwise(F.array().cast("array<string>")))
+    # only the first and the last can be empty
+    x = x.withColumn("n_hw", F.expr("size(hw) - CASE WHEN size(hw) > 0 AND hw[0] = '' THEN 1 ELSE 0 END"
+                                    " - CASE WHEN size(hw) > 1 AND element_at(hw, -1) = '' THEN 1 ELSE 0 END"))
     often = often or [""]
     x = x.withColumn("common", F.sort_array(
         F.when(F.size("q_rare") == 0, F.filter("hw", lambda w: w.isin(often)))
         .otherwise(F.filter("hw", lambda w: w.isin(often) | F.array_contains("q_rare", w)))))
+    x = x.withColumn("q_map", F.map_from_entries("q_words"))
     starts = "filter(sequence(0, size(common)), (j, i) -> j = 0 OR j = size(common) OR common[j] <> common[j - 1])"
     x = x.withColumn("starts", F.expr(f"CASE WHEN size(common) > 0 THEN {starts} ELSE array(0) END"))
     # one bucket for every common word of the reference, one for all other words
     found = """filter(transform(sequence(1, size(starts) - 1), k -> struct(
                  CAST(starts[k] - starts[k - 1] AS DOUBLE) / n_hw AS p,
-                 get(filter(q_words, r -> r.w = common[starts[k - 1]]), 0).q AS q)), b -> b.q IS NOT NULL)"""
+                 q_map[common[starts[k - 1]]] AS q)), b -> b.q IS NOT NULL)"""
     x = x.withColumn("found", F.expr(f"CASE WHEN size(starts) > 1 THEN {found} ELSE cast(array() as array<struct<p:double,q:double>>) END"))
     sum_of = lambda a: f"aggregate({a}, 0D, (s, v) -> s + v)"
     x = x.withColumn("p_rest", F.expr(f"1 - {sum_of('found.p')}")).withColumn("q_rest", F.expr(f"1 - {sum_of('q_words.q')}"))
     word_js = F.expr(f"""sqrt(greatest(0D, ({sum_of('q_words.q')} - {sum_of('found.q')}) / 2
                     + {sum_of("transform(found, b -> " + _entropy_term("b.p", "b.q") + ")")}
                     + {_entropy_term("greatest(0D, p_rest)", "greatest(0D, q_rest)")}))""")
-    x = x.withColumn("class_distance", class_js).withColumn(
-        "word_distance", F.when((F.col("n_hw") >= min_histogram) & (F.size("q_words") > 0), word_js))
+    # everything about one document, as numbers; the classes' references are sums over these rows
+    per_doc = stage(x.select("doc_id", "lang_ref", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n", *names,
+                             "c_rest", F.when((F.col("n_hw") >= min_histogram) & (F.size("q_words") > 0), word_js).alias("word_distance")), "quality-documents")
+    classes = stage(class_references(per_doc), "quality-classes")
+    every = classes.where(F.col("ref") == ALL).select(F.col("ref_chars").alias("all_chars"))     # one row
+    x = (per_doc.join(classes, F.col("lang_ref") == F.col("ref"), "left").join(F.broadcast(every), F.lit(True), "left")
+         .withColumn("q_chars", F.coalesce("ref_chars", "all_chars"))
+         .withColumn("p_chars", F.expr(f"transform(array({', '.join(names)}, c_rest), c -> CAST(c AS DOUBLE) / greatest(n, 1))")))
+    class_js = F.expr("sqrt(greatest(0D, aggregate(zip_with(p_chars, q_chars, (p, q) -> " + _entropy_term("p", "q")
+                      + "), 0D, (a, v) -> a + coalesce(v, 0D))))")
+    x = x.withColumn("class_distance", class_js)
     kept = (~F.col("base_failed") & (F.coalesce("class_distance", F.lit(0.0)) <= max_class)
             & (F.coalesce("word_distance", F.lit(0.0)) <= max_word))
     return x.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

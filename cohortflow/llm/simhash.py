@@ -25,7 +25,6 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +36,8 @@ by_value(__name__)
 
 SMALL = 12
 MAX_BUCKET = 16_384
+#: Rows (key, fingerprint) that a task compares on average.
+ROWS_A_TASK = 100_000
 SEED = 42
 
 
@@ -116,14 +117,15 @@ def _links_in(key: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarra
 def _compare(distance: int, most: int | None):
     """Task function over rows (key, fp) sorted by key: links, or the rows of too large buckets."""
 
-    def frame(kind: int, u: np.ndarray, v: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"kind": np.full(len(u), kind, np.int32), "u": u.view(np.int64), "v": v.view(np.int64)})
+    def frame(kind: int, u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(u), kind, np.int32)), pa.array(u.view(np.int64)), pa.array(v.view(np.int64))],
+                                          ["kind", "u", "v"])
 
-    def run(frames):
+    def run(batches):
         key, fp, over = np.zeros(0, np.int64), np.zeros(0, np.uint64), None
-        for f in frames:
-            key = np.concatenate([key, f["key"].to_numpy(np.int64)])
-            fp = np.concatenate([fp, f["fp"].to_numpy(np.int64).view(np.uint64)])
+        for b in batches:
+            key = np.concatenate([key, b.column(0).to_numpy(zero_copy_only=False)])
+            fp = np.concatenate([fp, b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
             if over is not None:           # the rest of a bucket that is too large already
                 n = int(np.searchsorted(key != over, True))
                 yield frame(1, key[:n].view(np.uint64), fp[:n])
@@ -153,10 +155,13 @@ def near_links(fps: DataFrame, distance: int = 3, max_bucket: int = MAX_BUCKET)
     """(u, v): links that join all distinct fingerprints at most ``distance`` bits apart, directly or by others."""
     keys = F.array(*[F.struct(F.lit(i).alias("t"), F.expr(k).alias("k")) for i, k in enumerate(block_keys(distance))])
     # a key is a hash of (table, blocks): two keys that meet by chance only share a comparison
+    # a stated number of partitions: small rows would be merged into few tasks of very many
+    most = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(most, -(-fps.count() * len(block_keys(distance)) // ROWS_A_TASK))
     dealt = (fps.select("fp", F.explode(keys).alias("x"))
              .select(F.xxhash64("x.t", "x.k").alias("key"), "fp")
-             .repartition("key").sortWithinPartitions("key"))
-    found = stage(dealt.mapInPandas(_compare(distance, max_bucket), "kind int, u bigint, v bigint"), "simhash-links")
+             .repartition(n, "key").sortWithinPartitions("key"))
+    found = stage(dealt.mapInArrow(_compare(distance, max_bucket), "kind int, u bigint, v bigint"), "simhash-links")
     links = found.where("kind = 0").select("u", "v")
     over = found.where("kind = 1").select(F.col("u").alias("key"), F.col("v").alias("fp"))
     sizes = over.groupBy("key").agg(F.expr(f"CAST(ceil(count(*) / {max_bucket}) AS INT)").alias("n"))
@@ -164,7 +169,7 @@ def near_links(fps: DataFrame, distance: int = 3, max_bucket: int = MAX_BUCKET)
               .select("key", "fp", "b", F.explode(F.expr("sequence(0, n - 1)")).alias("c"))
               .select(F.xxhash64("key", F.least("b", "c"), F.greatest("b", "c")).alias("key"), "fp")
               .repartition("key").sortWithinPartitions("key"))
-    more = blocks.mapInPandas(_compare(distance, None), "kind int, u bigint, v bigint").select("u", "v")
+    more = blocks.mapInArrow(_compare(distance, None), "kind int, u bigint, v bigint").select("u", "v")
     return links.unionByName(more)
 
 

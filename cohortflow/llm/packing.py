@@ -13,10 +13,9 @@ piece carries its token ids: a sequence is the ids of its pieces by offset.
 Plan: one map turns texts into pieces (text never leaves it), which are written
 down with a key of their own. Keys get their rank within their length from
 windows over (length, salt) and the counts of the salts, so a length that a
-third of all pieces share is split; token ids are moved once, when the places
-are joined to them by key. Only the counts meet in one task, and beyond ``GROUP`` pieces the instance is split
-into parts that are packed apart, each of which leaves at most one sequence
-open more than the whole would.
+third of all pieces share is split; token ids are moved once, two bytes a token
+while the vocabulary allows, when the places are joined to them by key. Only the
+counts per length, at most ``capacity`` numbers, meet in one task.
 
 Defined results: a null or empty text is one piece of the end token; repeated
 rows each are packed; other columns are ignored; an empty table gives no rows.
@@ -40,7 +39,6 @@ by_value(__name__)
 CAPACITY = 4096
 END_ID = 1
 SALTS = 32
-GROUP = 20_000_000
 #: Distinct words whose ids a worker keeps; beyond that it begins anew.
 CACHE_WORDS = 800_000
 
@@ -66,34 +64,46 @@ class WordIds:
         if path not in kept:
             kept[path] = (tokenizers.Tokenizer.from_file(path), {})
         self.tokenizer, self.known = kept[path]
+        # two bytes a token while they hold all ids
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+
+    def _one_by_one(self, words: list[bytes]) -> dict[bytes, bytes]:
+        got = self.tokenizer.encode_batch_fast([x.decode() for x in words], add_special_tokens=False)
+        return {x: np.array(e.ids, self.kind).tobytes() for x, e in zip(words, got)}
+
+    def _letters(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words of small ASCII letters only: they pass the tokenizer's other steps as they are, so its model alone is asked."""
+        ask, kind = self.tokenizer.model.tokenize, "H" if self.kind == "<u2" else "I"
+        return {x: array(kind, [t.id for t in ask(x.decode())]).tobytes() for x in words}
 
     def learn(self, words: set[bytes]) -> None:
         """Add the ids of all words that are not known yet."""
-        known, parts = self.known, {}
+        known, parts, marks = self.known, [], self.MARKS
         if len(known) > CACHE_WORDS:
             known.clear()
-        for w in words:
-            if w not in known:
-                core = w.rstrip(self.MARKS)
-                if not core.decode().isalpha():
-                    core = w                     # one piece: marks may join what stands before them
+        for w in words.difference(known):
+            core = w.rstrip(marks)
+            if core.isalpha():                   # of bytes: ASCII letters
+                core, tail = core.lower(), w[len(core):]
+            elif core and not core.isascii() and core.decode().isalpha():
                 tail = w[len(core):]
-                parts[w] = (core.lower() if core.isascii() else core, tail)
-        new = list({x for p in parts.values() for x in p if x and x not in known})
-        ids = {b"": b""}
-        for at in range(0, len(new), 50_000):
-            some = new[at:at + 50_000]
-            got = self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)
-            ids.update((x, array("I", e.ids).tobytes()) for x, e in zip(some, got))
+            else:
+                core, tail = w, b""              # one piece: marks may join what stands before them
+            parts.append((w, core, tail))
+        new = {c for _, c, _ in parts}.difference(known)
+        ids = {b"": b""} | self._letters([x for x in new if x.isalpha()])
+        other = list(new.difference(ids) | {t for _, _, t in parts if t and t not in known})
+        for at in range(0, len(other), 50_000):
+            ids |= self._one_by_one(other[at:at + 50_000])
         of = lambda x: ids[x] if x in ids else known[x]
-        known.update([(w, of(c) + of(t)) for w, (c, t) in parts.items()])
+        known.update([(w, of(c) + of(t) if t else of(c)) for w, c, t in parts])
         known.update(ids)
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         split = [t.split() for t in texts]       # ASCII white space
         self.learn(set().union(*split))
-        known = self.known
-        return [np.frombuffer(b"".join([known[x] for x in w]), "<u4") for w in split]
+        get = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(get, w)), self.kind) for w in split]
 
 
 def _parts(column, most: int = 4 << 20):
@@ -111,7 +121,8 @@ def _parts(column, most: int = 4 << 20):
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id",
            text_col: str = "text", end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length, ids of every piece of every document (ids: four bytes a token, lowest first)."""
+    """doc_id, piece, start, length, ids of every piece of every document (ids: two bytes a token, lowest first, or four
+    where the vocabulary needs them)."""
     src = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("t"))
     kind = src.schema["doc_id"].dataType.simpleString()
 
@@ -121,7 +132,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_co
             for first, texts in _parts(b.column(1)):      # one batch a part: ids may be larger than their text
                 rows, cols = [], [[], [], [], []]
                 for n, x in enumerate(ids(texts), first):
-                    x = np.append(x, np.uint32(end_id)).astype("<u4")
+                    kind = ids.kind if end_id < 1 << 16 else "<u4"
+                    x = np.append(x.astype(kind), np.array(end_id, kind))
                     for p, at in enumerate(range(0, len(x), capacity)):
                         part = x[at:at + capacity]
                         rows.append(n)
@@ -251,35 +263,43 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple]
     return p.runs, p.sequences
 
 
+def _widened(batches):
+    """Task function: token ids as four bytes each, and their checksum."""
+    import zlib
+
+    for b in batches:
+        for at in range(0, b.num_rows, 1024):
+            t = b.slice(at, 1024)
+            ids = [np.frombuffer(v, f"<u{len(v) // n}").astype("<u4").tobytes()
+                   for v, n in zip(t.column("ids").to_pylist(), t.column("length").to_pylist())]
+            cols = {n: t.column(n) for n in ("doc_id", "piece", "start", "length")}
+            cols |= {"ids": pa.array(ids, pa.binary()), "ids_crc32": pa.array([zlib.crc32(x) for x in ids], pa.int64())}
+            cols |= {n: t.column(n) for n in ("sequence_id", "offset")}
+            yield pa.RecordBatch.from_pydict(cols)
+
+
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id",
-         text_col: str = "text", end_id: int = END_ID, group: int = GROUP) -> DataFrame:
-    """doc_id, piece, start, length, ids, ids_crc32, sequence_id, offset of every piece."""
+         text_col: str = "text", end_id: int = END_ID) -> DataFrame:
+    """doc_id, piece, start, length, ids (four bytes a token, lowest first), ids_crc32, sequence_id, offset of every piece."""
     # copies of one document agree in all else: every piece is known by its place in the written table
     found = stage(pieces(docs, tokenizer_path, capacity, id_col, text_col, end_id)
                   .withColumn("_piece", F.monotonically_increasing_id()), "pieces")
-    parts = max(1, -(-found.count() // group))
-    dealt = found.select("_piece", "length", F.expr(f"CAST(pmod(xxhash64(_piece), {parts}) AS INT)").alias("part"),
-                         F.expr(f"CAST(pmod(xxhash64(_piece, 7), {SALTS}) AS INT)").alias("salt"))
-    key = ["part", "length", "salt"]
+    dealt = found.select("_piece", "length", F.expr(f"CAST(pmod(xxhash64(_piece, 7), {SALTS}) AS INT)").alias("salt"))
+    key = ["length", "salt"]
     salts = stage(dealt.groupBy(*key).agg(F.count("*").alias("n")), "pieces-counts")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        runs, total = solve(dict(zip(frame["length"].tolist(), frame["n"].tolist())), capacity)
-        out = pd.DataFrame(runs, columns=["length", "a", "b", "sequence", "each", "place"])
-        out["part"], out["total"] = frame["part"].iloc[0], total
-        return out
-
-    counts = salts.groupBy("part", "length").agg(F.sum("n").alias("n"))
-    runs = stage(counts.groupBy("part").applyInPandas(
-        run, "length bigint, a bigint, b bigint, sequence bigint, each bigint, place bigint, part int, total bigint"), "packing-runs")
-    # sequences of a part begin after those of the parts before: one row per part
-    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    first = runs.groupBy("part").agg(F.max("total").alias("t")).select("part", F.coalesce(F.sum("t").over(upto), F.lit(0)).alias("s0"))
-    by_length = (runs.join(first, "part").groupBy("part", "length")
-                 .agg(F.collect_list(F.struct("a", "b", (F.col("sequence") + F.col("s0")).alias("sequence"), "each", "place")).alias("runs")))
-    before = Window.partitionBy("part", "length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+        runs, _ = solve(dict(zip(frame["length"].tolist(), frame["n"].tolist())), capacity)
+        return pd.DataFrame(runs, columns=["length", "a", "b", "sequence", "each", "place"])
+
+    # one row per length, at most ``capacity``, whatever the number of pieces
+    counts = salts.groupBy("length").agg(F.sum("n").alias("n")).withColumn("all", F.lit(0))
+    runs = stage(counts.groupBy("all").applyInPandas(
+        run, "length bigint, a bigint, b bigint, sequence bigint, each bigint, place bigint"), "packing-runs")
+    by_length = runs.groupBy("length").agg(F.collect_list(F.struct("a", "b", "sequence", "each", "place")).alias("runs"))
+    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     sides = (salts.withColumn("n0", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-             .join(by_length, ["part", "length"]))
+             .join(by_length, "length"))
     inside = Window.partitionBy(*key).orderBy("_piece")
     ranked = dealt.withColumn("r", F.row_number().over(inside)).join(sides, key)
     ranked = ranked.withColumn("rank", F.col("n0") + F.col("r") - 1)
@@ -287,5 +307,6 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col:
     placed = ranked.select(
         "_piece", F.expr("run.sequence + (rank - run.a) div run.each").alias("sequence_id"),
         F.expr("run.place + ((rank - run.a) % run.each) * length").alias("offset"))
-    return found.join(placed, "_piece").select(
-        "doc_id", "piece", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    kind = found.schema["doc_id"].dataType.simpleString()
+    return found.join(placed, "_piece").select("doc_id", "piece", "start", "length", "ids", "sequence_id", "offset").mapInArrow(
+        _widened, f"doc_id {kind}, piece int, start bigint, length bigint, ids binary, ids_crc32 bigint, sequence_id bigint, offset bigint")

@@ -168,10 +168,12 @@ def test_sequences_hold_the_tokens(spark, docs):
         assert len(tokens) <= 512
 
 
-def test_packing_in_parts(spark, docs):
-    rows = packing.pack(docs, TOKENIZER, 512, group=60).collect()
-    check_packing(rows, 512)
-    assert len(rows) == packing.pack(docs, TOKENIZER, 512).count()
+def test_packing_is_that_of_the_counts(spark, docs):
+    """As many sequences as the solver needs for all pieces at once, however the rows are dealt."""
+    rows = packing.pack(docs, TOKENIZER, 512).collect()
+    n = packing.solve(Counter(r["length"] for r in rows), 512)[1]
+    assert check_packing(rows, 512) == n
+    assert check_packing(packing.pack(docs.repartition(7), TOKENIZER, 512).collect(), 512) == n
 
 
 def fewest(sizes, capacity):

@@ -44,3 +44,11 @@ def lower_ascii(text) -> F.Column:
     """A-Z to a-z; every other character stays."""
     return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
                        "abcdefghijklmnopqrstuvwxyz")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or ``name`` with marks behind it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

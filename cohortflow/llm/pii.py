@@ -31,6 +31,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 ACCEPT = 0.5
 CONTEXT_CHARS = 40
 
@@ -143,14 +145,14 @@ def _spans(rank: int, k: Kind) -> str:
     return f"CASE WHEN {k.gate} THEN {found} ELSE cast(array() as array<{SPAN}>) END"
 
 
-def with_spans(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """``docs`` with ``_spans``: accepted spans by start, then kind; code points, end exclusive."""
+def with_spans(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = KINDS, name: str = "_spans") -> DataFrame:
+    """``docs`` with ``name``: accepted spans by start, then kind; code points, end exclusive."""
     keep = docs.columns
     x = docs.select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(keep)],
                     F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
     x = x.select("*", *[F.expr(_spans(i, k)).alias(f"k_{i}") for i, k in enumerate(kinds)])
     return x.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(keep)],
-                    F.sort_array(F.concat(*[f"k_{i}" for i in range(len(kinds))])).alias("_spans"))
+                    F.sort_array(F.concat(*[f"k_{i}" for i in range(len(kinds))])).alias(name))
 
 
 def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,17 +171,20 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Spans that overlap become one, named after the first.
     """
-    x = with_spans(docs, text_col)
+    # working names that no column of the caller has
+    spans = free_name(docs, "_spans")
+    x = with_spans(docs, text_col, name=spans)
+    m = free_name(x, "_merged")
     # spans in order; one that begins inside an earlier one only lengthens it
-    merged = f"""aggregate(_spans, cast(array() as array<{SPAN}>), (a, x) -> CASE
+    merged = f"""aggregate(`{spans}`, cast(array() as array<{SPAN}>), (a, x) -> CASE
         WHEN size(a) > 0 AND x.start < element_at(a, -1).stop THEN concat(slice(a, 1, size(a) - 1), array(
             named_struct('start', element_at(a, -1).start, 'rank', element_at(a, -1).rank, 'kind', element_at(a, -1).kind,
                          'stop', greatest(element_at(a, -1).stop, x.stop), 'score', element_at(a, -1).score)))
         ELSE concat(a, array(x)) END)"""
-    x = x.withColumn("_m", F.expr(merged))
-    parts = f"""concat(transform(_m, (x, i) -> concat(
-        substring(`{text_col}`, CAST(CASE WHEN i = 0 THEN 0 ELSE _m[i - 1].stop END + 1 AS INT),
-                  CAST(x.start - CASE WHEN i = 0 THEN 0 ELSE _m[i - 1].stop END AS INT)), '<', upper(x.kind), '>')),
-        array(substring(`{text_col}`, CAST(element_at(_m, -1).stop + 1 AS INT))))"""
-    text = F.expr(f"CASE WHEN size(_m) > 0 THEN array_join({parts}, '') ELSE `{text_col}` END")
-    return x.withColumn(text_col, text).select(*docs.columns)
+    x = x.withColumn(m, F.expr(merged))
+    parts = f"""concat(transform(`{m}`, (x, i) -> concat(
+        substring(`{text_col}`, CAST(CASE WHEN i = 0 THEN 0 ELSE `{m}`[i - 1].stop END + 1 AS INT),
+                  CAST(x.start - CASE WHEN i = 0 THEN 0 ELSE `{m}`[i - 1].stop END AS INT)), '<', upper(x.kind), '>')),
+        array(substring(`{text_col}`, CAST(element_at(`{m}`, -1).stop + 1 AS INT))))"""
+    text = F.expr(f"CASE WHEN size(`{m}`) > 0 THEN array_join({parts}, '') ELSE `{text_col}` END")
+    return x.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

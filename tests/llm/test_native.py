@@ -184,3 +184,16 @@ def test_redaction(spark, docs):
     out = pii.redact(docs)
     assert out.columns == docs.columns and out.count() == len(TEXTS)
     assert all(not brute.pii_base(r["text"]) for r in out.collect())      # nothing is left
+
+
+def test_working_names_may_be_columns(spark):
+    """Columns called like the operator's own, and dotted ones, come through redaction unchanged."""
+    from pyspark.sql import functions as F
+    row = {"doc_id": 1, "text": "mail a.b@c.de now", "_spans": "s", "_m": "m", "_merged": "x", "_Spans_": 1, "a.b": 2, "in_0": 3, "k_0": 4, "t": 5, "_stage_row": 6}
+    df = spark.createDataFrame([tuple(row.values())], list(row))
+    got = pii.redact(df)
+    assert got.columns == list(row)
+    assert got.first().asDict() == row | {"text": "mail <EMAIL> now"}
+    from corpus_pipeline import _keyed, _without
+    keyed, key = _keyed(df, "names")
+    assert key not in row and _without(keyed, keyed.where("false").select(F.col(key)), key).first().asDict() == row

@@ -18,23 +18,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortflow.llm import decontam, packing, pii, simhash, toxicity
-from cohortflow.llm.common import stage, table
+from cohortflow.llm.common import free_name, stage, table
 
 TOXIC_AT = 0.3
 
 
-#: Key of a row within a stage.
-KEY = "_stage_row"
+def _keyed(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``docs`` with a key for every row, written down so that it cannot change in a retry, and the key's name."""
+    key = free_name(docs, "_stage_row")
+    return stage(docs.withColumn(key, F.monotonically_increasing_id()), name), key
 
 
-def _keyed(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` with a key for every row, written down so that it cannot change in a retry."""
-    return stage(docs.withColumn(KEY, F.monotonically_increasing_id()), name)
-
-
-def _without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+def _without(keyed: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """Rows of ``keyed`` whose key is not in ``gone``, without the key."""
-    return keyed.join(gone, KEY, "left_anti").drop(KEY)
+    return keyed.join(gone, key, "left_anti").drop(key)
 
 
 def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,19 +42,20 @@ def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row of smallest id (then key) of every group of linked fingerprints; groups without any id stay."""
-    keyed = _keyed(docs, "near-duplicate-rows")
-    found = simhash.near_duplicates(keyed, id_col=KEY).select(F.col("doc_id").alias(KEY), "component_id")
-    rows = stage(keyed.select(KEY, F.col("doc_id").alias("id")).join(found, KEY), "near-duplicates")
-    first = rows.groupBy("component_id").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", KEY))).alias("first"))
-    gone = rows.join(first, "component_id").where(F.col(KEY) != F.col(f"first.{KEY}")).select(KEY)
-    return _without(keyed, gone)
+    keyed, key = _keyed(docs, "near-duplicate-rows")
+    found = simhash.near_duplicates(keyed, id_col=key).select(F.col("doc_id").alias("row"), "component_id")
+    rows = stage(keyed.select(F.col(key).alias("row"), F.col("doc_id").alias("id")).join(found, "row"), "near-duplicates")
+    # written first: joined as a plain table, so that a large group's rows can be split
+    first = stage(rows.groupBy("component_id").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "row"))).alias("first")), "near-duplicate-first")
+    gone = rows.join(first, "component_id").where(F.col("row") != F.col("first.row")).select(F.col("row").alias(key))
+    return _without(keyed, gone, key)
 
 
 def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no benchmark item."""
-    keyed = _keyed(docs, "contamination-rows")
-    found = decontam.leaks(keyed, table(spark, sf_dir, "benchmark"), id_col=KEY)
-    return _without(keyed, found.select(F.col("doc_id").alias(KEY)).distinct())
+    keyed, key = _keyed(docs, "contamination-rows")
+    found = decontam.leaks(keyed, table(spark, sf_dir, "benchmark"), id_col=key)
+    return _without(keyed, found.select(F.col("doc_id").alias(key)).distinct(), key)
 
 
 def redact_personal_data(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,9 +12,10 @@ distribution of clean words, ``K`` fitted to the best segments of clean
 texts). The excesses of all significant segments make the document's score
 through a logistic calibration.
 
-Labels: ``fit`` learns from at most ``max_labels`` labelled rows (a stated
+Labels: ``fit`` learns from at most ``max_labels`` labelled ids (a stated
 bound; taken by a hash of the id), log-odds from three quarters of them, the
-calibration from the rest. ``score`` reads nothing but texts.
+calibration from the rest. An id gives one row: of its labels the greater, of
+its texts the least. ``score`` reads nothing but texts.
 
 Plan: labels of the sample are broadcast (bounded), features are counted
 map-side and then by key; only features that are significant come to the
@@ -84,20 +85,20 @@ def segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
     if not len(up):
         return []
     total = np.concatenate([[0.0], np.cumsum(scores)])
-    # per candidate: sum before it, sum at its end, first, last; only positive words can begin one
-    left, right, first, last = [], [], [], []
+    # per candidate: sum before it, sum at its end, first, last, and the nearest earlier candidate that begins lower (-1: none);
+    # only positive words can begin one. The walk along these links never meets again what it has passed.
+    left, right, first, last, lower = [], [], [], [], []
     for i in up.tolist():
-        lo, hi, a, b = total[i], total[i + 1], i, i + 1
+        lo, hi, a, j = total[i], total[i + 1], i, len(left) - 1
         while True:
-            j = len(left) - 1
-            # the nearest candidate that begins lower
             while j >= 0 and left[j] >= lo:
-                j -= 1
+                j = lower[j]
             if j < 0 or right[j] >= hi:
-                left.append(lo), right.append(hi), first.append(a), last.append(b)
                 break
-            lo, a = left[j], first[j]
-            del left[j:], right[j:], first[j:], last[j:]
+            lo, a, keep = left[j], first[j], j
+            j = lower[j]
+            del left[keep:], right[keep:], first[keep:], last[keep:], lower[keep:]
+        left.append(lo), right.append(hi), first.append(a), last.append(i + 1), lower.append(j)
     return [(h - w, a, b) for w, h, a, b in zip(left, right, first, last)]
 
 
@@ -203,13 +204,15 @@ def _learnable(id_col) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         max_labels: int = MAX_LABELS, max_features: int = MAX_FEATURES) -> Model:
     """Learn from labelled rows outside the held-out quarter."""
+    # one label an id: the greater, where an id has both
     lab = (labels.select(F.col("doc_id").alias("l_id"), F.col("toxic").alias("y"))
-           .where(F.col("l_id").isNotNull() & F.col("y").isin(0, 1) & _learnable(F.col("l_id"))))
-    n = lab.count()
-    part = F.pmod(F.xxhash64("l_id", F.lit(5)), F.lit(1_000_003))
-    lab = lab.where(part < 1_000_003 * min(1.0, max_labels / max(1, n))).dropDuplicates(["l_id"])
+           .where(F.col("l_id").isNotNull() & F.col("y").isin(0, 1) & _learnable(F.col("l_id")))
+           .groupBy("l_id").agg(F.max("y").alias("y")))
+    lab = lab.orderBy(F.xxhash64("l_id", F.lit(5)), "l_id").limit(max_labels)      # the stated bound of the sample
+    # one text an id: the least, where an id repeats, combined map-side; so the sample has at most max_labels rows
     rows = (docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("t"))
-            .join(F.broadcast(lab), F.col("id") == F.col("l_id")).select("id", "y", "t"))     # bounded by max_labels
+            .join(F.broadcast(lab), F.col("id") == F.col("l_id"))                  # bounded by max_labels
+            .groupBy("id").agg(F.max("y").alias("y"), F.min("t").alias("t")))
     # copies of one text would make all its words look telling: near copies mostly share their least run of words
     w = words(F.lower("t"))
     least = F.expr("""CASE WHEN size(w) >= 5 THEN array_min(transform(sequence(0, size(w) - 5),

@@ -1,6 +1,7 @@
 """SimHash groups, decontamination, packing, toxicity and main texts against plain Python."""
 
 import random
+import timeit
 import zlib
 from collections import Counter, defaultdict
 
@@ -238,6 +239,34 @@ def test_segments_match_their_definition():
         assert got == [(a, b) for _, a, b in slow_segments(s)], s
 
 
+def test_segments_in_linear_time():
+    """A text whose sum keeps falling: twice the words take about twice the time, and the segments are those of its parts."""
+    took = {}
+    for n in (100_000, 200_000):
+        s = np.tile([-1.0, 0.5], n // 2)
+        took[n] = min(timeit.repeat(lambda: toxicity.segments(s), number=1, repeat=3))
+        assert toxicity.segments(s) == [(0.5, i, i + 1) for i in range(1, n, 2)]
+    assert took[200_000] < 3 * took[100_000] + 0.05
+    rng = random.Random(12)
+    for _ in range(40):                                        # deep chains of links, merged and not
+        s = [rng.choice([-3, -2, -1, 1, 2, 3]) + rng.random() / 100 for _ in range(60)]
+        assert [(a, b) for _, a, b in toxicity.segments(np.array(s))] == [(a, b) for a, b in sorted((a, b) for _, a, b in slow_segments(s))]
+
+
+def test_one_row_per_id_in_the_sample(spark):
+    """An id with many texts and both labels gives the sample one row; the model is that of its least text and greater label."""
+    docs, labels = toxic_corpus(spark, 400)
+    hot = next(r["doc_id"] for r in docs.orderBy("doc_id").collect() if r["doc_id"] and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2)
+    more = spark.range(300).select(F.lit(hot).alias("doc_id"), F.concat(F.lit("~ "), F.col("id").cast("string"), F.lit(" scum vile")).alias("text"))
+    both = spark.createDataFrame([(hot, 1, 0)] * 5, labels.schema)
+    least = docs.where(F.col("doc_id") == hot).first()["text"]
+    assert least < "~"
+    a = toxicity.fit(docs, labels)
+    b = toxicity.fit(docs.union(more), labels.union(both) if labels.where((F.col("doc_id") == hot) & (F.col("toxic") == 1)).count() else labels)
+    assert a == b
+    assert toxicity.fit(docs, labels, max_labels=40).weights.keys() <= {f for w in ["scum", "vile", "rotten"] for f in toxicity.features(w)}
+
+
 def toxic_corpus(spark, n=900):
     rng = random.Random(4)
     voc = [f"w{i}" for i in range(300)]

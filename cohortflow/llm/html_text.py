@@ -1,26 +1,33 @@
 """Operator 3: main text of pages by nearest-URL page differencing.
 
-Method: pages of one host stand in the order of their URL path, and each page
-is paired with the neighbour whose path shares more leading segments. The text
-lines (blocks) of both are aligned by longest common subsequence, and lines
-that both share are deleted as the host's template. What the markup itself
-says comes first: lines inside an article container are the article, also
-where a neighbour repeats them (copies and quoted passages would go
-otherwise); lines inside menus, headers, footers, side bars, notices, adverts,
-forms and comments are not, also where no neighbour repeats them. Differencing
-decides on all lines that the markup leaves open.
-
-Plan: pages are read twice. The first pass keeps hashes of the lines only;
-neighbours come from global positions (one range shuffle of short rows, so a
-host that holds a third of all pages is spread over many tasks), and pairs
-meet by a digest of their content. The second pass cuts the texts again and joins them with
+Method: the URL paths of one host stand in order, and each page is paired with
+the nearest path before or after its own whose page differs from it, the one
+that shares more leading segments. Pages are told apart by the digest of their
+lines, so copies of a page under other URLs are passed over and no page is
+aligned with itself. Versions of one path are paired with one another only
+where the host has no other path that differs. The text lines (blocks) of both
+are aligned by longest common subsequence, and lines that both share are
+deleted as the host's template. What the markup itself says comes first: lines
+inside an article container are the article, also where a neighbour repeats
+them (quoted passages would go otherwise); lines inside menus, headers,
+footers, side bars, notices, adverts, forms and comments are not, also where no
+neighbour repeats them. Differencing decides on all lines that the markup
+leaves open; there a line that a page's neighbour repeats goes, whatever it is.
+
+Plan: pages are read twice. The first pass keeps hashes of the lines only.
+Paths are made one each (least and greatest digest of their versions, combined
+map-side) and dealt by range; what lies before and after a partition is a
+table of one row per partition, so neither a host nor a run of copies that
+holds a third of all pages meets in one task. Pairs meet by the digest of the
+neighbour's lines. The second pass cuts the texts again and joins them with
 the masks of their lines; packed, they are half as large on the way. Alignment is bit-parallel; beyond ``LCS_CELLS`` it
 splits the problem in half, so its memory is bounded.
 
 Defined results: a null html is empty, with empty text; a null URL has host
-and path of their own and is paired with other such pages; html may end
-anywhere; repeated rows each keep their result; other columns are ignored; an
-empty table gives no rows.
+and path of their own and is paired with other such pages; a page whose host
+has no page that differs keeps all its open lines; of two neighbours equally
+near the one before counts; html may end anywhere; repeated rows each keep
+their result; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -203,48 +210,86 @@ def _align(a: list, b: list) -> list[int]:
     return out[::-1]
 
 
-def neighbours(pages: DataFrame) -> DataFrame:
-    """(row, other): per row the page of its host next to it in path order that shares more leading segments."""
-    order = ["host", "path", "row"]
-    sorted_ = stage(pages.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
-                    .withColumn("_part", F.spark_partition_id()), "pages-order")
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)     # one row per partition
-    offset = sorted_.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
+def _beside(paths: DataFrame, back: bool) -> DataFrame:
+    """``paths`` with the nearest path before (``back``) or after whose least digest differs, any host: (host, path, low) or null.
+
+    The rows are sorted by range. Inside a partition the answer is carried along a run of equal digests; the run that
+    a partition begins with takes it from the table of the partitions' ends.
+    """
+    order = [F.col(c) if back else F.col(c).desc() for c in ("host", "path")]
+    me, name = F.struct("host", "path", "low"), "before" if back else "after"
+    differs = lambda x, y: (x["host"] != y["host"]) | (x["low"] != y["low"])
     inside = Window.partitionBy("_part").orderBy(*order)
-    at = stage(sorted_.withColumn("r", F.row_number().over(inside)).join(F.broadcast(offset), "_part")
-               .select((F.col("n0") + F.col("r")).alias("pos"), *order), "pages-positions")
-    next_ = at.select((F.col("pos") - 1).alias("pos"), F.col("host").alias("host2"), F.col("path").alias("path2"), F.col("row").alias("row2"))
-    pairs = at.join(next_, "pos").where("host = host2")
-    first_other = "array_position(zip_with(split(path, '/'), split(path2, '/'), (x, y) -> x <=> y), false)"
-    pairs = pairs.withColumn("near", F.expr(f"CASE WHEN path = path2 THEN 1000000 ELSE {first_other} END"))
-    both = (pairs.select("row", F.col("row2").alias("other"), "near", F.lit(0).alias("back"))
-            .union(pairs.select(F.col("row2").alias("row"), F.col("row").alias("other"), "near", F.lit(1).alias("back"))))
-    return both.groupBy("row").agg(F.max_by("other", F.struct("near", "back")).alias("other"))
+    x = paths.withColumn("_last", F.lag(me).over(inside))
+    x = x.withColumn("_found", F.last(F.when(differs(F.col("_last"), me), F.col("_last")), ignorenulls=True).over(inside))
+    parts = Window.orderBy(F.col("_part") if back else F.col("_part").desc())          # one row per partition
+    first, last = (F.min_by, F.max_by) if back else (F.max_by, F.min_by)
+    ends = x.groupBy("_part").agg(first(me, F.struct("host", "path")).alias("a"), last(me, F.struct("host", "path")).alias("z"),
+                                  last("_found", F.struct("host", "path")).alias("found"))
+    ends = ends.withColumn("y", F.lag("z").over(parts))
+    ends = ends.withColumn("at", F.when(differs(F.col("y"), F.col("a")), F.col("y")))
+    ends = ends.withColumn("out", F.last(F.coalesce("found", "at"), ignorenulls=True).over(parts))
+    ends = ends.select("_part", F.coalesce("at", F.lag("out").over(parts)).alias("_carried"))
+    return (x.join(F.broadcast(ends), "_part")                                         # as many rows as partitions
+            .withColumn(name, F.coalesce("_found", "_carried")).drop("_last", "_found", "_carried"))
+
+
+def neighbours(pages: DataFrame, digest: str = "row") -> DataFrame:
+    """(row, other) of every page that has a neighbour; other is the digest of the page it is aligned with.
+
+    ``pages`` holds row, host, path and ``digest`` (pages with the same one are copies). The neighbour's path is the
+    nearest one before or after on the host whose least digest differs from that of the page's own path; of the two the
+    one that shares more leading segments counts (a tie: the one before), and one that equals the page is passed over.
+    Without such a path it is another version of the page's own path.
+    """
+    pages = pages.select("row", "host", "path", F.col(digest).alias("digest"))
+    paths = pages.groupBy("host", "path").agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
+    paths = stage(paths.repartitionByRange("host", "path").withColumn("_part", F.spark_partition_id()), "pages-order")
+    beside = stage(_beside(_beside(paths, True), False).drop("_part"), "pages-beside")
+    x = pages.join(beside, ["host", "path"])
+
+    def pick(name: str) -> F.Column:
+        near = F.expr(f"array_position(zip_with(split(path, '/'), split({name}.path, '/'), (x, y) -> x <=> y), false)")
+        return F.when(F.expr(f"{name}.host = host AND {name}.low != digest"),
+                      F.struct(near.alias("near"), F.lit(name == "before").alias("back"), F.col(f"{name}.low").alias("other")))
+
+    version = F.when(F.col("low") != F.col("digest"), F.col("low")).when(F.col("high") != F.col("digest"), F.col("high"))
+    other = F.coalesce(F.greatest(pick("before"), pick("after"))["other"], version)
+    return x.select("row", other.alias("other")).where("other IS NOT NULL")
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars, n_lines, n_shared (lines aligned with the neighbour) of every row."""
     src = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
-    # a page is known by its content in both passes; copies of it are one page to its neighbours
-    part = lambda c: F.coalesce(F.col(c), F.lit("\x00"))
-    src = src.select(F.unhex(F.md5(F.concat(part("url"), F.lit("\x1f"), part("html")))).alias("row"), "page_id", "url", "html")
     host, path = host_and_path(F.col("url"))
+    src = src.select("page_id", "url", host.alias("host"), path.alias("path"), "html")
     kind = src.schema["page_id"].dataType.simpleString()
 
+    def known(host, path, lines):
+        """Digests of a page's lines, and of host, path and lines: what a page is known by in both passes."""
+        import xxhash
+
+        digest = xxhash.xxh3_128(b"".join(xxhash.xxh3_128_digest(x) for x in lines)).digest()
+        return digest, xxhash.xxh3_128_digest(f"{host}\x1f{path}\x1f".encode() + digest)
+
     def hashed(batches):
         import xxhash
 
         for b in batches:
-            h = [[xxhash.xxh64_intdigest(x) - (1 << 63) for x in lines_of(t.as_py())[0]] for t in b.column(3)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(h, pa.list_(pa.int64()))], ["row", "host", "path", "lines"])
+            cut_ = [lines_of(t.as_py())[0] for t in b.column(2)]
+            keys = [known(h, p, x) for h, p, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), cut_)]
+            lines = [[xxhash.xxh64_intdigest(y) - (1 << 63) for y in x] for x in cut_]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([d for d, _ in keys], pa.binary()), pa.array([k for _, k in keys], pa.binary()),
+                                              pa.array(lines, pa.list_(pa.int64()))], ["host", "path", "digest", "row", "lines"])
 
     def cut(batches):
         for b in batches:
-            got = [lines_of(t.as_py()) for t in b.column(3)]
+            got = [lines_of(t.as_py()) for t in b.column(4)]
+            keys = [known(h, p, x)[1] for h, p, (x, _) in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), got)]
             # lines that the markup puts away keep their place, but are not moved; the others are moved packed
             packed = [zlib.compress("\n".join(t for t, k in zip(x, r) if k != AWAY).encode(), 3) for x, r in got]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:3], pa.array(packed, pa.binary()), pa.array([r for _, r in got], pa.list_(pa.int32()))],
+                [pa.array(keys, pa.binary()), *b.columns[:2], pa.array(packed, pa.binary()), pa.array([r for _, r in got], pa.list_(pa.int32()))],
                 ["row", "page_id", "url", "packed", "roles"])
 
     def kept(batches):
@@ -264,11 +309,11 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
             shared = [common_lines(x, y) for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared, pa.list_(pa.int32()))], ["row", "shared"])
 
-    light = stage(src.select("row", host.alias("host"), path.alias("path"), "html")
-                  .mapInArrow(hashed, "row binary, host string, path string, lines array<bigint>")
+    light = stage(src.select("host", "path", "html")
+                  .mapInArrow(hashed, "host string, path string, digest binary, row binary, lines array<bigint>")
                   .dropDuplicates(["row"]), "pages-lines")
-    other = light.select(F.col("row").alias("other"), F.col("lines").alias("lines2"))
-    pairs = neighbours(light).join(light.select("row", "lines"), "row").join(other, "other").select("row", "lines", "lines2")
+    other = light.select(F.col("digest").alias("other"), F.col("lines").alias("lines2")).dropDuplicates(["other"])
+    pairs = light.select("row", "lines").join(neighbours(light, "digest"), "row").join(other, "other").select("row", "lines", "lines2")
     masks = pairs.mapInArrow(aligned, "row binary, shared array<int>")
     texts = src.mapInArrow(cut, f"row binary, page_id {kind}, url string, packed binary, roles array<int>")
     x = texts.join(masks, "row", "left").select("page_id", "url", "packed", "roles", "shared")

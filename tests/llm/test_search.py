@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -380,3 +381,71 @@ def test_neighbours_do_not_depend_on_partitions(spark):
     at = {r[0]: i for i, r in enumerate(order)}
     for row, other in one:
         assert abs(at[row] - at[other]) == 1 and row % 3 == other % 3
+
+
+def slow_neighbour(pages, host, path, digest):
+    """The digest of the page that a page is aligned with, by its definition (pages: host, path, digest)."""
+    versions = {}
+    for h, p, d in pages:
+        if h == host:
+            versions.setdefault(p, set()).add(d)
+    low, order = {p: min(v) for p, v in versions.items()}, sorted(versions)
+    at, found = order.index(path), []
+    for back, rest in ((True, order[:at][::-1]), (False, order[at + 1:])):
+        other = next((p for p in rest if low[p] != low[path]), None)
+        if other is not None and low[other] != digest:
+            a, b = path.split("/"), other.split("/")
+            found.append((next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))), back, low[other]))
+    own = versions[path] - {digest}
+    return max(found)[2] if found else min(own) if low[path] != digest else max(own) if own else None
+
+
+@pytest.mark.parametrize("parts", [1, 2, 7])
+def test_neighbours_match_their_definition(spark, parts):
+    """Copies under many paths, versions of one path, hosts of one page, a run of copies over many partitions."""
+    rng = random.Random(parts)
+    rows = {("only", "/", 5), ("twins", "/a", 1), ("twins", "/b", 1), ("twins", "/c", 1), ("dynamic", "/index", 1), ("dynamic", "/index", 2), ("dynamic", "/index", 3)}
+    rows |= {("hot", f"/{i:04}", 9) for i in range(300)} | {("hot", "/0150/x", 4), ("hot", "/9999", 3)}
+    rows |= {(f"h{rng.randint(0, 3)}", "/" + "/".join(rng.choice("abc") for _ in range(rng.randint(0, 3))), rng.randint(0, 4)) for _ in range(150)}
+    rows = sorted(rows)
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "row int, host string, path string, digest bigint").repartition(parts)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {r["row"]: r["other"] for r in html_text.neighbours(df, "digest").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for i, r in enumerate(rows):
+        assert got.get(i) == slow_neighbour(rows, *r), r
+
+
+def test_main_texts_match_brute_force(spark):
+    """Whole operator without containers: copies under two URLs, query variants, versions of a path, shared paragraphs."""
+    rng = random.Random(21)
+    top, end = "Home | News | Contact", "All rights reserved"
+    rows = [("http://two.org/a/1", page(top, "First.", end)), ("http://two.org/a/2", page(top, "First.", end)),
+            ("http://var.org/p?x=1", page(top, "Variant.", end)), ("http://var.org/p?x=2", page(top, "Variant.", end)), ("http://var.org/q", page(top, "Q.", end)),
+            ("http://ver.org/p?v=1", page(top, "Old text.", "Same paragraph.", end)), ("http://ver.org/p?v=2", page(top, "New text.", "Same paragraph.", end)),
+            ("http://ver.org/q", page(top, "Another.", end)), ("http://no.org/p?v=1", page("Wholly", "one")), ("http://no.org/p?v=2", page("other", "words"))]
+    for h in range(6):
+        for _ in range(12):
+            body = [rng.choice(["Alpha.", "Beta.", "Gamma.", f"Own {rng.randint(0, 99)}."]) for _ in range(rng.randint(0, 4))]
+            rows.append((f"http://h{h}.org/{rng.choice('xyz')}/{rng.randint(0, 5)}{rng.choice(['', '?q=1'])}", page(*([top] * (h % 2)), *body, end)))
+    rows += rows[::5]
+    at = [(u.split("/")[2], "/" + u.split("?")[0].split("/", 3)[3], html_text.lines_of(h)[0]) for u, h in rows]
+    digest = lambda x: xxhash.xxh3_128(b"".join(xxhash.xxh3_128_digest(y) for y in x)).digest()
+    known = sorted({(h, p, digest(x)) for h, p, x in at})
+    lines = {digest(x): x for _, _, x in at}
+    want = []
+    for h, p, x in at:
+        other = slow_neighbour(known, h, p, digest(x))
+        gone = set(html_text.common_lines(x, lines[other])) if other else set()
+        assert len(gone) == (lcs(x, lines[other]) if other else 0) and other != digest(x)
+        want.append(" ".join(t for i, t in enumerate(x) if i not in gone))
+    pages = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id int, url string, html string").repartition(5)
+    got = {r["page_id"]: r["text"] for r in html_text.main_texts(pages).collect()}
+    assert [got[i] for i in range(len(rows))] == want
+    assert got[0] == got[1] == f"{top} First. {end}"           # nothing on the host differs: all open lines stay
+    assert got[2] == got[3] == "Variant."                      # query variants of one path are not each other's neighbours
+    assert got[5] == "Old text. Same paragraph." and got[6] == "New text. Same paragraph."
+    assert got[8] == "Wholly one" and got[9] == "other words"

@@ -6,7 +6,8 @@ whether to go on to the next word), which maps small edit distance to small
 Hamming distance. Each of several walks is sampled at a few random places per
 repetition; windows as long as an item that agree with it in one repetition
 are candidates, and an exact word edit distance against the best place near
-the window decides. Repetitions are set by the target recall.
+the window decides. Repetitions are set by the target recall. The random bits
+are hashed from walk, step and word, so no table of them is kept.
 
 Windows are embedded only where they can lie within the distance: with at most
 ``k`` edits an item of ``n`` words leaves a run of ``(n - k) / (k + 1)`` words
@@ -15,14 +16,21 @@ words of an item stands in the document, at the start which this run implies,
 and where as many known runs stand as ``k`` edits must leave. This loses no
 window.
 
+Items of fewer than ``min_words`` words allow no edit. With ``short_items``
+they are matched exactly, as runs of words; without it they match nothing,
+which suits a filter, where a word or two are no evidence of a leak.
+
 Plan: one map over the documents per block of items; a document never leaves
 its task whole, and only matches come out. Items are a stated query set, sent
 to the tasks in blocks of at most ``BLOCK_ITEMS`` items and ``BLOCK_BYTES``
-bytes.
-
-Defined results: items of fewer than ``MIN_WORDS`` words (and null ones) match
-nothing; null or empty documents hold nothing; repeated documents or items
-each give their rows; other columns are ignored; empty tables give no rows.
+bytes. Walks are worked out by at most ``CELLS`` steps times windows, and
+texts searched by at most ``PART_WORDS`` words with the gaps between them, so
+memory does not grow with the longest item times the vocabulary.
+
+Defined results: null items and items without words match nothing; null or
+empty documents hold nothing; repeated documents or items each give their
+rows; other columns are ignored; empty tables give no rows. An item and a
+document give one row, the best place; of a short item the first.
 """
 
 from __future__ import annotations
@@ -42,12 +50,14 @@ by_value(__name__)
 MAX_EDITS = 0.2            # of the item's words: similarity 0.8
 MIN_WORDS = 5
 TARGET_RECALL = 0.99
-AGREE = 0.5                # share of a walk that two windows at the limit agree on (measured in the tests)
+AGREE = 0.5                # share of a walk that two windows at the limit are taken to agree on; the tests measure the recall it gives
 SAMPLES = 3                # places per repetition
 WALKS = 8
 BLOCK_ITEMS = 10_000
 BLOCK_BYTES = 16 << 20
 RUN = 3
+CELLS = 4_000_000          # steps times windows embedded at once
+PART_WORDS = 2_000_000     # words searched at once, gaps included
 
 
 def split_words(text: str | None) -> list[str]:
@@ -58,7 +68,14 @@ def repetitions(recall: float = TARGET_RECALL, agree: float = AGREE, samples: in
     return math.ceil(math.log(1 - recall) / math.log(1 - agree ** samples))
 
 
-def cgk(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, coins: np.ndarray) -> np.ndarray:
+def coin(words: np.ndarray, step: int, walk: int) -> np.ndarray:
+    """A random bit per word, the same for the same walk, step and word."""
+    x = words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((step + 1) * 0xD1342543DE82EF95 + (walk + 1) * 0xAF251AF3B0F025B5 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x >> np.uint64(63)).astype(np.int64)
+
+
+def cgk(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, walk: int) -> np.ndarray:
     """Embedding, one column per window of ``text``; row t is the word read at step t, zero after the window."""
     steps = 3 * int(lengths.max())
     at, out = np.zeros(len(starts), np.int64), np.zeros((steps, len(starts)), np.int32)
@@ -66,10 +83,19 @@ def cgk(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, coins: np.nda
         pos = starts + at
         inside = (at < lengths) & (pos >= 0) & (pos < len(text))
         out[t] = np.where(inside, text[np.where(inside, pos, 0)], 0)
-        at += coins[t, out[t]]
+        at += coin(out[t], t, walk)
     return out
 
 
+def _by_cells(lengths: np.ndarray):
+    """Places of windows in parts of at most ``CELLS`` cells (one window at least), windows of like length together."""
+    order = np.argsort(lengths, kind="stable")
+    while len(order):
+        n = max(1, int(np.searchsorted(3 * lengths[order] * np.arange(1, len(order) + 1), CELLS, "right")))
+        yield order[:n]
+        order = order[n:]
+
+
 def best_place(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     """Least edit distance of the item to any run of words of ``text``, and where that run ends."""
     row, steps = np.zeros(len(text) + 1, np.int64), np.arange(len(text) + 1)
@@ -97,20 +123,31 @@ def _together(near: list[np.ndarray], lengths: np.ndarray):
 class Items:
     """Items of a block, with their runs of words and their keys."""
 
-    def __init__(self, rows, max_edits: float, min_words: int, recall: float, agree: float):
+    def __init__(self, rows, max_edits: float, min_words: int, recall: float, agree: float, short_items: bool = False):
         self.vocab: dict[str, int] = {}
         self.rows = []                  # item id, words, edits allowed, run length
+        short: dict[int, list] = {}     # by length: items to be matched exactly
         for item_id, text in rows:
             w = split_words(text)
-            if len(w) >= min_words:
-                ids = np.array([self.vocab.setdefault(x, len(self.vocab) + 1) for x in w], np.int64)
+            if len(w) < min_words and not (short_items and w):
+                continue
+            ids = np.array([self.vocab.setdefault(x, len(self.vocab) + 1) for x in w], np.int64)
+            if len(w) < min_words:
+                short.setdefault(len(w), []).append((item_id, ids))
+            else:
                 k = int(max_edits * len(w) + 1e-9)
                 self.rows.append((item_id, ids, k, max(1, min(RUN, (len(w) - k) // (k + 1)))))
+        self.base = np.int64(len(self.vocab) + 1)
+        self.short = {}                 # by length: codes in order, their items, the items' words
+        for n, found in short.items():
+            ids = np.stack([x for _, x in found])
+            codes = np.concatenate([self.code(x, n) for x in ids])
+            order = np.argsort(codes, kind="stable")
+            self.short[n] = codes[order], [found[i][0] for i in order], ids[order]
         if not self.rows:
             return
         self.lengths = np.array([len(ids) for _, ids, _, _ in self.rows])
         self.edits = {len(ids): (k, q) for _, ids, k, q in self.rows}
-        self.base = np.int64(len(self.vocab) + 1)
         self.runs = {}                  # run length: codes, their first row and count in (code, item length, place in item)
         for q in range(1, RUN + 1):
             found = {(int(c), len(ids), s) for _, ids, _, run in self.rows if run == q
@@ -118,15 +155,17 @@ class Items:
             if found:
                 a = np.array(sorted(found), np.int64)
                 self.runs[q] = (*np.unique(a[:, 0], return_index=True, return_counts=True), a)
-        steps = 3 * int(self.lengths.max())
         rng = np.random.default_rng(9)
-        self.coins = [rng.integers(0, 2, (steps, int(self.base)), np.int8) for _ in range(WALKS)]
         # sampled places of every length, walk and repetition
         self.reps = -(-repetitions(recall, agree) // WALKS)
         share = rng.random((WALKS, self.reps, SAMPLES))
         self.places = lambda lengths, w, r: (share[w, r][:, None] * 3 * lengths).astype(np.int64)
         text, starts = np.concatenate([ids for _, ids, _, _ in self.rows]), np.cumsum(self.lengths) - self.lengths
-        self.tables = {wr: self._table(keys) for wr, keys in self.sampled(text, starts, self.lengths)}
+        keys = {(w, r): np.zeros(len(starts), np.uint64) for w in range(WALKS) for r in range(self.reps)}
+        for part in _by_cells(self.lengths):
+            for wr, key in self.sampled(text, starts[part], self.lengths[part]):
+                keys[wr][part] = key
+        self.tables = {wr: self._table(key) for wr, key in keys.items()}
 
     @staticmethod
     def _table(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,11 +184,11 @@ class Items:
         """Per walk and repetition a key for every window: its length and the sampled words."""
         cols = np.arange(len(starts))
         for w in range(WALKS):
-            e = cgk(text, starts, lengths, self.coins[w]).astype(np.uint64)
+            e = cgk(text, starts, lengths, w)
             for r in range(self.reps):
                 key = lengths.astype(np.uint64)
                 for place in self.places(lengths, w, r):
-                    key = (key ^ (key >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + e[place, cols]
+                    key = (key ^ (key >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + e[place, cols].astype(np.uint64)
                 yield (w, r), key
 
     def windows(self, ids: np.ndarray) -> np.ndarray:
@@ -179,16 +218,52 @@ class Items:
             out.append(pair[held[hi] - held[lo] >= np.maximum(1, pair[:, 1] - q + 1 - edits * q)])
         return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
+    def search_short(self, texts: list[np.ndarray]) -> list[tuple]:
+        """As ``search``, for the items that are matched exactly: the first place of each in every text."""
+        out = []
+        for n, (codes, items, words) in self.short.items():
+            for t, ids in enumerate(texts):
+                c = self.code(ids, n)
+                a = np.searchsorted(codes, c, "left")
+                at = np.flatnonzero(codes[np.minimum(a, len(codes) - 1)] == c)
+                new = np.sort(at[np.unique(c[at], return_index=True)[1]])        # a code's first place (codes may wrap: see below)
+                for p in new.tolist() if self.exact(n) else at.tolist():
+                    for m in range(int(a[p]), int(np.searchsorted(codes, c[p], "right"))):
+                        if (words[m] == ids[p:p + n]).all():
+                            out.append((t, m, n, p))
+        first = {}
+        for t, m, n, p in sorted(out, key=lambda x: x[3]):
+            first.setdefault((t, n, m), (t, self.short[n][1][m], 0, n, p, p + n))
+        return [first[x] for x in sorted(first)]
+
+    def exact(self, n: int) -> bool:
+        """Whether runs of n words have codes of their own; beyond that codes may meet, and every place is looked at."""
+        return int(self.base) ** n < 1 << 63
+
     def search(self, texts: list[np.ndarray]) -> list[tuple]:
         """(text, item id, edits, words, first word, word after the last) of every item within its distance, best place."""
-        if not self.rows or not texts:
+        out = self.search_short(texts) if self.short else []
+        if not self.rows:
+            return out
+        at, size, gap = 0, 0, 2 * int(self.lengths.max())
+        for n, t in enumerate(texts):
+            if size and size + gap + len(t) > PART_WORDS:
+                out += [(at + f[0], *f[1:]) for f in self.search_close(texts[at:n])]
+                at, size = n, 0
+            size += gap + len(t)
+        return out + [(at + f[0], *f[1:]) for f in self.search_close(texts[at:])]
+
+    def search_close(self, texts: list[np.ndarray]) -> list[tuple]:
+        """As ``search``, for the items that allow edits."""
+        if not texts:
             return []
         gap = np.zeros(2 * int(self.lengths.max()), np.int64)       # no window reaches the next text
         ids = np.concatenate([x for t in texts for x in (gap, t)])
         ends = np.cumsum([len(gap) + len(t) for t in texts])
         near: list[np.ndarray] = []
         pairs = self.windows(ids)
-        for part in np.array_split(pairs, -(-len(pairs) // 20_000)) if len(pairs) else []:
+        for places in _by_cells(pairs[:, 1]):
+            part = pairs[places]
             for wr, key in self.sampled(ids, part[:, 0], part[:, 1]):
                 keys, order = self.tables[wr]
                 a, b = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
@@ -226,7 +301,7 @@ def _parts(batch, most: int = 8 << 20):
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           item_id: str = "item_id", item_text: str = "text", max_edits: float = MAX_EDITS,
-          min_words: int = MIN_WORDS, recall: float = TARGET_RECALL, agree: float = AGREE,
+          min_words: int = MIN_WORDS, recall: float = TARGET_RECALL, agree: float = AGREE, short_items: bool = False,
           block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document and item found in it: doc_id, item_id, edits, item_words, first_word, end_word (best place)."""
     q = items.select(F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{item_text}`").alias("text")).where("text IS NOT NULL")
@@ -245,7 +320,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
         def run(batches, sent=sent):
             import pyarrow as pa
 
-            block = Items(sent.value, max_edits, min_words, recall, agree)
+            block = Items(sent.value, max_edits, min_words, recall, agree, short_items)
             get = block.vocab.get
             for batch in batches:
                 for part in _parts(batch):

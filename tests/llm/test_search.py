@@ -2,6 +2,7 @@
 
 import random
 import timeit
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -119,6 +120,61 @@ def test_leaks_in_blocks_are_the_same(spark):
     assert one == sorted(map(tuple, decontam.leaks(docs, bench, block_items=7).collect())) and one
 
 
+def test_short_items_match_exactly(spark):
+    """Items of one to four words against every run of words of every document; repeated items and documents each give rows."""
+    rng = random.Random(13)
+    voc = ["a", "b", "c", "The", "é", "日本"]
+    items = [(i, " ".join(rng.choices(voc, k=rng.randint(1, 4)))) for i in range(40)] + [(0, "a b"), (50, ""), (51, None), (52, "absent word")]
+    rows = [(d, " ".join(rng.choices([*voc, "x"], k=rng.randint(0, 9)))) for d in range(80)] + [(3, "a b c"), (90, None), (91, "the THE a b a b")]
+    want = Counter()
+    for d, t in rows:
+        w = (t or "").lower().split()
+        for i, text in items:
+            v = (text or "").lower().split()
+            at = next((p for p in range(len(w) - len(v) + 1) if w[p:p + len(v)] == v), None) if v else None
+            if at is not None:
+                want[d, i, 0, len(v), at, at + len(v)] += 1
+    docs, bench = spark.createDataFrame(rows, "doc_id int, text string").repartition(3), spark.createDataFrame(items, "item_id int, text string")
+    assert Counter(map(tuple, decontam.leaks(docs, bench, short_items=True).collect())) == want and want
+    assert decontam.leaks(docs, bench).count() == 0
+
+
+def test_short_items_whose_codes_meet():
+    """A vocabulary so large that codes of four words wrap: still exact."""
+    rows = [(i, " ".join(f"v{j}" for j in range(i, i + 4))) for i in range(10, 69_990, 4)] + [("four", "v1 v2 v3 v4"), ("last", "v69996 v69997 v69998 v69999")]
+    block = decontam.Items(rows, 0.2, 5, 0.99, 0.5, True)
+    assert not block.exact(4) and block.exact(3)
+    ids = lambda t: np.array([block.vocab.get(w, 0) for w in t.split()], np.int64)
+    found = block.search_short([ids("x v1 v2 v3 v4 v1 v2 v3 v4"), ids(""), ids("v69996 v69997 v69998 x v69996 v69997 v69998 v69999")])
+    assert found == [(0, "four", 0, 4, 1, 5), (2, "last", 0, 4, 4, 8)]
+
+
+def test_very_long_items_in_bounded_memory():
+    """An item of 5,000 words in a block of 50,000 words: found after edits, and tables and walks stay small."""
+    rng = random.Random(17)
+    long = [f"l{rng.randint(0, 20_000)}" for _ in range(5000)]
+    rows = [("long", " ".join(long))] + [(i, " ".join(f"s{rng.randint(0, 50_000)}" for _ in range(40))) for i in range(900)]
+    tracemalloc.start()
+    block = decontam.Items(rows, 0.2, 5, 0.99, 0.5)
+    edited = [w if rng.random() > 0.05 else "other" for w in long]
+    texts = [["before"] * 30 + edited + ["after"] * 9, rows[7][1].split()] + [["x"] * 20] * 300
+    found = block.search([np.array([block.vocab.get(w, 0) for w in t], np.int64) for t in texts])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(t, i) for t, i, *_ in found] == [(0, "long"), (1, 6)] and found[0][4:] == (30, 5030)
+    assert peak < 1 << 30
+
+
+def test_parts_change_nothing(monkeypatch):
+    items, rows = planted(8, 0.1, 40)
+    search = lambda: (lambda b: sorted(b.search([np.array([b.vocab.get(w, 0) for w in t.split()], np.int64) for _, _, t in rows])))(
+        decontam.Items(items, 0.2, 5, 0.99, 0.5))
+    whole = search()
+    monkeypatch.setattr(decontam, "CELLS", 500)
+    monkeypatch.setattr(decontam, "PART_WORDS", 700)
+    assert search() == whole and whole
+
+
 # ---- packing ----------------------------------------------------------------------
 
 def check_packing(rows, capacity):

@@ -79,6 +79,10 @@ WORD_RULES = (
 )
 
 
+#: So many rules are written into the plan itself; more are a table of their own.
+LITERAL_RULES = 500
+
+
 def host_and_path(url) -> tuple[F.Column, F.Column]:
     u = F.coalesce(url, F.lit(""))
     at = F.instr(u, "://")
@@ -100,12 +104,18 @@ def url_verdicts(pages: DataFrame, rules: tuple[UrlRule, ...] = HOST_RULES + WOR
         F.filter(F.split(F.lower(F.concat("host", "path")), "[^a-z0-9]+"), lambda t: t != ""), F.array(F.lit(""))))
     urls = urls.withColumn("_tokens", tokens)
 
-    rule_rows = spark.createDataFrame(
-        [(i, r.verdict, r.name, r.pattern, r.priority, len(r.name), list(r.literals) or [""])
-         for i, r in enumerate(rules)],
-        "rule_id int, r_verdict string, r_name string, r_pattern string, r_priority int, r_length int, r_literals array<string>")
-    rule_tokens = rule_rows.select("rule_id", F.explode("r_literals").alias("token"))
     small = len(rules) <= broadcast_rules
+    row = lambda i, r: (i, r.verdict, r.name, r.pattern, r.priority, len(r.name), list(r.literals) or [""])
+    names = ["rule_id", "r_verdict", "r_name", "r_pattern", "r_priority", "r_length", "r_literals"]
+    if 0 < len(rules) <= LITERAL_RULES:      # part of the plan: no Python worker reads them
+        structs = [F.struct(*[F.array(*map(F.lit, v)).alias(c) if isinstance(v, list) else F.lit(v).alias(c) for c, v in zip(names, row(i, r))])
+                   for i, r in enumerate(rules)]
+        rule_rows = spark.range(1).select(F.explode(F.array(*structs)).alias("r")).select("r.*")
+    else:
+        rule_rows = spark.createDataFrame([row(i, r) for i, r in enumerate(rules)],
+                                          "rule_id int, r_verdict string, r_name string, r_pattern string, r_priority int, r_length int, "
+                                          "r_literals array<string>")
+    rule_tokens = rule_rows.select("rule_id", F.explode("r_literals").alias("token"))
     near = F.broadcast if small else (lambda df: df)
     wanted = rule_tokens.select("token").distinct()
     counts = (urls.select(F.explode("_tokens").alias("token")).join(near(wanted), "token", "left_semi")

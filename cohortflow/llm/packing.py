@@ -24,6 +24,7 @@ rows each are packed; other columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import bisect
+import unicodedata
 from array import array
 
 import numpy as np
@@ -39,8 +40,8 @@ by_value(__name__)
 CAPACITY = 4096
 END_ID = 1
 SALTS = 32
-#: Distinct words whose ids a worker keeps; beyond that it begins anew.
-CACHE_WORDS = 800_000
+#: Distinct words whose ids a worker keeps: half of them as the older ones, of which those that come up again stay.
+CACHE_WORDS = 700_000
 
 
 class WordIds:
@@ -62,8 +63,11 @@ class WordIds:
         # Spark reuses a worker process for many tasks: what one has learned helps the next
         kept = vars(tokenizers).setdefault("_known_words", {})
         if path not in kept:
-            kept[path] = (tokenizers.Tokenizer.from_file(path), {})
-        self.tokenizer, self.known = kept[path]
+            kept[path] = (tokenizers.Tokenizer.from_file(path), {}, {})
+        self.tokenizer, self.known, self.older = kept[path]
+        # the letter that stands for a byte in the vocabulary: printable ones themselves, the others from 256 on
+        odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+        self.letter = {b: 256 + n for n, b in enumerate(odd)}
         # two bytes a token while they hold all ids
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
@@ -71,33 +75,51 @@ class WordIds:
         got = self.tokenizer.encode_batch_fast([x.decode() for x in words], add_special_tokens=False)
         return {x: np.array(e.ids, self.kind).tobytes() for x, e in zip(words, got)}
 
-    def _letters(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of words of small ASCII letters only: they pass the tokenizer's other steps as they are, so its model alone is asked."""
-        ask, kind = self.tokenizer.model.tokenize, "H" if self.kind == "<u2" else "I"
-        return {x: array(kind, [t.id for t in ask(x.decode())]).tobytes() for x in words}
-
     def learn(self, words: set[bytes]) -> None:
-        """Add the ids of all words that are not known yet."""
-        known, parts, marks = self.known, [], self.MARKS
-        if len(known) > CACHE_WORDS:
+        """Add the ids of all words that are not known yet.
+
+        Small letters below U+0100 pass the tokenizer's other steps as they are: its model alone is asked for them, by
+        the letters that stand for their bytes.
+        """
+        known, older, marks, letter = self.known, self.older, self.MARKS, self.letter
+        if len(known) > CACHE_WORDS // 2:
+            older.clear()
+            older.update(known)
             known.clear()
+        ask, kind, get, old = self.tokenizer.model.tokenize, "H" if self.kind == "<u2" else "I", known.get, older.get
+        other = []                               # (word, what the tokenizer is asked for, marks behind it)
         for w in words.difference(known):
+            if (ids := old(w)) is not None:
+                known[w] = ids
+                continue
             core = w.rstrip(marks)
             if core.isalpha():                   # of bytes: ASCII letters
-                core, tail = core.lower(), w[len(core):]
-            elif core and not core.isascii() and core.decode().isalpha():
-                tail = w[len(core):]
+                small = core.lower()
+                text = small.decode()
             else:
-                core, tail = w, b""              # one piece: marks may join what stands before them
-            parts.append((w, core, tail))
-        new = {c for _, c, _ in parts}.difference(known)
-        ids = {b"": b""} | self._letters([x for x in new if x.isalpha()])
-        other = list(new.difference(ids) | {t for _, _, t in parts if t and t not in known})
-        for at in range(0, len(other), 50_000):
-            ids |= self._one_by_one(other[at:at + 50_000])
-        of = lambda x: ids[x] if x in ids else known[x]
-        known.update([(w, of(c) + of(t) if t else of(c)) for w, c, t in parts])
-        known.update(ids)
+                text = "" if core.isascii() else unicodedata.normalize("NFC", core.decode()).lower()
+                if not text.isalpha():           # one piece: marks may join what stands before them
+                    other.append((w, w, b""))
+                    continue
+                if max(text) >= "\u0100":
+                    other.append((w, core, w[len(core):]))
+                    continue
+                small = text.encode()
+                text = small.decode("latin-1").translate(letter)
+            if (ids := get(small)) is None:
+                if (ids := old(small)) is None:
+                    ids = array(kind, [t.id for t in ask(text)]).tobytes()
+                known[small] = ids
+            if len(core) < len(w):
+                tail = w[len(core):]
+                if (more := get(tail)) is None:
+                    more = known[tail] = self._one_by_one([tail])[tail]
+                ids += more
+            known[w] = ids
+        asked = list({x for _, c, t in other for x in (c, t)})
+        for at in range(0, len(asked), 50_000):
+            known.update(self._one_by_one(asked[at:at + 50_000]))
+        known.update([(w, known[c] + known[t]) for w, c, t in other if w is not c])
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         split = [t.split() for t in texts]       # ASCII white space

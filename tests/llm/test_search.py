@@ -226,6 +226,20 @@ def test_sequences_hold_the_tokens(spark, docs):
         assert len(tokens) <= 512
 
 
+@pytest.mark.parametrize("kept", [packing.CACHE_WORDS, 40])
+def test_word_ids_are_the_tokenizers(monkeypatch, kept):
+    """Any letters, marks behind them, a dotted capital I, letters that are taken apart; words forgotten and met again."""
+    monkeypatch.setattr(packing, "CACHE_WORDS", kept)
+    tok, ids = Tokenizer.from_file(TOKENIZER), packing.WordIds(TOKENIZER)
+    texts = [f"{chr(c)}a A{chr(c)}, {chr(c)}! {chr(c).upper()}.;" for c in [*range(33, 0x250), *range(0x904, 0x960), 0x1E9E, 0x212A]]
+    texts += ["", " \t\n", "Straße, STRASSE. Œuvre; œuvre! naïve É. é! ½ a½ 日本語 привет, ΣΑΣ. it's I'LL x_y", "e\u0301t\u0301. \u00a0x\u0085y"]
+    for part in (texts, texts[::-1]):
+        for at in range(0, len(part), 25):
+            some = part[at:at + 25]
+            want = [e.ids for e in tok.encode_batch(some, add_special_tokens=False)]
+            assert [x.tolist() for x in ids([t.encode() for t in some])] == want
+
+
 def test_packing_is_that_of_the_counts(spark, docs):
     """As many sequences as the solver needs for all pieces at once, however the rows are dealt."""
     rows = packing.pack(docs, TOKENIZER, 512).collect()

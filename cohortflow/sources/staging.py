@@ -32,9 +32,9 @@ from ..operators.base import MONTH_PARTITION
 from ..session import shared_path
 from .catalog import ParquetCatalog
 from .schemas import LOGICAL_SCHEMAS
-from .tpch_adapter import DRIVER_SCHEMAS, driver_catalog
+from .tpch_adapter import DRIVER_SCHEMAS, driver_catalog, order_shape
 
-ADAPTER_VERSION = "6"
+ADAPTER_VERSION = "7"
 DONE = "_STAGED"
 
 
@@ -93,14 +93,16 @@ def stage(spark: SparkSession, sf_dir: str, target: str) -> None:
     """Derive every logical table from the driver tables and write it under ``target``."""
     cat = driver_catalog(spark, sf_dir)
     for name, schema in LOGICAL_SCHEMAS.items():
-        df = cat["fact_orders_nested"] if name == "fact_orders" else cat[name]
-        df = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
-        out = df.write
+        columns = [F.col(f.name).cast(f.dataType) for f in schema.fields]
         if name == "fact_orders":
             # a folder a month; months of many rows are split and small ones share a task (sizes measured at
-            # run time), and files are sorted by date, so row-group statistics skip days within a month
-            out = (df.withColumn(MONTH_PARTITION, F.trunc("registered_date", "month")).hint("rebalance", MONTH_PARTITION)
-                   .sortWithinPartitions(MONTH_PARTITION, "registered_date").write.partitionBy(MONTH_PARTITION))
+            # run time), and files are sorted by date, so row-group statistics skip days within a month;
+            # rows are shuffled and sorted flat and get their structs and arrays on the way to the files
+            rows = (cat["order_item_rows"].withColumn(MONTH_PARTITION, F.trunc("registered_date", "month"))
+                    .hint("rebalance", MONTH_PARTITION).sortWithinPartitions(MONTH_PARTITION, "registered_date"))
+            out = order_shape(rows).select(*columns, MONTH_PARTITION).write.partitionBy(MONTH_PARTITION)
+        else:
+            out = cat[name].select(*columns).write
         out.mode("overwrite").parquet(f"{target}/{name}")
 
 

@@ -9,18 +9,22 @@ Scale notes
 * ``firstSuccessful`` (a customer's earliest confirmed order) is computed with
   a grouped ``min(struct(date, key))`` -- partial aggregation happens map-side,
   so a customer owning a third of all orders costs one row per task in the
-  shuffle -- and attached by a join on the customer key (one row per key on
-  the build side; adaptive execution splits a hot probe partition).
-* the partner of an order is ``min(l_suppkey)`` per order: a partial
-  aggregate keyed by order, joined back on the unique order key.
+  shuffle. It meets the customer's attributes first, so the orders are shuffled
+  by customer once (adaptive execution splits a hot probe partition).
+* the partner of an order is ``min(l_suppkey)`` per order. The nested fact gets
+  it from the aggregate that collects the order's items: the line items are
+  shuffled once, into partitions of a bounded size, and nothing is sorted that
+  does not fit a task.
+* rows travel flat; ``order_shape`` makes structs and arrays of them at the end.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..operators.base import MONTH_PARTITION
+from ..session import table_bytes, written
 from .catalog import Catalog
 from .schemas import DIM_SUBSIDIZED_CAMPAIGN, DIM_TALON_CAMPAIGNS
 
@@ -49,6 +53,10 @@ def _confirmed(status: Column) -> Column:
 #: Line items that one row holds in its arrays at most.
 ITEM_CHUNK = 4096
 
+#: Bytes of the line item files that one partition by order holds (about half a million line items): a task sorts
+#: them in memory, however large the table is.
+PARTITION_BYTES = 8 << 20
+
 # Schemas of the driver tables the adapter reads (declared, not inferred: no
 # footer reads at planning time). The files hold time-zone-naive timestamps:
 # reading them as TIMESTAMP_NTZ keeps dates independent of the session zone.
@@ -67,6 +75,21 @@ DRIVER_SCHEMAS = {
 }
 
 
+#: details and discounts of the items that travel as (l_partkey, l_discount)
+ITEM_ARRAYS = (
+    "transform(items, i -> struct(struct(i.l_partkey AS product_id) AS product, i.l_discount >= 0.09 AS is_subsidized)) AS details",
+    "transform(filter(items, i -> i.l_discount > 0), i -> struct(i.l_discount AS amount)) AS discounts")
+
+
+def order_shape(rows: DataFrame) -> DataFrame:
+    """The fact's nested columns from its flat rows; with ``items`` also the ``details``/``discounts`` arrays."""
+    return rows.selectExpr(
+        "order_id", "struct(user_id AS id) AS user", "struct(partner_id AS id) AS restaurant", "registered_date", "country_id",
+        "CASE WHEN confirmed THEN 'CONFIRMED' ELSE 'REJECTED' END AS order_status", "struct(first AS firstSuccessful) AS data",
+        "has_voucher_discount", "shipping_amount_no_discount", "order_id % 2 = 0 AS with_logistics", "is_user_plus",
+        *(ITEM_ARRAYS if "items" in rows.columns else ()), *(c for c in rows.columns if c == MONTH_PARTITION))
+
+
 def driver_catalog(spark: SparkSession, sf_dir: str, chunk: int = ITEM_CHUNK) -> Catalog:
     raw: dict[str, DataFrame] = {}
 
@@ -77,66 +100,75 @@ def driver_catalog(spark: SparkSession, sf_dir: str, chunk: int = ITEM_CHUNK) ->
             raw[name] = spark.read.schema(DRIVER_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
         return raw[name]
 
-    def fact_orders() -> DataFrame:
-        o = read("orders")
-        c = read("customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-        partner = (read("lineitem").groupBy("l_orderkey")
-                   .agg(F.min("l_suppkey").alias("partner_id")))
-        first = (o.where(_confirmed(F.col("o_orderstatus")))
+    def customers() -> DataFrame:
+        """Per customer key its attributes and earliest confirmed order; the key NULL has the order only."""
+        c = read("customer").where("c_custkey IS NOT NULL").select("c_custkey", "c_nationkey", "c_mktsegment")
+        first = (read("orders").where(_confirmed(F.col("o_orderstatus")))
                  .groupBy(F.col("o_custkey").alias("f_custkey"))
                  .agg(F.min(F.struct("o_orderdate", "o_orderkey"))["o_orderkey"]
                       .alias("first_orderkey")))
-        j = (o.join(c, o.o_custkey == c.c_custkey, "left")
-             .join(first, o.o_custkey.eqNullSafe(first.f_custkey), "left")
-             .join(partner, o.o_orderkey == partner.l_orderkey, "left"))
-        confirmed = _confirmed(F.col("o_orderstatus"))
-        return j.select(
-            F.col("o_orderkey").alias("order_id"),
-            F.struct(F.col("o_custkey").alias("id")).alias("user"),
-            F.struct(F.col("partner_id").alias("id")).alias("restaurant"),
-            F.to_date("o_orderdate").alias("registered_date"),
-            F.when(F.col("c_nationkey") < 20, 3).otherwise(1).cast("int").alias("country_id"),
-            F.when(confirmed, "CONFIRMED").otherwise("REJECTED").alias("order_status"),
-            F.struct((confirmed & F.coalesce(F.col("o_orderkey") == F.col("first_orderkey"),
-                                             F.lit(False))).alias("firstSuccessful")).alias("data"),
-            F.when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(0).cast("int")
-            .alias("has_voucher_discount"),
-            F.when(F.col("o_orderpriority") == "5-LOW", 0.0).otherwise(9.5)
-            .alias("shipping_amount_no_discount"),
-            (F.col("o_orderkey") % 2 == 0).alias("with_logistics"),
-            F.when(F.col("c_mktsegment") == "BUILDING", 1).otherwise(0).cast("int")
-            .alias("is_user_plus"),
-        )
+        return first.join(c, first.f_custkey == c.c_custkey, "full").selectExpr(
+            "coalesce(f_custkey, c_custkey) AS custkey", "first_orderkey",
+            "CASE WHEN c_nationkey < 20 THEN 3 ELSE 1 END AS country_id",
+            "CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END AS is_user_plus")
 
-    def chunked_items(more: bool) -> DataFrame:
-        """(order_id, chunk, details, discounts): the first chunk of every order, or the others of very large ones.
+    def order_rows(partner: DataFrame) -> DataFrame:
+        """The fact as flat rows; ``partner`` has ``l_orderkey``, ``partner_id`` and what else goes along."""
+        confirmed = _confirmed(F.col("o_orderstatus"))
+        o = read("orders").select(
+            F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("user_id"),
+            F.to_date("o_orderdate").alias("registered_date"), confirmed.alias("confirmed"),
+            F.when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(0).alias("has_voucher_discount"),
+            F.when(F.col("o_orderpriority") == "5-LOW", 0.0).otherwise(9.5).alias("shipping_amount_no_discount"))
+        c = customers()
+        j = (o.join(c, o.user_id.eqNullSafe(c.custkey), "left")
+             .withColumn("first", F.col("confirmed") & F.coalesce(F.col("order_id") == F.col("first_orderkey"), F.lit(False)))
+             .withColumn("country_id", F.coalesce("country_id", F.lit(1)))
+             .withColumn("is_user_plus", F.coalesce("is_user_plus", F.lit(0)))
+             .drop("custkey", "first_orderkey"))
+        return j.join(partner, j.order_id == partner.l_orderkey, "left").drop("l_orderkey")
 
-        Only orders of more than ``chunk`` items are dealt into several rows, by a hash of the row's
-        number in the scan and into twice the chunks needed, so that a chunk stays below its bound;
-        they are found by a count that combines map-side.
+    def fact_orders() -> DataFrame:
+        return order_shape(order_rows(read("lineitem").groupBy("l_orderkey").agg(F.min("l_suppkey").alias("partner_id"))))
+
+    def large_orders() -> DataFrame:
+        """Orders of more than ``chunk`` items, with their chunks and partner, written once: the planner knows how few they are."""
+        if "large" not in raw:
+            raw["large"] = written(
+                read("lineitem").where("l_orderkey IS NOT NULL").groupBy(F.col("l_orderkey").alias("large_id"))
+                .agg(F.count("*").alias("items"), F.min("l_suppkey").alias("large_partner")).where(F.col("items") > chunk)
+                .selectExpr("large_id", f"CAST(ceil(2 * items / {chunk}) AS INT) AS chunks", "large_partner"), "orders-large")
+        return raw["large"]
+
+    def chunked_lines(more: bool) -> DataFrame:
+        """Line items with the chunk of their order: the first chunk of every order, or the others of very large ones.
+
+        Only orders of more than ``chunk`` items are dealt into several chunks, by a hash of the row's
+        number in the scan and into twice the chunks needed, so that a chunk stays below its bound.
         """
-        li = read("lineitem").withColumn("row", F.monotonically_increasing_id())
-        large = (read("lineitem").groupBy(F.col("l_orderkey").alias("large_id")).agg(F.count("*").alias("items"))
-                 .where(F.col("items") > chunk).select("large_id", F.expr(f"CAST(ceil(2 * items / {chunk}) AS INT)").alias("chunks")))
-        x = li.join(large, li.l_orderkey == large.large_id, "inner" if more else "left") \
-            .withColumn("chunk", F.expr("coalesce(CAST(pmod(xxhash64(row), chunks) AS INT), 0)")).where("chunk > 0" if more else "chunk = 0")
-        return x.groupBy(F.col("l_orderkey").alias("order_id"), "chunk").agg(
-            F.collect_list(F.struct(
-                F.struct(F.col("l_partkey").alias("product_id")).alias("product"),
-                (F.col("l_discount") >= 0.09).alias("is_subsidized"))).alias("details"),
-            F.collect_list(F.when(F.col("l_discount") > 0,
-                                  F.struct(F.col("l_discount").alias("amount"))))
-            .alias("discounts"),
-        )
-
-    def fact_orders_nested() -> DataFrame:
-        """fact_orders with its ``details``/``discounts`` arrays (empty when no items; the first chunk of very many)."""
-        items = chunked_items(False).drop("chunk")
-        f = fact_orders().join(items, "order_id", "left")
-        empty_d = F.array().cast(T.ArrayType(items.schema["details"].dataType.elementType))
-        empty_x = F.array().cast(T.ArrayType(items.schema["discounts"].dataType.elementType))
-        return f.withColumn("details", F.coalesce("details", empty_d)) \
-                .withColumn("discounts", F.coalesce("discounts", empty_x))
+        li, large = read("lineitem").withColumn("row", F.monotonically_increasing_id()), large_orders()
+        return (li.join(large, li.l_orderkey == large.large_id, "inner" if more else "left")
+                .withColumn("chunk", F.expr("coalesce(CAST(pmod(xxhash64(row), chunks) AS INT), 0)"))
+                .where("chunk > 0" if more else "chunk = 0 AND l_orderkey IS NOT NULL")
+                .select("l_orderkey", "chunk", "l_partkey", "l_discount", "l_suppkey"))
+
+    def order_items_more() -> DataFrame:
+        return (chunked_lines(True).groupBy(F.col("l_orderkey").alias("order_id"), "chunk")
+                .agg(F.collect_list(F.struct("l_partkey", "l_discount")).alias("items"))
+                .selectExpr("order_id", "chunk", *ITEM_ARRAYS))
+
+    def order_item_rows() -> DataFrame:
+        """The fact as flat rows with its ``items`` (empty when none; the first chunk of very many)."""
+        size = table_bytes(spark, f"{sf_dir}/lineitem.parquet")
+        parts = max(spark.sparkContext.defaultParallelism, -(-size // PARTITION_BYTES))
+        # the partner of a large order is that of all its chunks: a row of its own, which is no item
+        partners = large_orders().selectExpr("large_id", "CAST(NULL AS BIGINT)", "CAST(NULL AS DOUBLE)", "large_partner", "false")
+        items = (chunked_lines(False).selectExpr("l_orderkey", "l_partkey", "l_discount", "l_suppkey", "true AS item").union(partners)
+                 .repartition(parts, "l_orderkey").groupBy("l_orderkey")
+                 .agg(F.collect_list(F.expr("CASE WHEN item THEN struct(l_partkey, l_discount) END")).alias("items"),
+                      F.min("l_suppkey").alias("partner_id")))
+        none = F.array().cast(items.schema["items"].dataType)
+        return order_rows(items).withColumn("items", F.coalesce("items", none))
 
     def dim_partner() -> DataFrame:
         s = read("supplier")
@@ -206,8 +238,9 @@ def driver_catalog(spark: SparkSession, sf_dir: str, chunk: int = ITEM_CHUNK) ->
 
     return Catalog(spark, {
         "fact_orders": fact_orders,
-        "fact_orders_nested": fact_orders_nested,
-        "order_items_more": lambda: chunked_items(True),
+        "fact_orders_nested": lambda: order_shape(order_item_rows()),
+        "order_item_rows": order_item_rows,
+        "order_items_more": order_items_more,
         "dim_partner": dim_partner,
         "fact_wallet": fact_wallet,
         "fact_talon_coupons": fact_talon_coupons,

@@ -88,3 +88,73 @@ def test_work_folder_is_released(spark):
     df = written(spark.range(5), "numbers")
     assert df.count() == 5 and os.path.isdir(path)
     assert release(spark) and not os.path.exists(path)
+
+
+def _driver_tables(spark, path, **rows):
+    """Small driver tables of given rows; the rest is empty."""
+    from cohortflow.sources.tpch_adapter import DRIVER_SCHEMAS
+    for name, schema in DRIVER_SCHEMAS.items():
+        spark.createDataFrame(rows.get(name, []), schema).write.parquet(f"{path}/{name}.parquet")
+
+
+def test_fact_is_derived_with_few_shuffles(spark, tmp_path):
+    """Line items and their counts go by order once, the orders by customer once and by order once."""
+    from cohortflow.sources.tpch_adapter import driver_catalog
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "3k")      # only the table of large orders, which is empty, is below it
+    try:
+        cat = driver_catalog(spark, SF)
+        plans = {n: cat[n]._jdf.queryExecution().executedPlan().toString() for n in ("fact_orders_nested", "order_items_more")}
+    finally:
+        spark.conf.set(key, old)
+    assert plans["order_items_more"].count("Exchange hashpartitioning") == 1
+    # orders by customer and by order, first orders, customers, both joined, line items
+    assert plans["fact_orders_nested"].count("Exchange hashpartitioning") <= 6
+    assert plans["fact_orders_nested"].count("Exchange hashpartitioning(l_orderkey") == 1
+
+
+def test_derived_fact_of_odd_rows(spark, tmp_path):
+    """Orders without customer or key, repeated customers and orders, null items: as the plain joins have them."""
+    import datetime as dt
+
+    from cohortflow.sources.tpch_adapter import driver_catalog
+    day = [dt.datetime(1997, 1, d) for d in range(1, 10)]
+    orders = [(1, 10, "F", 1.0, day[3], "1-URGENT"), (2, 10, "P", 1.0, day[2], "5-LOW"), (3, None, "F", 1.0, day[5], None),
+              (4, None, "F", 1.0, day[4], "5-LOW"), (5, 11, "O", 1.0, day[1], None), (6, 12, None, 1.0, day[1], None),
+              (None, 11, "F", 1.0, day[7], None), (1, 13, "F", 1.0, day[3], None), (7, 99, "F", 1.0, None, None)]
+    customer = [(10, "a", 3, 0.0, "BUILDING"), (10, "b", 22, 0.0, None), (None, "c", 1, 0.0, "BUILDING"), (11, "d", None, 0.0, "X"),
+                (12, "e", 1, 0.0, "BUILDING"), (50, "f", 1, 0.0, "BUILDING")]
+    lines = [(1, 5, 8), (1, 6, 7), (2, None, 9), (4, 7, None), (None, 8, 1), (60, 1, 1)]
+    discounts = [0.1, 0.0, None, 0.05, 0.1, 0.1]
+    lineitem = [(o, p, s, 1, 1.0, 1.0, d, 0.0, "R", "O", day[0]) for (o, p, s), d in zip(lines, discounts)]
+    _driver_tables(spark, str(tmp_path), orders=orders, customer=customer, lineitem=lineitem)
+
+    confirmed = [o for o in orders if o[2] in ("F", "P")]
+    least = {c: min((o[4] or dt.datetime.min, o[0] or -1) for o in confirmed if o[1] == c) for c in {o[1] for o in confirmed}}
+    wanted = []
+    for k, c, status, _, date, priority in orders:
+        ok = status in ("F", "P")
+        items = [(p, s, d) for (o, p, s), d in zip(lines, discounts) if o == k and k is not None]
+        partner = min((s for _, s, _ in items if s is not None), default=None)
+        for nation, segment in [(x[2], x[4]) for x in customer if x[0] == c and c is not None] or [(None, None)]:
+            wanted.append((k, c, partner, date and date.date(), 3 if nation is not None and nation < 20 else 1, "CONFIRMED" if ok else "REJECTED",
+                           ok and k is not None and (date or dt.datetime.min, k) == least[c], int(priority == "1-URGENT"),
+                           0.0 if priority == "5-LOW" else 9.5, None if k is None else k % 2 == 0, int(segment == "BUILDING"),
+                           sorted((str(p), str(None if d is None else d >= 0.09)) for p, _, d in items),
+                           sorted(d for _, _, d in items if d is not None and d > 0)))
+    for chunk in (4096, 1):
+        cat = driver_catalog(spark, str(tmp_path), chunk=chunk)
+        found, more = cat["fact_orders_nested"].collect(), cat["order_items_more"].collect()
+        flat = sorted(str(r) for r in cat["fact_orders"].collect())
+        assert flat == sorted(str(r) for r in cat["fact_orders_nested"].drop("details", "discounts").collect())
+        got = []
+        for r in found:
+            rest = [m for m in more if m.order_id == r.order_id]
+            dets = [d for x in (r, *rest) for d in x.details]
+            got.append((r.order_id, r.user.id, r.restaurant.id, r.registered_date, r.country_id, r.order_status, r.data.firstSuccessful,
+                        r.has_voucher_discount, r.shipping_amount_no_discount, r.with_logistics, r.is_user_plus,
+                        sorted((str(d.product.product_id), str(d.is_subsidized)) for d in dets),
+                        sorted(d.amount for x in (r, *rest) for d in x.discounts)))
+        assert sorted(map(str, got)) == sorted(map(str, wanted))
+        assert chunk == 1 or not more

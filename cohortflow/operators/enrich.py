@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from ..sources.catalog import Catalog
 from .base import flat_orders
 
@@ -59,12 +60,15 @@ def details(cat: Catalog) -> DataFrame:
 
 
 def enrich_product(cat: Catalog) -> DataFrame:
-    d = details(cat)
+    """The product chain is joined and written first, as product and whether it is known: the planner then knows its size,
+    and the details meet it in one join (shuffled once at most, and a hot product's join can be split)."""
     dprod = cat["dim_product"].select(F.col("product_id").alias("dim_product_id"))
     prod = cat["product"].select(F.col("id").alias("product_ref_id"))
-    j = d.join(dprod, d.product_id == dprod.dim_product_id, "left")
-    j = j.join(prod, j.dim_product_id == prod.product_ref_id, "left")
-    return j.select("order_id", "product_id", "dim_product_id", "product_ref_id")
+    chain = written(dprod.join(prod, dprod.dim_product_id == prod.product_ref_id, "left")
+                    .selectExpr("dim_product_id", "product_ref_id IS NOT NULL AS known"), "products")
+    d = details(cat)
+    return (d.join(chain, d.product_id == chain.dim_product_id, "left")
+            .selectExpr("order_id", "product_id", "dim_product_id", "CASE WHEN known THEN dim_product_id END AS product_ref_id"))
 
 
 def enrich_subsidized(cat: Catalog) -> DataFrame:

@@ -158,3 +158,27 @@ def test_derived_fact_of_odd_rows(spark, tmp_path):
                         sorted(d.amount for x in (r, *rest) for d in x.discounts)))
         assert sorted(map(str, got)) == sorted(map(str, wanted))
         assert chunk == 1 or not more
+
+
+def test_details_meet_the_product_chain_once(spark):
+    """One join by product: right rows for repeated, unknown and missing products, one shuffle of the details."""
+    from cohortflow.operators.enrich import enrich_product
+    from cohortflow.sources.catalog import frames_catalog
+    products, chain = [1, 1, 2, 3, None], [1, 2, 2, 4, None]
+    orders = {100: [1, 2, None], 101: [3, 4], 102: [], 103: [1]}
+    fact = [(o, None, None, None, 3, "CONFIRMED", None, 0, 0.0, True, 0, [((p,), True) for p in ps], []) for o, ps in orders.items()]
+    cat = frames_catalog(spark, {"fact_orders": fact, "dim_product": [(p,) for p in products], "product": [(p,) for p in chain]})
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        out = enrich_product(cat)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        found = sorted(map(str, map(tuple, out.collect())))
+    finally:
+        spark.conf.set(key, old)
+    wanted = [(o, p, d, r) for o, ps in orders.items() for p in ps or [None]
+              for d in [x for x in products if p is not None and x == p] or [None]
+              for r in [x for x in chain if d is not None and x == d] or [None]]
+    assert found == sorted(map(str, wanted))
+    assert plan.count("Exchange hashpartitioning") == 2
